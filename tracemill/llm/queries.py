@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bpe, exact_dedup, packing
 
 QUERIES = {
+    "op5_bpe": bpe.op5_bpe,
+    "op6_packing": packing.op6_packing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
