@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing
+from . import bpe, exact_dedup, jaccard_join, packing, pii
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
+    "op4_pii": pii.op4_pii,
     "op5_bpe": bpe.op5_bpe,
     "op6_packing": packing.op6_packing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
