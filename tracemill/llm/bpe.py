@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -24,7 +25,8 @@ from .shared import documents, text_bytes
 
 WIDTHS = (8, 16, 32, 64)
 NO_RANK = np.int32(2**31 - 1)
-REMEMBERED = 300_000
+REMEMBERED = 250_000
+APART = re.compile(rb"(?<=[a-zA-Z])([.,])(?=[\x20\n]|\Z)")
 SLICE_BYTES = 2_000_000
 
 
@@ -35,6 +37,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def is_word(chunk: bytes) -> bool:
+    """Whether a chunk is letters only and as the normalizer would leave it."""
+    if chunk.isascii():
+        return chunk.isalpha() and chunk.islower()
+    text = chunk.decode("utf-8", "replace")
+    return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
+
 class WordBpe:
     """A tokenizer file's BPE with word ends: NFC, white space, lower case, its split pattern, bytes as letters.
 
@@ -61,8 +71,9 @@ class WordBpe:
         self.rank_of = dict(zip(keys.tolist(), range(len(pairs))))
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self.words: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, bytes] = {}
+        self.old = self.chunks
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = a.astype(np.int64) << 20 | b
@@ -128,52 +139,72 @@ class WordBpe:
                     heapq.heappush(heap, (r, x, parts[x], parts[y]))
         return array("I", [p for p in parts if p >= 0]).tobytes()
 
-    def learn_words(self, words: Iterable[str]) -> None:
-        by_width: dict[int, list[str]] = {}
+    def learn_words(self, words: Iterable[bytes]) -> None:
+        by_width: dict[int, list[bytes]] = {}
         for word in words:
-            size = len(word.encode())
-            by_width.setdefault(next((w for w in WIDTHS if size <= w), 0), []).append(word)
+            by_width.setdefault(next((w for w in WIDTHS if len(word) <= w), 0), []).append(word)
         for width, some in by_width.items():
-            coded = [w.encode() for w in some]
-            self.words.update(zip(some, self.merge_short(coded, width) if width else map(self.merge_long, coded)))
+            self.words.update(zip(some, self.merge_short(some, width) if width else map(self.merge_long, some)))
 
-    def split(self, chunk: str) -> list[str | int]:
+    def split(self, chunk: bytes) -> list[bytes | int]:
         """A chunk's words and the ids of special tokens in it."""
-        if chunk.isascii() and "<|" not in chunk:
-            return self.pattern.findall(chunk.lower())
-        out: list[str | int] = []
-        for k, piece in enumerate(self.special_pattern.split(chunk) if self.special_pattern else [chunk]):
+        if chunk.isascii() and b"<|" not in chunk:
+            return [w.encode() for w in self.pattern.findall(chunk.decode().lower())]
+        out: list[bytes | int] = []
+        text = chunk.decode("utf-8", "replace")
+        for k, piece in enumerate(self.special_pattern.split(text) if self.special_pattern else [text]):
             if k % 2:
                 out.append(self.specials[piece])
             elif piece:
                 piece = "".join([c.lower() for c in unicodedata.normalize("NFC", piece)])
-                out += self.pattern.findall(piece)
+                out += [w.encode() for w in self.pattern.findall(piece)]
         return out
 
-    def learn(self, chunks: set[bytes]) -> None:
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        new = list(chunks)
-        parts = [self.split(c.decode("utf-8", "replace")) for c in new]
-        self.learn_words({w for p in parts for w in p if isinstance(w, str)}.difference(self.words))
-        for chunk, p in zip(new, parts):
-            self.chunks[chunk] = b"".join([self.words[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in p])
-
-    def forget(self) -> None:
-        self.chunks.clear()
+    def learn(self, chunks: Iterable[bytes]) -> None:
+        """Fills ``self.chunks`` for all of ``chunks``. One that is a word of lower-case letters is taken as it is."""
+        plain, others = [], []
+        for c in chunks:
+            (plain if is_word(c) else others).append(c)
+        parts = [self.split(c) for c in others]
+        self.words = {}
+        self.learn_words({*plain, *(w for p in parts for w in p if isinstance(w, bytes))})
+        for c in plain:
+            self.chunks[c] = self.words[c]
+        for c, p in zip(others, parts):
+            self.chunks[c] = b"".join([self.words[w] if isinstance(w, bytes) else w.to_bytes(4, "little") for w in p])
+
+    def chunked(self, text: bytes) -> list[bytes]:
+        """A text at ASCII white space, without changing its tokens.
+
+        A-Z are lower-cased here and a comma or full stop that stands between a letter and white space is set apart,
+        so that fewer chunks differ. Neither is done where it could matter: special tokens' strings are not lower-cased
+        before they are found, and letters may only join with a combining mark as they were written.
+        """
+        if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
+            text = text.lower()
+        return APART.sub(b" \\1", text).split()
 
     def prepare(self, chunks: set[bytes]) -> None:
-        """After this, ``ids`` knows all of ``chunks``."""
+        """After this, ``ids`` knows all of ``chunks``. Two generations are kept: what is used again passes to the younger one."""
         if len(self.chunks) > REMEMBERED:
-            self.forget()
-        if missing := chunks.difference(self.chunks):
-            self.learn(missing)
+            self.age()
+        missing = chunks.difference(self.chunks)
+        again = [c for c in missing if c in self.old]
+        for c in again:
+            self.recall(c)
+        self.learn(missing.difference(again))
+
+    def age(self) -> None:
+        self.old, self.chunks = self.chunks, {}
+
+    def recall(self, chunk: bytes) -> None:
+        self.chunks[chunk] = self.old[chunk]
 
     def ids(self, chunks: list[bytes]) -> bytes:
         return b"".join(map(self.chunks.__getitem__, chunks))
 
     def encode(self, text: bytes) -> bytes:
-        chunks = text.split()
+        chunks = self.chunked(text)
         self.prepare({*chunks})
         return self.ids(chunks)
 
@@ -185,14 +216,20 @@ class Rendered(WordBpe):
         super().__init__(file)
         self.decimals: dict[bytes, str] = {}
         self.decoded: dict[bytes, str] = {}
+        self.older = self.decimals, self.decoded
         self.as_decimal = [str(i) for i in range(len(self.tokens))]
 
-    def forget(self) -> None:
-        super().forget()
-        self.decimals.clear()
-        self.decoded.clear()
+    def age(self) -> None:
+        super().age()
+        self.older = self.decimals, self.decoded
+        self.decimals, self.decoded = {}, {}
+
+    def recall(self, chunk: bytes) -> None:
+        super().recall(chunk)
+        self.decimals[chunk], self.decoded[chunk] = self.older[0][chunk], self.older[1][chunk]
 
-    def learn(self, chunks: set[bytes]) -> None:
+    def learn(self, chunks: Iterable[bytes]) -> None:
+        chunks = list(chunks)
         super().learn(chunks)
         for chunk in chunks:
             ids = array("I", self.chunks[chunk])
@@ -239,14 +276,14 @@ def by_slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> I
 
 
 def per_text(docs: DataFrame, kind: type[WordBpe], file: str, schema: str, arrow: pa.Schema, rows: Callable[[WordBpe, object, list[bytes]], Iterable[tuple]]) -> DataFrame:
-    """What ``rows`` makes of each row's doc_id and text, split at ASCII white space: no word reaches across it."""
+    """What ``rows`` makes of each row's doc_id and text, in chunks: no word reaches across them."""
     shipped = docs.sparkSession.sparkContext.broadcast(file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(kind, shipped)
         for batch in batches:
             for a, b in by_slices(batch, 1):
-                ids, texts = batch.column(0).slice(a, b - a).to_pylist(), [t.split() for t in batch.column(1).slice(a, b - a).to_pylist()]
+                ids, texts = batch.column(0).slice(a, b - a).to_pylist(), [coder.chunked(t) for t in batch.column(1).slice(a, b - a).to_pylist()]
                 coder.prepare(set().union(*texts))
                 out = [row for i, chunks in zip(ids, texts) for row in rows(coder, i, chunks)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(arrow)], schema=arrow)
