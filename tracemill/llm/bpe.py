@@ -21,13 +21,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import documents, text_bytes
+from .shared import by_slices, documents, text_bytes
 
 WIDTHS = (8, 16, 32, 64)
 NO_RANK = np.int32(2**31 - 1)
 REMEMBERED = 250_000
 APART = re.compile(rb"(?<=[a-zA-Z])([.,])(?=[\x20\n]|\Z)")
-SLICE_BYTES = 2_000_000
 
 
 def byte_letters() -> list[str]:
@@ -263,18 +262,6 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
         return f.read()
 
 
-def by_slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """First and last row of slices of about ``limit`` bytes of text."""
-    begin = size = 0
-    for i, value in enumerate(batch.column(column)):
-        size += value.as_buffer().size if value.is_valid else 0
-        if size >= limit:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < batch.num_rows:
-        yield begin, batch.num_rows
-
-
 def per_text(docs: DataFrame, kind: type[WordBpe], file: str, schema: str, arrow: pa.Schema, rows: Callable[[WordBpe, object, list[bytes]], Iterable[tuple]]) -> DataFrame:
     """What ``rows`` makes of each row's doc_id and text, in chunks: no word reaches across them."""
     shipped = docs.sparkSession.sparkContext.broadcast(file)

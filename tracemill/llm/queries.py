@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard_join, packing, pii, substring_dedup
+from . import bpe, exact_dedup, jaccard_join, language_id, packing, pii, substring_dedup
 
 QUERIES = {
+    "op9_language_id": language_id.op9_language_id,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op4_pii": pii.op4_pii,

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SLICE_BYTES = 2_000_000
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -33,3 +38,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def text_bytes(column: str = "text") -> Column:
     """A text in UTF-8, null as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
+
+
+def by_slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """First and last row of slices of about ``limit`` bytes of text."""
+    begin = size = 0
+    for i, value in enumerate(batch.column(column)):
+        size += value.as_buffer().size if value.is_valid else 0
+        if size >= limit:
+            yield begin, i + 1
+            begin, size = i + 1, 0
+    if begin < batch.num_rows:
+        yield begin, batch.num_rows

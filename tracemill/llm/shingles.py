@@ -29,14 +29,24 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
-    """The distinct shingles of a text, in rising order: A-Z lower-cased, words between ASCII white space. Fewer words than ``width`` make one shingle; none make none."""
-    words = text.lower().split()
-    if len(words) < width:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)] if words else [], np.uint64)
-    own = word_hashes(words)
-    n = len(words) - width + 1
+def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
+    """Each text's distinct shingles in rising order: A-Z lower-cased, words between ASCII white space. Fewer words than ``width`` make one shingle; none make none."""
+    split = [t.lower().split() for t in texts]
+    own = word_hashes([w for words in split for w in words])
+    n = max(0, len(own) - width + 1)
     total = own[:n] * ODD[0]
     for k in range(1, width):
-        total = total + own[k : k + n] * ODD[k]
-    return np.unique(mixed(total))
+        total += own[k : k + n] * ODD[k]
+    total = mixed(total)
+    out, at = [], 0
+    for words in split:
+        if len(words) >= width:
+            out.append(np.unique(total[at : at + len(words) - width + 1]))
+        else:
+            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)] if words else [], np.uint64))
+        at += len(words)
+    return out
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    return shingle_sets([text])[0]
