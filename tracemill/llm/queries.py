@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard_join, language_id, packing, pii, substring_dedup
+from . import bpe, exact_dedup, jaccard_join, language_id, packing, pii, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
+    "op2_quality_classifier": quality_classifier.op2_quality_classifier,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_language_id": language_id.op9_language_id,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
