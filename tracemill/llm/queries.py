@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard_join, language_id, packing, pii, quality_classifier, quality_rules, substring_dedup
+from . import bpe, exact_dedup, jaccard_join, language_id, packing, passage_chains, pii, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
+    "op3_passage_chains": passage_chains.op3_passage_chains,
     "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_language_id": language_id.op9_language_id,
