@@ -10,6 +10,7 @@ from decimal import Decimal
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def three_figures(value: float | None) -> str:
@@ -33,7 +34,7 @@ def plain_sum(value: float | None) -> str:
 
 
 def _column(function):
-    @F.arrow_udf("string")
+    @F.arrow_udf(StringType())
     def formatted(values: pa.Array) -> pa.Array:
         return pa.array([function(v) for v in values.to_pylist()], pa.string())
 

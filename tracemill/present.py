@@ -80,7 +80,8 @@ def _title(text: str, label: str = "") -> str:
 
 
 def _line(cells, widths, formats=None) -> str:
-    return " ".join(f"{c:<{w or ''}{f}}" for c, w, f in zip(cells, widths, formats or [""] * len(widths)))
+    specs = [f"<{f[:1].strip('.')}{w or ''}{f.lstrip('+')}" for w, f in zip(widths, formats or [""] * len(widths))]
+    return " ".join(format(c, s) for c, s in zip(cells, specs))
 
 
 def _head(names, widths) -> list[str]:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIALECT = {"header": "true", "quote": '"', "escape": '"', "lineSep": "\r\n", "emptyValue": "", "nullValue": ""}
@@ -23,9 +26,26 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return found
 
 
+def csv_cell(value: Column) -> Column:
+    """A cell in DIALECT: quoted if it holds a comma, a quote or a line break, null as empty."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    return F.when(text.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
 def write_table(rows: DataFrame, path: str) -> None:
-    """A folder of CSV files in DIALECT; rows in order if ``rows`` are. Result tables are small, so they make one file."""
-    rows.coalesce(1).write.mode("overwrite").options(**DIALECT).csv(path)
+    """A folder with one CSV file in DIALECT, rows in order if ``rows`` are. Result tables are small, so one file holds them.
+
+    Lines are put together here: Spark's CSV writer turns line feeds within cells into the line separator.
+    """
+    lines = rows.select(F.concat_ws(",", *(csv_cell(F.col(f"`{c}`")) for c in rows.columns)).alias("line"))
+    head = ",".join(f'"{c}"' if "," in c else c for c in rows.columns)
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"line": [head]})
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.columns, names=["line"])
+
+    lines.coalesce(1).mapInArrow(headed, "line string").write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def result_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -99,7 +99,7 @@ def ingest_traces(events: DataFrame, out: str, strict: bool = False) -> DataFram
         if _MARK in str(e):
             raise InvalidTrace(str(e).partition(_MARK)[2].splitlines()[0]) from None
         raise
-    stored = spark.read.schema(EVENTS).option("basePath", out).parquet(out)
+    stored = spark.read.schema(EVENTS).parquet(out).select(*EVENTS.names)
     if strict and (bad := strict_problems(stored).first()):
         raise InvalidTrace(f"{bad['trace_id']}, event {bad['ord']}: {bad['name']}")
     return stored
