@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import by_slices, documents, text_bytes
+from .shared import bounded_batches, by_slices, documents, text_bytes
 
 WIDTHS = (8, 16, 32, 64)
 NO_RANK = np.int32(2**31 - 1)
@@ -275,7 +275,7 @@ def per_text(docs: DataFrame, kind: type[WordBpe], file: str, schema: str, arrow
                 out = [row for i, chunks in zip(ids, texts) for row in rows(coder, i, chunks)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
-    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(run, schema)
+    return bounded_batches(docs).select("doc_id", text_bytes().alias("text")).mapInArrow(run, schema)
 
 
 def _encoded_row(coder: Rendered, doc_id, chunks: list[bytes]) -> Iterator[tuple]:

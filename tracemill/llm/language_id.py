@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import by_slices, documents, text_bytes
+from .shared import bounded_batches, by_slices, documents, text_bytes
 
 CELLS = 2**16
 SWITCH = 15.0
@@ -174,7 +174,7 @@ def identified(docs: DataFrame, languages: Languages | None) -> DataFrame:
 
     A null text, or one without letters, is ``und`` with score 0 and has no spans; so is any text if nothing was learned.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(languages)
+    shipped = bounded_batches(docs).sparkSession.sparkContext.broadcast(languages)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())])))])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

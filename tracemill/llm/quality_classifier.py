@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linear import logistic, logits, sigmoid
-from .shared import documents
+from .shared import bounded_batches, documents
 from .shingles import word_hashes
 
 LABELLED, POOL = 4000, 4000
@@ -144,7 +144,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> Column:
     for c in INPUTS:
         if c not in docs.columns:
             docs = docs.withColumn(c, F.lit(None))
-    model = fitted(docs, labels)
+    model = fitted(bounded_batches(docs), labels)
     if model is None:
         return F.struct(*(F.lit(None).cast("double").alias(x) for x in ("text", "meta", "both")))
     text, source, lang, n_chars = columns

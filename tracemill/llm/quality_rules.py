@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import by_slices, documents, text_bytes
+from .shared import bounded_batches, by_slices, documents, text_bytes
 from .shingles import ODD, mixed, word_hashes
 
 LABELLED, SEGMENTS, SEGMENT = 3000, 6000, 64
@@ -149,7 +149,7 @@ RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 def judged(docs: DataFrame, field: Field | None) -> DataFrame:
     """RESULT for every row. A null text has no words, and so fails. Without a field, the base rules decide. content_share: words in content lines among all, null without words or field."""
-    shipped = docs.sparkSession.sparkContext.broadcast(field)
+    shipped = bounded_batches(docs).sparkSession.sparkContext.broadcast(field)
     kinds = [pa.int64()] * 6 + [pa.bool_(), pa.bool_(), pa.float64()]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

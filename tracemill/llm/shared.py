@@ -18,15 +18,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder of spark.checkpoint.dir; where it is unset (tests on one machine), a temporary one."""
+    """The cluster's folder of spark.checkpoint.dir; where it is unset (tests on one machine), a temporary one for the application."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
     return folder.rstrip("/")
 
 
+BATCH_BYTES = 16 * 2**20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after the session's Arrow batches are set to at most BATCH_BYTES: a task holds a batch on both sides, and several copies while it works."""
+    conf = docs.sparkSession.conf
+    now = conf.get(_BATCH)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return docs
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written once to the shared folder and reread: lineage ends there, so a lost executor costs no recomputation before it."""
     spark = df.sparkSession
