@@ -58,8 +58,8 @@ class Analysis:
 
 
 def analyse(events: DataFrame, patterns: Sequence[str] = ()) -> Analysis:
-    """``patterns``: types that Triton kernels count for besides; empty ones are dropped."""
-    steps = S.steps(events)
+    """``patterns``: types that Triton kernels count for besides; empty ones are dropped. The few steps are persisted."""
+    steps = S.steps(events).persist()
     placed = X.placed_events(events, steps)
     return Analysis(steps, X.step_facts(placed), X.type_facts(placed, patterns), X.triton_calls(placed))
 

@@ -76,9 +76,9 @@ def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Events, steps and placed events."""
+    """Events, steps and placed events. The few steps are kept, so that each query reads events for them once."""
     events = trace_events(spark, sf_dir)
-    steps = S.steps(events)
+    steps = S.steps(events).persist()
     return events, steps, X.placed_events(events, steps)
 
 
@@ -118,7 +118,7 @@ kern AS (SELECT *, {sql_family('name')} AS family FROM avgs WHERE kind = 'kernel
 fam AS (SELECT trace_id, family, sum(avg_count) AS avg_count, sum(avg_dur_ms) AS avg_dur_ms FROM
   (SELECT trace_id, family, sum(avg_count) AS avg_count, sum(avg_dur_ms) AS avg_dur_ms FROM kern GROUP BY ALL HAVING sum(avg_dur_ms) > 0
    UNION ALL SELECT DISTINCT trace_id, 'other', 0.0, 0.0 FROM steps) GROUP BY ALL),
-calls AS (SELECT trace_id, step, ord, name, value AS dur_ms, CASE WHEN k % 2 = 0 THEN k / 10.0 END AS io_gb, CASE WHEN k % 2 = 0 THEN k * 2.0 END AS io_eff,
+calls AS (SELECT trace_id, step, ord, name, value AS dur_ms, CASE WHEN k % 2 = 0 THEN k / 10.0 END AS io_gb, CASE WHEN k % 2 = 0 THEN CAST(k * 2 AS DOUBLE) END AS io_eff,
   k, CASE WHEN k % 3 = 0 THEN 'code ' || k END AS code FROM placed WHERE kind = 'kernel' AND starts_with(name, 'triton_'))"""
 
 
