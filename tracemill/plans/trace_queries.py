@@ -340,7 +340,7 @@ def _measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.concat(F.lit("step_0/"), "p_type", F.lit("_"), "p_brand").alias("code_key"), F.col("p_partkey").alias("pos"), F.when(F.col("p_partkey") % 3 == 0, "failed").otherwise(F.concat(F.lit("ran in 3 ms "), F.col("p_size"), F.lit(".126GB/s"))).alias("stdout"))
 
 
-_MEASURE_SQL = """WITH m AS (SELECT 'step_0/' || p_type || '_' || p_brand AS code_key, p_partkey AS pos, CASE WHEN p_partkey % 3 <> 0 THEN round(p_size + 0.126, 2) END AS eff FROM part),
+_MEASURE_SQL = """WITH m AS (SELECT 'step_0/' || p_type || '_' || p_brand AS code_key, p_partkey AS pos, CASE WHEN p_partkey % 3 <> 0 THEN CAST(round(p_size + 0.126, 2) AS DOUBLE) END AS eff FROM part),
 names AS (SELECT DISTINCT p_type AS kernel_name FROM part UNION SELECT 'no such kernel')
 SELECT kernel_name, (SELECT arg_min(eff, pos) FROM m WHERE contains(code_key, kernel_name) AND eff IS NOT NULL) AS local_efficiency FROM names"""
 
