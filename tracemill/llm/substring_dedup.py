@@ -3,10 +3,11 @@
 1. Every ``length``-byte window has a minimizer, its 20-byte string of least hash. Equal windows have equal ones, so
    windows whose minimizer no other document has are done with. Minimizers of a batch that meet within it are settled
    there; one of each goes to the task of its hash range, which finds those that several documents have.
-2. What is left of a document, its windows that may repeat, is cut into runs of windows that share a second, shorter
-   minimizer; a run is a short string. Equal windows are in runs of the same minimizer, whatever their documents.
-3. Equal strings are one entry with the least doc_id of theirs. Minimizers with several strings get a suffix array:
-   neighbours that share ``length`` bytes have the least doc_id among them for the window.
+2. What is left of a document, its windows that may repeat, is cut into runs of windows that share a minimizer; a run
+   is a short string. Equal windows are in runs of the same minimizer, whatever their documents.
+3. Of a batch's equal strings only those of its least document go on; the rest are settled. A task has all strings of
+   a range of minimizers. Equal strings are one entry with the least doc_id of theirs. Minimizers with several strings
+   get a suffix array: neighbours that share ``length`` bytes have the least doc_id among them for the window.
 4. Windows whose least doc_id is smaller than their own document's are removed, judged on the input.
 Texts are shuffled once, compressed.
 """
@@ -23,14 +24,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jaccard_join import runs
-from .shared import documents, stored, text_bytes
+from .shared import bounded_batches, by_slices, documents, stored, text_bytes
 from .shingles import ODD, mixed
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 50
-SEED, ROUTE = 20, 12
-ARRAY_BYTES = 1_000_000
+SEED = 20
+SEED_BYTES, ARRAY_BYTES = 4_000_000, 500_000
 
 
 def least_hashes(text: bytes, gram: int, length: int) -> np.ndarray:
@@ -55,13 +55,13 @@ def unique_id(doc_id: int | None, text: bytes) -> int:
 
 
 def seeds(docs: DataFrame, buckets: int, length: int) -> DataFrame:
-    """bucket, uids, counts, hashes: minimizers of a batch by hash range, by document. Negative buckets: uids whose minimizers (whole hashes) are known to repeat."""
+    """bucket, uids, counts, hashes: minimizers of some texts by hash range, by document. Negative buckets: uids whose minimizers (whole hashes) are known to repeat."""
     schema = pa.schema([("bucket", pa.int32()), ("uids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (batch.slice(a, b - a) for batch in batches for a, b in by_slices(batch, 1, SEED_BYTES)):
             uids, found = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for i, text in zip(part.column(0).to_pylist(), part.column(1)):
                 text = text.as_py()
                 own = np.unique(least_hashes(text, SEED, length)) if len(text) >= length else []
                 if len(own):
@@ -80,9 +80,9 @@ def seeds(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             bucket = bucket_of(h, buckets)
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             for k in range(buckets):
-                part = slice(edges[k], edges[k + 1])
+                own = slice(edges[k], edges[k + 1])
                 if edges[k + 1] > edges[k]:
-                    rows.append((k, *by_document(uid, doc[part], (h[part] & np.uint64(2**32 - 1)).astype("<u4"))))
+                    rows.append((k, *by_document(uid, doc[own], (h[own] & np.uint64(2**32 - 1)).astype("<u4"))))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
 
     return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(find, "bucket int, uids binary, counts binary, hashes binary")
@@ -151,36 +151,58 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(pack, "uid long, doc_id long, packed binary")
 
 
+RUN = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("starts", pa.binary()), ("stops", pa.binary()), ("texts", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary()), ("tags", pa.binary())])
+
+
+def spans_by_document(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int, bytes, bytes]]:
+    order = np.lexsort((start, tag, doc))
+    doc, tag, start, stop = doc[order], tag[order], start[order].astype("<u4"), stop[order].astype("<u4")
+    edges = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]), True]) if len(doc) else np.zeros(1, int)
+    return [(int(doc[a]), int(tag[a]), start[a:b].tobytes(), stop[a:b].tobytes()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
+
 def window_runs(joined: DataFrame, buckets: int, length: int) -> DataFrame:
-    """route, sid, uid, doc_id, start, windows, text: strings of windows that may repeat; text only with the least doc_id of the batch."""
-    schema = pa.schema([("route", pa.int64()), ("sid", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("text", pa.binary())])
+    """Strings of windows that may repeat, as RUN. Rows without a bucket: spans that a smaller document of the batch has as well, by document. Others: strings of a hash range, those with the batch's least doc_id only."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = zstandard.ZstdDecompressor()
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            columns: list[list] = [[] for _ in schema]
-            first: dict[bytes, int] = {}
+            number: dict[bytes, int] = {}
+            which: list[int] = []
+            parts: list[tuple[np.ndarray, ...]] = []
             for uid, doc_id, packed, keys in zip(*(c.to_pylist() for c in batch.columns)):
-                text = coder.decompress(packed)
+                text = unpack.decompress(packed)
                 whole = least_hashes(text, SEED, length)
+                if not len(whole):
+                    continue
                 change = np.r_[True, whole[1:] != whole[:-1]]
                 heads = whole[change]
                 known = np.frombuffer(b"".join(keys), np.uint64)
-                may = np.isin(bucket_of(heads, buckets).astype(np.uint64) << np.uint64(32) | heads & np.uint64(2**32 - 1), known)[np.cumsum(change) - 1]
-                route = least_hashes(text, ROUTE, length)
-                edges = np.flatnonzero(np.r_[True, (route[1:] != route[:-1]) | (may[1:] != may[:-1]), True])
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                    if may[a]:
-                        own = text[a : b + length - 1]
-                        here = len(columns[0])
-                        at = first.setdefault(own, here)
-                        for c, v in zip(columns, (int(route[a].view(np.int64)), xxhash.xxh3_64_intdigest(own) - 2**63, uid, doc_id, a, b - a, own if at == here else None)):
-                            c.append(v)
-                        if at < here and doc_id < columns[3][at]:
-                            columns[6][at], columns[6][here], first[own] = None, own, here
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-    return joined.select("uid", "doc_id", "packed", "keys").mapInArrow(cut, "route long, sid long, uid long, doc_id long, start int, windows int, text binary")
+                may = np.isin(bucket_of(heads, buckets).astype(np.uint64) << np.uint64(32) | heads & np.uint64(2**32 - 1), known)
+                edges = np.r_[np.flatnonzero(change), len(whole)]
+                begin, end = edges[:-1][may], edges[1:][may] + (length - 1)
+                which += [number.setdefault(text[a:b], len(number)) for a, b in zip(begin.tolist(), end.tolist())]
+                parts.append((np.full(len(begin), doc_id, np.int64), np.full(len(begin), uid & (2**32 - 1), np.int64), begin, end, bucket_of(mixed(heads[may]), buckets)))
+            if not which:
+                continue
+            doc, tag, begin, end, bucket = map(np.concatenate, zip(*parts))
+            string, texts = np.array(which), list(number)
+            least = np.full(len(texts), 2**63 - 1)
+            np.minimum.at(least, string, doc)
+            settled = doc > least[string]
+            rows = [(None, d, t, a, b, None, None, None, None) for d, t, a, b in spans_by_document(doc[settled], tag[settled], begin[settled], end[settled])]
+            left = np.flatnonzero(~settled)
+            left = left[np.lexsort((doc[left], bucket[left]))]
+            edges = np.searchsorted(bucket[left], np.arange(buckets + 1))
+            for k in range(buckets):
+                own = left[edges[k] : edges[k + 1]]
+                if len(own):
+                    joint = b"".join([texts[i] for i in string[own].tolist()])
+                    deltas = np.diff(doc[own], prepend=0)
+                    rows.append((k, None, None, begin[own].astype("<u4").tobytes(), None, pack.compress(joint), (end - begin)[own].astype("<u4").tobytes(), deltas.tobytes(), tag[own].astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(RUN)], schema=RUN)
+
+    return joined.select("uid", "doc_id", "packed", "keys").mapInArrow(cut, "bucket int, doc_id long, tag long, starts binary, stops binary, texts binary, sizes binary, docs binary, tags binary")
 
 
 def least_documents(texts: list[bytes], least: np.ndarray, length: int) -> list[np.ndarray]:
@@ -198,42 +220,104 @@ def least_documents(texts: list[bytes], least: np.ndarray, length: int) -> list[
     return [best[e - s : e - length + 1] for e, s in zip(ends.tolist(), sizes.tolist())]
 
 
-def least_by_string(runs_of: DataFrame, length: int) -> DataFrame:
-    """route, sid, begins, leasts: by window number from which on it holds, the least doc_id."""
-    schema = pa.schema([("route", pa.int64()), ("sid", pa.int64()), ("begins", pa.list_(pa.int32())), ("leasts", pa.list_(pa.int64()))])
+def routes_of(texts: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """The minimizer that the windows of each string share; hashes are made for ARRAY_BYTES at a time."""
+    ends = np.cumsum(sizes)
+    out = np.zeros(len(texts), np.uint64)
+    begin = 0
+    while begin < len(texts):
+        before = ends[begin] - sizes[begin]
+        end = max(begin + 1, int(np.searchsorted(ends, before + ARRAY_BYTES, side="right")))
+        h = least_hashes(b"".join(texts[begin:end]), SEED, SEED)
+        edges = np.stack([ends[begin:end] - sizes[begin:end], ends[begin:end] - SEED + 1], 1).ravel() - before
+        out[begin:end] = np.minimum.reduceat(np.r_[h, np.uint64(0)], edges)[::2]
+        begin = end
+    return out
+
 
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+def repeated_windows(found: DataFrame, buckets: int, length: int) -> DataFrame:
+    """doc_id, tag, starts, stops: spans of bytes of windows that a smaller document has, a row a document.
+
+    A task answers for all documents; answers travel by groups of documents, a row a group.
+    """
+    answer = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("docs", "tags", "starts", "stops"))])
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("starts", pa.binary()), ("stops", pa.binary())])
+
+    def settle(held: list) -> list[tuple[np.ndarray, ...]]:
+        unpack = zstandard.ZstdDecompressor()
+        number: dict[bytes, int] = {}
+        string: list[int] = []
+        for r in held:
+            joint, at = unpack.decompress(r[5]), 0
+            for n in np.frombuffer(r[6], "<u4").tolist():
+                string.append(number.setdefault(joint[at : at + n], len(number)))
+                at += n
+        which, texts = np.array(string), list(number)
+        start, tag = (np.concatenate([np.frombuffer(r[c], "<u4") for r in held]).astype(np.int64) for c in (3, 8))
+        doc = np.concatenate([np.cumsum(np.frombuffer(r[7], np.int64)) for r in held])
+        least = np.full(len(texts), 2**63 - 1)
+        np.minimum.at(least, which, doc)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        route = routes_of(texts, sizes)
+        order = np.argsort(route, kind="stable")
+        edges = np.flatnonzero(np.r_[True, route[order][1:] != route[order][:-1], True])
+        several = np.zeros(len(texts), bool)
+        several[order] = np.repeat(np.diff(edges) > 1, np.diff(edges))
+        # the only string of its minimizer: all its windows are the least document's
+        whole = ~several[which] & (least[which] < doc)
+        out = [(doc[whole], tag[whole], start[whole], start[whole] + sizes[which[whole]])]
+        best: dict[int, np.ndarray] = {}
+        some: list[int] = []
         size = 0
+        for k in [*order[several[order]].tolist(), -1]:
+            # a suffix array may hold strings of many minimizers, but all of each one's
+            if some and (k < 0 or size > ARRAY_BYTES and route[k] != route[some[-1]]):
+                best.update(zip(some, least_documents([texts[i] for i in some], least[some], length)))
+                some, size = [], 0
+            if k >= 0:
+                some.append(k)
+                size += len(texts[k])
+        for i in np.flatnonzero(several[which]).tolist():
+            gone = best[string[i]] < doc[i]
+            if gone.any():
+                turns = np.flatnonzero(np.diff(np.r_[False, gone, False]))
+                n = len(turns) // 2
+                out.append((np.full(n, doc[i]), np.full(n, tag[i]), start[i] + turns[::2], start[i] + turns[1::2] - 1 + length))
+        return out
 
-        def flush() -> pa.RecordBatch:
-            out: list[list] = [[], [], [], []]
-            for (route, sid, _, _), best in zip(held, least_documents([h[3] for h in held], np.array([h[2] for h in held]), length)):
-                change = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
-                for c, v in zip(out, (route, sid, change.tolist(), best[change].tolist())):
-                    c.append(v)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
-
-        for route, sid, doc_id, text in runs(batches):
-            head = np.r_[True, (route[1:] != route[:-1]) | (sid[1:] != sid[:-1])]
-            begin = np.flatnonzero(head)
-            least, route, sid, text = np.minimum.reduceat(doc_id, begin), route[begin], sid[begin], text[begin]
-            edges = np.flatnonzero(np.r_[True, route[1:] != route[:-1], True])
-            count = np.diff(edges)
-            alone = edges[:-1][count == 1]
-            yield pa.RecordBatch.from_arrays([pa.array(route[alone]), pa.array(sid[alone]), pa.array([[0]] * len(alone), pa.list_(pa.int32())), pa.array([[x] for x in least[alone].tolist()], pa.list_(pa.int64()))], schema=schema)
-            for a, b in zip(edges[:-1][count > 1].tolist(), edges[1:][count > 1].tolist()):
-                held += zip(route[a:b].tolist(), sid[a:b].tolist(), least[a:b].tolist(), text[a:b].tolist())
-                size += sum(map(len, text[a:b]))
-                if size > ARRAY_BYTES:
-                    yield flush()
-                    size = 0
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 4]
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] is None:
+                    starts, stops = np.frombuffer(row[3], "<u4"), np.frombuffer(row[4], "<u4")
+                    out.append((np.full(len(starts), row[1]), np.full(len(starts), row[2]), starts, stops))
+                    continue
+                if held and held[0][0] != row[0]:
+                    out += settle(held)
+                    held = []
+                held.append(row)
+        if held:
+            out += settle(held)
+        doc, tag, start, stop = map(np.concatenate, zip(*out))
+        part = (mixed(doc.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(buckets + 1))
+        own = [(k, order[edges[k] : edges[k + 1]]) for k in range(buckets) if edges[k + 1] > edges[k]]
+        columns = [[k for k, _ in own]] + [[x[i].astype(kind).tobytes() for _, i in own] for x, kind in ((doc, "<i8"), (tag, "<u4"), (start, "<u4"), (stop, "<u4"))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, answer)], schema=answer)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns[1:]))]
         if held:
-            yield flush()
+            doc, tag, start, stop = (np.concatenate([np.frombuffer(x[k], kind) for x in held]).astype(np.int64) for k, kind in enumerate(("<i8", "<u4", "<u4", "<u4")))
+            rows = spans_by_document(doc, tag, start, stop)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    parted = runs_of.filter("text IS NOT NULL").select("route", "sid", "doc_id", "text").repartition("route").sortWithinPartitions("route", "sid")
-    return parted.mapInArrow(solve, "route long, sid long, begins array<int>, leasts array<long>")
+    place = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    solved = found.repartitionById(buckets, place).sortWithinPartitions("bucket").mapInArrow(solve, "part int, docs binary, tags binary, starts binary, stops binary")
+    return solved.repartitionById(buckets, F.col("part")).mapInArrow(gather, "doc_id long, tag long, starts binary, stops binary")
 
 
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -255,18 +339,14 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A null text is empty. A row with a null doc_id neither loses bytes nor makes others lose any. Rows that repeat a
     doc_id are one document. An empty table gives none.
     """
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(bounded_batches(docs).sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
     keys = stored(repeated_seeds(seeds(named, buckets, length), buckets).groupBy("uid").agg(F.collect_list("keys").alias("keys")), "seeds")
     packed = packed_texts(docs)
     found = window_runs(packed.filter("doc_id IS NOT NULL").join(keys, "uid"), buckets, length)
-    least = least_by_string(found, length)
-    stretches = F.transform(F.col("leasts"), lambda x, i: F.struct((F.col("start") + F.get("begins", i)).alias("a"), (F.col("start") + F.coalesce(F.get("begins", i + 1), F.col("windows")) - 1 + length).alias("b"), x.alias("least")))
-    where = found.select("route", "sid", "uid", "doc_id", "start", "windows").join(least, ["route", "sid"])
-    gone = where.select("uid", "doc_id", F.filter(stretches, lambda x: x["least"] < F.col("doc_id")).alias("spans")).filter(F.size("spans") > 0)
-    gone = gone.groupBy("uid", "doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return remaining(packed.join(gone, ["uid", "doc_id"], "left"))
+    gone = repeated_windows(found, buckets, length)
+    own = packed.withColumn("tag", F.col("uid").bitwiseAND(F.lit(2**32 - 1)))
+    return remaining(own.join(gone, ["doc_id", "tag"], "left"))
 
 
 def remaining(joined: DataFrame) -> DataFrame:
@@ -276,9 +356,9 @@ def remaining(joined: DataFrame) -> DataFrame:
         coder = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, packed, spans in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, packed, starts, stops in zip(*(c.to_pylist() for c in batch.columns)):
                 text = coder.decompress(packed)
-                own = merged_spans([(x["a"], x["b"]) for x in spans or []])
+                own = merged_spans(list(zip(*(np.frombuffer(x or b"", "<u4").tolist() for x in (starts, stops)))))
                 digest, at = hashlib.sha256(), 0
                 for a, b in own:
                     digest.update(text[at:a])
@@ -287,7 +367,7 @@ def remaining(joined: DataFrame) -> DataFrame:
                 out.append((doc_id, len(text), sum(b - a for a, b in own), len(own), digest.hexdigest(), [{"start": a, "stop": b} for a, b in own]))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return joined.select("doc_id", "packed", "spans").mapInArrow(cut, REMOVAL)
+    return joined.select("doc_id", "packed", "starts", "stops").mapInArrow(cut, REMOVAL)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
