@@ -2,12 +2,13 @@
 
 1. A sketch of fixed size counts all shingles; it gives a global order, rare shingles first.
 2. Of two sets that link, each one's first fifth (its prefix) shares a shingle with the other's. So prefixes make an
-   inverted index, its lists ordered by set size and position. Equal sets enter once. Entries that no other entry of
+   inverted index, its lists ordered by set size. Equal sets are one node, known by 64 bits of a digest, and enter once. Entries that no other entry of
    the list can link with, by size and by the overlap that their positions still allow, are skipped.
 3. Answers of similar sets are derived: each set is first compared with the leaders of its lists. Sets that link with
-   one leader are in one class, which answers all pairs among them; no such pair is made.
-4. For pairs across classes, lists are walked in blocks, and blocks that size and position rule out are skipped. Pairs
-   count the shingles that their prefixes share; those whose rest can't reach the overlap are dropped, and the others
+   one leader are in one class, which answers all pairs among them; no such pair is made. A turn with other leaders
+   unites classes further.
+4. For pairs across classes, lists are walked in blocks, and blocks that size and position rule out are skipped. Of
+   the rest, pairs whose sketches (numbers of shingles in 128 parts) can't reach the overlap are dropped, and the others
    compared in full. Nothing is capped: every link is within a class or compared.
 5. Classes are joined to components.
 """
@@ -25,12 +26,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import component_labels
-from .shared import documents, stored, text_bytes
-from .shingles import shingle_set
+from .shared import bounded_batches, by_slices, documents, stored, text_bytes
+from .shingles import mixed, shingle_sets
 
-CELLS, BLOCKS = 2**18, 16
+CELLS, BLOCKS = 2**20, 64
+CELL_SHIFT = np.uint64(44)
 LEADERS = 2
+TURNS = 1
 BLOCK = 512
+HELD_PAIRS = 1_000_000
+PARTS = 128
 PERCENT = 80
 
 
@@ -43,56 +48,83 @@ def prefix_size(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """A class from 0 (rare) up for each cell of the sketch: how far its count is above the mean, in quarters of a power of two."""
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall in each of PARTS parts, 255 for as many or more. Two sets share at most the sum of the lesser numbers."""
+    return np.minimum(np.bincount((shingles & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
+
+
+def profiles(docs: DataFrame) -> DataFrame:
+    """doc_id, n, node, check, sketch of every document: the size, the two halves of a 128-bit digest and the sketch of its set. Rows with a block hold a task's counts of shingles for a part of the sketch."""
     cells, blocks = CELLS, BLOCKS
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                total += np.bincount((shingle_set(value.as_py()) >> np.uint64(46)).astype(np.int64), minlength=cells)
+            for a, b in by_slices(batch, 1):
+                sets = shingle_sets(batch.column(1).slice(a, b - a).to_pylist())
+                total += np.bincount(np.concatenate(sets) >> CELL_SHIFT, minlength=cells)
+                halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(map(len, sets), pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(map(sketch, sets), pa.binary()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], schema=schema)
         parts = [zlib.compress(p.astype("<u4").tobytes(), 1) for p in np.split(total, blocks)]
-        yield pa.RecordBatch.from_pydict({"block": pa.array(range(blocks), pa.int32()), "counts": pa.array(parts, pa.binary())})
+        none = pa.nulls(blocks, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(blocks, pa.binary()), pa.array(range(blocks), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(profile, "doc_id long, n long, node long, check long, sketch binary, block int, counts binary")
+
+
+def rarity(profiled: DataFrame) -> np.ndarray:
+    """A class from 0 (rare) up for each cell of the sketch: how far its count is above the mean, in quarters of a power of two."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64) for x in pdf["counts"])
         return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "counts": [total.astype("<i8").tobytes()]})
 
-    rows = docs.select(text_bytes()).mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect()
-    total = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sorted(rows, key=lambda r: r["block"])]) if rows else np.zeros(cells)
+    rows = profiled.filter("block IS NOT NULL").select("block", "counts").groupBy("block").applyInPandas(add, "block int, counts binary").collect()
+    total = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sorted(rows, key=lambda r: r["block"])]) if rows else np.zeros(CELLS)
     share = np.maximum(total, 1) / max(1.0, float(total.mean()))
     return np.clip(np.floor(4 * np.log2(share)), 0, 31).astype(np.uint8)
 
 
-def signatures(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """doc_id, n, digest of the set, and the set's prefix in the global order."""
+def prefix_lists(docs: DataFrame, classes: np.ndarray, buckets: int) -> DataFrame:
+    """bucket and, as bytes, the prefixes of a batch's different sets in this range of shingles: nodes, sizes, numbers of entries, shingles (low half), positions."""
     shipped = docs.sparkSession.sparkContext.broadcast(classes.tobytes())
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("nodes", "sizes", "counts", "tokens", "places"))])
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(shipped.value, np.uint8).astype(np.uint64)
         for batch in batches:
-            sizes, digests, prefixes, lengths = [], [], [], []
-            for value in batch.column(1):
-                own = shingle_set(value.as_py())
-                ordered = rank[own >> np.uint64(46)] << np.uint64(58) | own >> np.uint64(6)
-                k = prefix_size(len(own)) if len(own) else 0
-                if k < len(own):
-                    ordered = np.partition(ordered, k - 1)[:k]
-                ordered.sort()
-                sizes.append(len(own))
-                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
-                prefixes.append(ordered.view(np.int64))
-                lengths.append(len(ordered))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-            flat = pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], schema=schema)
-
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(sign, "doc_id long, n long, digest binary, prefix array<long>")
-
-
-LIST = "token long, doc long, n long, pos long"
+            own: dict[int, tuple[int, np.ndarray]] = {}
+            for a, b in by_slices(batch, 0):
+                for x in shingle_sets(batch.column(0).slice(a, b - a).to_pylist()):
+                    if not len(x):
+                        continue
+                    node = int.from_bytes(xxhash.xxh3_128_digest(x.tobytes())[:8], "little", signed=True)
+                    if node not in own:
+                        ordered = rank[x >> CELL_SHIFT] << np.uint64(58) | x & np.uint64(2**58 - 1)
+                        k = prefix_size(len(x))
+                        ordered = np.sort(np.partition(ordered, k - 1)[:k] if k < len(x) else ordered)
+                        own[node] = len(x), ordered
+            if not own:
+                continue
+            token = mixed(np.concatenate([x for _, x in own.values()]))
+            lengths = np.array([len(x) for _, x in own.values()])
+            owner = np.repeat(np.arange(len(own)), lengths)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            token, owner, place = token[order], owner[order], place[order]
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            node, size = np.array(list(own), np.int64), np.array([n for n, _ in own.values()], np.int64)
+            rows = []
+            for k in range(buckets):
+                part = slice(edges[k], edges[k + 1])
+                if edges[k + 1] > edges[k]:
+                    some, counts = np.unique(owner[part], return_counts=True)
+                    rows.append((k, node[some].tobytes(), size[some].astype("<u4").tobytes(), counts.astype("<u2").tobytes() if counts.max() < 2**16 else counts.astype("<u4").tobytes(), token[part].astype("<u4").tobytes(), place[part].astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
+
+    return docs.select(text_bytes().alias("text")).mapInArrow(cut, "bucket int, nodes binary, sizes binary, counts binary, tokens binary, places binary")
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -117,98 +149,192 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def shared_entries(signed: DataFrame) -> DataFrame:
-    """The entries of all lists that some other entry of their list may link with."""
-    one = signed.filter("n > 0").withColumn("turn", F.row_number().over(Window.partitionBy("digest").orderBy("doc_id"))).filter("turn = 1")
-    entries = one.select(F.col("doc_id").alias("doc"), "n", F.posexplode("prefix").alias("pos", "token")).select("token", "doc", "n", F.col("pos").cast("long"))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in runs(batches):
-            token, _, n, pos = columns
-            near = np.zeros(len(token), bool)
-            # sorted by size within a list: if any size fits, a neighbour's does
-            fits = (token[1:] == token[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
-            near[1:] |= fits
-            near[:-1] |= fits
-            if near.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[near], pa.int64()) for c in columns], names=["token", "doc", "n", "pos"])
+def leading(token: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each entry the place of the one of least ``order`` in its list."""
+    begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    length = np.diff(np.r_[begin, len(token)])
+    least = np.flatnonzero(order == np.repeat(np.minimum.reduceat(order, begin), length))
+    return least[np.searchsorted(least, np.repeat(begin, length))]
+
+
+ENTRY = "token long, node long, n long, pos long, leader long"
+
+
+def shared_entries(parts: DataFrame, buckets: int) -> DataFrame:
+    """ENTRY: the entries of all lists that some other entry of their list may link with, and the list's leader: the set of least position there, so with the fewest rare shingles, which a text has that others were copied from."""
+    schema = pa.schema([(c.split()[0], pa.int64()) for c in ENTRY.split(", ")])
+
+    def lists(held: list) -> Iterator[pa.RecordBatch]:
+        node, n, token, pos = [], [], [], []
+        for _, nodes, sizes, counts, tokens, places in held:
+            nodes = np.frombuffer(nodes, np.int64)
+            times = np.frombuffer(counts, "<u2" if len(counts) == 2 * len(nodes) else "<u4")
+            node.append(np.repeat(nodes, times))
+            n.append(np.repeat(np.frombuffer(sizes, "<u4").astype(np.int64), times))
+            token.append(np.frombuffer(tokens, "<u4").astype(np.int64))
+            pos.append(np.frombuffer(places, "<u4").astype(np.int64))
+        node, n, token, pos = map(np.concatenate, (node, n, token, pos))
+        order = np.lexsort((node, n, token))
+        node, n, token, pos = node[order], n[order], token[order], pos[order]
+        once = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]  # equal sets come from several batches
+        node, n, token, pos = node[once], n[once], token[once], pos[once]
+        near = np.zeros(len(token), bool)
+        # sorted by size within a list: if any size fits, a neighbour's does
+        fits = (token[1:] == token[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
+        near[1:] |= fits
+        near[:-1] |= fits
+        if not near.any():
+            return
+        node, n, token, pos = node[near], n[near], token[near], pos[near]
+        leader = node[leading(token, np.minimum(pos, 2**20 - 1).astype(np.uint64) << np.uint64(44) | mixed(node.view(np.uint64)) >> np.uint64(20))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (token | held[0][0] << 32, node, n, pos, leader)], schema=schema)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][0] != row[0]:
+                    yield from lists(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from lists(held)
 
-    parted = entries.repartition("token").sortWithinPartitions("token", "n", "doc")
-    return parted.mapInArrow(keep, LIST)
+    return parts.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(gather, ENTRY)
 
 
 def leader_pairs(entries: DataFrame) -> DataFrame:
-    """a, b: each set with the sets that lead most of its lists. A list's leader is the entry with the least hash."""
-    order = F.xxhash64("doc")
-    lead = entries.groupBy("token").agg(F.min(F.struct(order.alias("h"), "doc", "n")).alias("l"))
-    pairs = entries.join(lead, "token").filter("doc <> l.doc AND 100 * least(n, l.n) >= 80 * greatest(n, l.n)")
-    counted = pairs.groupBy("doc", F.col("l.doc").alias("leader")).agg(F.count("*").alias("lists"))
-    turn = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("lists"), "leader"))
-    return counted.withColumn("turn", turn).filter(F.col("turn") <= LEADERS).select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
-
+    """a, b: each set with the sets that lead most of its lists, if they lead an eighth of its prefix."""
+    return most_led(entries.filter("node <> leader").groupBy("node", "leader", "n").agg(F.count("*").alias("lists")))
+
+
+def further_leaders(labelled: DataFrame, turn: int) -> DataFrame:
+    """a, b: each set with the sets of another class that lead most of its lists, another hash choosing the leaders each turn."""
+    schema = pa.schema([("node", pa.int64()), ("leader", pa.int64()), ("n", pa.int64()), ("lists", pa.int64())])
+    salt = mixed(np.array([turn + 1], np.uint64))[0]
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, node, n, _, label in runs(batches):
+            at = leading(token, mixed(node.view(np.uint64) ^ salt))
+            fit = (label != label[at]) & (100 * np.minimum(n, n[at]) >= PERCENT * np.maximum(n, n[at]))
+            if fit.any():
+                own, leader, size = node[fit], node[at][fit], n[fit]
+                order = np.lexsort((leader, own))
+                own, leader, size = own[order], leader[order], size[order]
+                first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (leader[1:] != leader[:-1])])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (own[first], leader[first], size[first], np.diff(np.r_[first, len(own)]))], schema=schema)
+
+    parted = labelled.select("token", "node", "n", "pos", "label").repartition("token").sortWithinPartitions("token", "n", "node")
+    counted = parted.mapInArrow(lead, "node long, leader long, n long, lists long").groupBy("node", "leader", "n").agg(F.sum("lists").alias("lists"))
+    return most_led(counted)
+
+
+def most_led(counted: DataFrame) -> DataFrame:
+    turn = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("lists"), "leader"))
+    most = counted.filter("lists * 40 >= n").withColumn("turn", turn).filter(F.col("turn") <= LEADERS)
+    return most.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+
+
+def admissible(token: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of entries of a list that differ in class, fit in size and could still reach the overlap at their positions, with that overlap; by pairs of blocks."""
+    edges = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
+    several = np.add.reduceat(np.r_[False, (token[1:] == token[:-1]) & (label[1:] != label[:-1])].astype(np.int64), edges[:-1]) > 0
+    for begin, end in zip(edges[:-1][several].tolist(), edges[1:][several].tolist()):
+        for at in range(begin, end, BLOCK):
+            i = np.arange(at, min(at + BLOCK, end))
+            stop = begin + int(np.searchsorted(n[begin:end], n[i[-1]] * 100 // PERCENT, side="right"))
+            for other in range(at, stop, BLOCK):
+                j = np.arange(other, min(other + BLOCK, stop))
+                if min((n[i] - pos[i]).max(), (n[j] - pos[j]).max()) < needed(n[i[0]], n[j[0]]):
+                    continue
+                least = needed(n[i][:, None], n[j])
+                x, y = np.nonzero((label[i][:, None] != label[j]) & (i[:, None] < j) & (100 * n[i][:, None] >= PERCENT * n[j]) & (np.minimum((n[i] - pos[i])[:, None], n[j] - pos[j]) >= least))
+                if len(x):
+                    yield i[x], j[y], least[x, y]
+
+
+def crossing_pairs(labelled: DataFrame, profiled: DataFrame) -> DataFrame:
+    """a, b: all pairs of entries of different classes whose sizes, places and sketches leave the needed overlap possible.
+
+    Entries without a partner go first, so that few sketches are shuffled.
+    """
+    names = ["token", "node", "n", "pos", "label"]
 
-def crossing_pairs(labelled: DataFrame) -> DataFrame:
-    """a, b: pairs of entries of different classes whose shared prefix shingles leave the needed overlap possible."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("pa", pa.int64()), ("pb", pa.int64())])
+    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in runs(batches):
+            token, _, n, pos, label = columns
+            kept = np.zeros(len(token), bool)
+            for x, y, _ in admissible(token, n, pos, label):
+                kept[x] = kept[y] = True
+            if kept.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], names=names)
+
+    def once(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = map(np.concatenate, zip(*held))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, doc, n, pos, label in runs(batches):
-            edges = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
-            mixed = np.add.reduceat(np.r_[False, (token[1:] == token[:-1]) & (label[1:] != label[:-1])].astype(np.int64), edges[:-1]) > 0
-            for begin, end in zip(edges[:-1][mixed].tolist(), edges[1:][mixed].tolist()):
-                for at in range(begin, end, BLOCK):
-                    i = np.arange(at, min(at + BLOCK, end))
-                    stop = begin + int(np.searchsorted(n[begin:end], n[i[-1]] * 100 // PERCENT, side="right"))
-                    for other in range(at, stop, BLOCK):
-                        j = np.arange(other, min(other + BLOCK, stop))
-                        least = needed(n[i[0]], n[j[0]])
-                        if 1 + min((n[i] - pos[i]).max(), (n[j] - pos[j]).max()) - 1 < least:
-                            continue
-                        x, y = np.nonzero((label[i][:, None] != label[j]) & (i[:, None] < j) & (100 * n[i][:, None] >= PERCENT * n[j]) & (np.minimum((n[i] - pos[i])[:, None], n[j] - pos[j]) >= needed(n[i][:, None], n[j])))
-                        if len(x):
-                            x, y = i[x], j[y]
-                            low = doc[x] < doc[y]
-                            p, q = np.where(low, x, y), np.where(low, y, x)
-                            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (doc[p], doc[q], n[p], n[q], pos[p], pos[q])], schema=schema)
-
-    parted = labelled.select("token", "doc", "n", "pos", "label").repartition("token").sortWithinPartitions("token", "n", "doc")
-    pairs = parted.mapInArrow(walk, "a long, b long, na long, nb long, pa long, pb long")
-    counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    # shared shingles up to the last one seen, and at most what follows it, or what follows the shorter prefix
-    least = F.ceil(F.lit(PERCENT) * (F.col("na") + F.col("nb")) / (100 + PERCENT))
-    return counted.filter(F.col("common") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= least).select("a", "b")
-
-
-def member_filter(ids: DataFrame, most_bits: int = 26) -> tuple[bytes, int]:
-    """A bitmap of the ids' hashes, of 4 KB to 8 MB whatever their number: who isn't in it isn't among the ids."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for token, node, n, pos, label, sketches in runs(batches):
+            parts = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, PARTS)
+            for x, y, least in admissible(token, n, pos, label):
+                low = np.minimum(parts[x], parts[y])
+                may = (low.sum(axis=1, dtype=np.int64) >= least) | (low == 255).any(axis=1)
+                x, y = node[x[may]], node[y[may]]
+                if len(x):
+                    held.append((np.minimum(x, y), np.maximum(x, y)))
+                    size += len(x)
+                    if size > HELD_PAIRS:
+                        yield once(held)
+                        held, size = [], 0
+        if held:
+            yield once(held)
+
+    def by_lists(df: DataFrame) -> DataFrame:
+        return df.repartition("token").sortWithinPartitions("token", "n", "node")
+
+    some = by_lists(labelled.select(*names)).mapInArrow(partnered, ", ".join(f"{c} long" for c in names))
+    sketches = profiled.filter("n > 0").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    return by_lists(some.join(sketches, "node").select(*names, "sketch")).mapInArrow(walk, "a long, b long").distinct()
+
+
+def among(docs: DataFrame, ids: DataFrame, most_bits: int = 26) -> DataFrame:
+    """The rows of ``docs`` whose ``doc`` may be in ``ids``: all that are, and a few others. Their bitmap takes 4 KB to 8 MB, whatever their number, and rows are dropped where they are read."""
     bits = min(most_bits, max(15, (8 * ids.count()).bit_length()))
     place = F.pmod(F.xxhash64("doc"), F.lit(2**bits))
-    rows = ids.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits")).collect()
-    out = bytearray(2**bits // 8)
-    for r in rows:
-        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = r["bits"]
-    return bytes(out), bits
+    bitmap = ids.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits"))
+    placed = docs.withColumn("p", place).withColumn("part", F.expr("p div 32768"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(p % 32768 div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    return placed.join(F.broadcast(bitmap), "part").filter((byte.bitwiseAND(F.expr("shiftleft(1, cast(p % 8 as int))")) != 0)).select(*docs.columns)
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc, shingles (sorted, as bytes) of the documents in ``ids`` and perhaps a few others."""
-    bitmap, bits = member_filter(ids)
-    shipped = docs.sparkSession.sparkContext.broadcast(bitmap)
-    schema = pa.schema([("doc", pa.int64()), ("shingles", pa.binary())])
+def whole_sets(docs: DataFrame, profiled: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, shingles (sorted, as bytes) of the sets in ``nodes``, each from the least of its documents."""
+    wanted = stored(profiled.filter("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc")).join(nodes, "node"), "wanted")
+    schema = pa.schema([("doc", pa.int64()), ("node", pa.int64()), ("shingles", pa.binary())])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(np.frombuffer(shipped.value, np.uint8), bitorder="little").astype(bool)
-        for batch in batches:
-            rows = np.flatnonzero(known[batch.column(2).to_numpy()])
-            own = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([shingle_set(v.as_py()).tobytes() for v in own.column(1)], pa.binary())], schema=schema)
+        for own in batches:
+            for a, b in by_slices(own, 1):
+                sets = shingle_sets(own.column(1).slice(a, b - a).to_pylist())
+                nodes = [int.from_bytes(xxhash.xxh3_128_digest(x.tobytes())[:8], "little", signed=True) for x in sets]
+                yield pa.RecordBatch.from_arrays([own.column(0).slice(a, b - a), pa.array(nodes, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], schema=schema)
+
+    named = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
+    some = among(named, wanted.select("doc")).select("doc", text_bytes().alias("text")).mapInArrow(take, "doc long, node long, shingles binary")
+    return some.join(wanted, ["doc", "node"], "left_semi").select("node", "shingles")
 
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(2**bits))
-    return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), text_bytes().alias("text"), place.alias("place")).mapInArrow(take, "doc long, shingles binary")
+
+def nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link, their sets compared in full."""
+    """The pairs that link, their sets compared in full. Sets that no pair has aren't shuffled."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +345,8 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(100 * common >= PERCENT * (len(x) + len(y) - common) > 0)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
+    own = among(sets.withColumnRenamed("node", "doc"), nodes_of(pairs).withColumnRenamed("node", "doc")).withColumnRenamed("doc", "node")
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
@@ -229,18 +356,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null or blank texts have no shingles and link with nothing. Rows with a null doc_id have a null component and take
     part in no link. Rows that repeat a doc_id count as one document. An empty table gives none.
     """
-    signed = stored(signatures(docs, rarity(docs)), "signatures")
-    named = signed.filter("doc_id IS NOT NULL")
-    entries = stored(shared_entries(named), "entries")
-    sets = stored(whole_sets(docs, entries.select("doc").distinct()), "sets")
-    near = stored(linked(leader_pairs(entries), sets), "near")
-    labels = component_labels(near)
-    labelled = entries.join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    links = stored(linked(crossing_pairs(labelled), sets).unionByName(near), "links")
-    components = component_labels(links)
-    equal = named.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"))
-    rows = signed.select("doc_id", "n", "digest").join(equal, "digest", "left").join(components.select(F.col("node").alias("least"), "label"), "least", "left")
-    component = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.coalesce("label", "least"))
+    bounded_batches(docs)
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    profiled = stored(profiles(docs), "profiles")
+    named = docs.filter("doc_id IS NOT NULL")
+    entries = stored(shared_entries(prefix_lists(named, rarity(profiled), buckets), buckets), "entries")
+    close = stored(leader_pairs(entries), "close")
+    sets = stored(whole_sets(docs, profiled, nodes_of(close)), "sets")
+    links = stored(linked(close, sets), "near")
+    for turn in range(TURNS + 1):
+        labelled = entries.join(component_labels(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        # several turns of leaders unite most classes that belong together; then what is left between classes is compared
+        pairs = stored((further_leaders(labelled, turn) if turn < TURNS else crossing_pairs(labelled, profiled)).join(close, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        more = nodes_of(pairs).join(sets.select("node"), "node", "left_anti")
+        sets = sets.unionByName(stored(whole_sets(docs, profiled, more), "sets"))
+        links = links.unionByName(stored(linked(pairs, sets), "links"))
+        close = close.unionByName(pairs)
+    equal = profiled.filter("doc_id IS NOT NULL AND n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("least"))
+    joined = equal.join(component_labels(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    joined = joined.join(joined.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "check", "component_id")
+    rows = profiled.filter("block IS NULL").select("doc_id", "n", "node", "check").join(joined, ["node", "check"], "left")
+    component = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
