@@ -206,6 +206,29 @@ def test_passages(spark, rows):
     assert abs(got[502]["start_word"] - 20) <= 6 and abs(got[502]["end_word"] - 84) <= 6 and 0.8 <= got[502]["identity"] < 1
 
 
+def found_passages(spark, own, partitions):
+    rows = passage_chains.repeated_passages(frame(spark, own).repartition(partitions, "doc_id")).collect()
+    return {(r["doc_id"], r["start_word"], r["end_word"]) for r in rows}
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, 0.2])
+def test_edited_passages(spark, rate):
+    rng = random.Random(31)
+    word = lambda: f"v{rng.randrange(50000)}"
+    edit = lambda w: rng.choice([[word()], [], [w, word()]]) if rng.random() < rate else [w]
+    own, wanted = [], set()
+    for k in range(100):
+        passage = [word() for _ in range(80)]
+        edited = [x for w in passage for x in edit(w)]
+        own += [(i, " ".join([word() for _ in range(20)] + p + [word() for _ in range(20)])) for i, p in ((k, passage), (1000 + k, edited))]
+        a, b = (np.array([hash(w) for w in p]) for p in (passage, edited))
+        if passage_chains.common_words(a, b) >= 0.8 * max(len(a), len(b)):
+            wanted.add(1000 + k)
+    assert len(wanted) > 20
+    got = {d for d, *_ in found_passages(spark, own, 5)}
+    assert len(got & wanted) >= 0.95 * len(wanted) and min(got) >= 1000
+
+
 def test_chains_against_all_orders():
     rng = random.Random(3)
     for _ in range(30):
