@@ -229,6 +229,22 @@ def test_edited_passages(spark, rate):
     assert len(got & wanted) >= 0.95 * len(wanted) and min(got) >= 1000
 
 
+@pytest.mark.parametrize("width", [9, 12, 30])
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_passages_of_lines_that_occur_elsewhere(spark, width, partitions):
+    rng = random.Random(32)
+    word = lambda: f"v{rng.randrange(50000)}"
+    around = lambda p: " ".join([word() for _ in range(30)] + p + [word() for _ in range(30)])
+    own, wanted = [], set()
+    for k in range(40):
+        lines = [[word() for _ in range(width)] for _ in range(72 // width + 1)]
+        passage = [w for line in lines for w in line]
+        own += [(100 * k + j, around(line)) for j, line in enumerate(lines)] + [(10000 + k, around(passage)), (20000 + k, around(passage))]
+        wanted.add((20000 + k, 30, 30 + len(passage)))
+    got = found_passages(spark, own, partitions)
+    assert wanted <= got and min(got)[0] >= 10000
+
+
 def test_chains_against_all_orders():
     rng = random.Random(3)
     for _ in range(30):
