@@ -245,6 +245,17 @@ def test_passages_of_lines_that_occur_elsewhere(spark, width, partitions):
     assert wanted <= got and min(got)[0] >= 10000
 
 
+def test_passages_repeated_within_a_document(spark):
+    rng = random.Random(33)
+    word = lambda: f"v{rng.randrange(50000)}"
+    filler, passage = lambda n: [word() for _ in range(n)], [word() for _ in range(60)]
+    line = passage[20:34]
+    twice = filler(40) + line + filler(40) + passage + filler(40) + passage + filler(10)
+    own = [(k, " ".join(filler(100))) for k in range(20)] + [(500, " ".join(filler(10) + line + filler(30) + passage)), (501, " ".join(twice))]
+    found = [found_passages(spark, own, n) for n in (1, 16)]
+    assert found[0] == found[1] == {(501, 94, 154), (501, 194, 254)}
+
+
 def test_chains_against_all_orders():
     rng = random.Random(3)
     for _ in range(30):
