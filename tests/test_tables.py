@@ -93,3 +93,12 @@ def test_measured_first_match(spark, limit):
     once = R.join_measured(rows, R.measured(outputs), limit)
     again = R.join_measured(once, R.measured(outputs), limit)
     assert sorted(map(tuple, again.collect()), key=str) == [("triton_poi_1", 7.0), ("triton_poi_1", 7.0), ("triton_x", None)]
+
+
+def test_places_of_all_rows(spark):
+    values = [str((k * 37) % 90) for k in range(300)] + ["0", "-3", "", None, "text", "4 GB"] * 20
+    rows = spark.createDataFrame(list(enumerate(values)), "id int, v string").repartition(7)
+    for ascending in (True, False):
+        wanted = [r["id"] for r in G.sorted_rows(rows, "v", ascending, ["id"]).collect()]
+        got = sorted(G.placed_rows(rows, "v", ascending, ["id"]).collect(), key=lambda r: r["place"])
+        assert [r["place"] for r in got] == list(range(1, len(values) + 1)) and [r["id"] for r in got] == wanted

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_float
+from ..llm.shared import stored
 
 TEXT_OPERATORS, NUMBER_OPERATORS = ("~", "!~"), (">=", "<=", ">", "<", "=")
 
@@ -52,6 +53,17 @@ def sorted_rows(rows: DataFrame, column: str, ascending: bool = True, ties: Sequ
     return rows.orderBy(*sort_keys(column, ascending), *ties)
 
 
+def placed_rows(rows: DataFrame, column: str, ascending: bool = True, ties: Sequence[str] = ()) -> DataFrame:
+    """All rows with their place (from 1) in the order of ``sorted_rows``. Ranges of the order are numbered apart, each from the count of those before; equal rows share a range."""
+    keys = [*sort_keys(column, ascending), *(F.col(c) for c in ties)]
+    within = stored(rows.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = within.groupBy("__range").agg(F.count("*").alias("__n"))
+    # a row a range, so few
+    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))).drop("__n")
+    numbered = within.withColumn("__own", F.row_number().over(Window.partitionBy("__range").orderBy(*keys)))
+    return numbered.join(F.broadcast(before), "__range").select(*rows.columns, (F.col("__own") + F.coalesce("__before", F.lit(0))).cast("long").alias("place"))
+
+
 def sums(rows: DataFrame) -> DataFrame:
     """One row: each column's sum of the numbers that its cells begin with; null for efficiencies, columns with a % cell and columns without numbers."""
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -383,8 +383,13 @@ def grid_sums(spark, sf_dir):
 @query("grid_sort", "SELECT p_partkey, p_size, CAST(row_number() OVER (ORDER BY p_size DESC, p_partkey) AS INT) AS place FROM part ORDER BY place LIMIT 50")
 def grid_sort(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    top = G.sorted_rows(rows, "p_size", False, ["p_partkey"]).limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(*G.sort_keys("p_size", False), "p_partkey")))
+    placed = G.placed_rows(rows, "p_size", False, ["p_partkey"])
+    return placed.filter("place <= 50").withColumn("place", F.col("place").cast("int"))
+
+
+@query("grid_sort_all", "SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS place FROM part")
+def grid_sort_all(spark, sf_dir):
+    return G.placed_rows(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", False, ["p_partkey"])
 
 
 @query("pie_share", "SELECT o_orderpriority, n, round(CAST(n AS DOUBLE) / sum(n) OVER (), 9) AS share FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY ALL)")
