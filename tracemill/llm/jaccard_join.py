@@ -1,16 +1,20 @@
 """Near-duplicate classes by an exact Jaccard join on word shingles, skipping by set relations.
 
 1. A sketch of fixed size counts all shingles; it gives a global order, rare shingles first.
-2. Of two sets that link, each one's first fifth (its prefix) shares a shingle with the other's. So prefixes make an
-   inverted index, its lists ordered by set size. Equal sets are one node, known by 64 bits of a digest, and enter once. Entries that no other entry of
-   the list can link with, by size and by the overlap that their positions still allow, are skipped.
-3. Answers of similar sets are derived: each set is first compared with the leaders of its lists. Sets that link with
-   one leader are in one class, which answers all pairs among them; no such pair is made. A turn with other leaders
-   unites classes further.
-4. For pairs across classes, lists are walked in blocks, and blocks that size and position rule out are skipped. Of
-   the rest, pairs whose sketches (numbers of shingles in 128 parts) can't reach the overlap are dropped, and the others
-   compared in full. Nothing is capped: every link is within a class or compared.
+2. Of two sets that link, each one's first fifth (its prefix) shares a shingle with the other's, at positions that still
+   allow the overlap. So prefixes make an inverted index, its lists ordered by set size. In an entry's list all blocks
+   are skipped that hold no size and position it could link with (``partnered``); entries without any partner are
+   skipped for good, which leaves a few hundredths of them. Equal sets are one node and enter once.
+3. Each list has a leader. A set is compared in full with the leaders of most of its lists; sets that link with one
+   leader are a class, which answers all pairs among them: no such pair is made. Lists in one class are done with.
+   Further turns with other leaders unite classes.
+4. Pairs across classes get their answers from those of very similar sets: a leader's overlap with another leader, and
+   each set's own with its leader, bound the overlap of two sets. Only what the bounds leave open is compared in full.
+   Nothing is capped: every link is within a class, or derived, or compared.
 5. Classes are joined to components.
+
+Lists of shingles far more frequent than others aren't gathered in one task: their entries stay rows, so grouping and
+joins by Spark split them.
 """
 
 from __future__ import annotations
@@ -22,41 +26,37 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import component_labels
 from .shared import bounded_batches, by_slices, documents, stored, text_bytes
-from .shingles import mixed, shingle_sets
+from .shingles import mixed, shingle_set, shingle_sets
 
 CELLS, BLOCKS = 2**20, 64
 CELL_SHIFT = np.uint64(44)
+FREQUENT = 1000
+HELD_ENTRIES = 1_000_000
 LEADERS = 2
-TURNS = 1
-BLOCK = 512
-HELD_PAIRS = 1_000_000
-PARTS = 128
+TURNS = 3
 PERCENT = 80
 
 
-def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least overlap of sets of these sizes that link: 100 * overlap >= 80 * union."""
-    return -(-PERCENT * (a + b) // (100 + PERCENT))
-
-
 def prefix_size(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """How many shingles fall in each of PARTS parts, 255 for as many or more. Two sets share at most the sum of the lesser numbers."""
-    return np.minimum(np.bincount((shingles & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
+def node_of(shingles: np.ndarray) -> tuple[int, int]:
+    """The two halves of a 128-bit digest of a set."""
+    first, second = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64).tolist()
+    return first, second
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n, node, check, sketch of every document: the size, the two halves of a 128-bit digest and the sketch of its set. Rows with a block hold a task's counts of shingles for a part of the sketch."""
+    """doc_id, n, node, check of every document: its set's size and digest. Rows with a block hold a task's counts of shingles for a part of the sketch."""
     cells, blocks = CELLS, BLOCKS
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.int64)
@@ -64,89 +64,105 @@ def profiles(docs: DataFrame) -> DataFrame:
             for a, b in by_slices(batch, 1):
                 sets = shingle_sets(batch.column(1).slice(a, b - a).to_pylist())
                 total += np.bincount(np.concatenate(sets) >> CELL_SHIFT, minlength=cells)
-                halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(map(len, sets), pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(map(sketch, sets), pa.binary()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], schema=schema)
-        parts = [zlib.compress(p.astype("<u4").tobytes(), 1) for p in np.split(total, blocks)]
+                node, check = zip(*map(node_of, sets))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(map(len, sets), pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], schema=schema)
+        parts = [zlib.compress(p.astype("<u8").tobytes(), 1) for p in np.split(total, blocks)]
         none = pa.nulls(blocks, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(blocks, pa.binary()), pa.array(range(blocks), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(blocks), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(profile, "doc_id long, n long, node long, check long, sketch binary, block int, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(profile, "doc_id long, n long, node long, check long, block int, counts binary")
 
 
-def rarity(profiled: DataFrame) -> np.ndarray:
-    """A class from 0 (rare) up for each cell of the sketch: how far its count is above the mean, in quarters of a power of two."""
+def cell_counts(profiled: DataFrame) -> np.ndarray:
+    """How many shingles fall in each cell of the sketch; tasks' tables are added in two steps, so no task holds them all."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64) for x in pdf["counts"])
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "counts": [total.astype("<i8").tobytes()]})
+        total = sum(np.frombuffer(zlib.decompress(x), "<u8") for x in pdf["counts"])
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    tables = profiled.filter("block IS NOT NULL").select("block", "counts")
+    some = tables.groupBy("block", F.pmod(F.xxhash64("counts"), F.lit(256))).applyInPandas(add, "block int, counts binary")
+    rows = some.groupBy("block").applyInPandas(add, "block int, counts binary").collect()
+    return np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), "<u8") for r in sorted(rows, key=lambda r: r["block"])]) if rows else np.zeros(CELLS, np.uint64)
+
 
-    rows = profiled.filter("block IS NOT NULL").select("block", "counts").groupBy("block").applyInPandas(add, "block int, counts binary").collect()
-    total = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sorted(rows, key=lambda r: r["block"])]) if rows else np.zeros(CELLS)
-    share = np.maximum(total, 1) / max(1.0, float(total.mean()))
-    return np.clip(np.floor(4 * np.log2(share)), 0, 31).astype(np.uint8)
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """A class for each cell, from 0 (rare) to 31: how far its count is above the mean, in quarters of a power of two; plus 32 if it is frequent, far above the mean."""
+    mean = max(1.0, float(counts.mean()))
+    return np.clip(np.floor(4 * np.log2(np.maximum(counts, 1) / mean)), 0, 31).astype(np.uint8) + (counts > 2 * mean + FREQUENT).astype(np.uint8) * 32
+
+
+LIST = pa.schema([("bucket", pa.int32()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("places", pa.binary())])
 
 
 def prefix_lists(docs: DataFrame, classes: np.ndarray, buckets: int) -> DataFrame:
-    """bucket and, as bytes, the prefixes of a batch's different sets in this range of shingles: nodes, sizes, numbers of entries, shingles (low half), positions."""
+    """LIST: prefixes of many different sets in a range of shingles: nodes, sizes, numbers of entries, shingles (low half), positions. Entries of frequent shingles have no bucket and whole shingles."""
     shipped = docs.sparkSession.sparkContext.broadcast(classes.tobytes())
-    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("nodes", "sizes", "counts", "tokens", "places"))])
+
+    def packed(bucket: int | None, own: np.ndarray, owner: np.ndarray, node: np.ndarray, size: np.ndarray, token: np.ndarray, place: np.ndarray) -> tuple:
+        some, counts = np.unique(owner[own], return_counts=True)
+        tokens = token[own].tobytes() if bucket is None else token[own].astype("<u4").tobytes()
+        return bucket, node[some].tobytes(), size[some].astype("<u4").tobytes(), counts.astype("<u4").tobytes(), tokens, place[own].astype("<u4" if place[own].max() >= 2**16 else "<u2").tobytes()
+
+    def lists(sets: dict[int, tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        token = mixed(np.concatenate([x for _, x, _ in sets.values()]))
+        often = np.concatenate([f for _, _, f in sets.values()])
+        lengths = np.array([len(x) for _, x, _ in sets.values()])
+        owner = np.repeat(np.arange(len(sets)), lengths)
+        place = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        node, size = np.array(list(sets), np.int64), np.array([n for n, _, _ in sets.values()], np.int64)
+        bucket = np.where(often, buckets, (token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0, True])
+        parts = [order[a:b] for a, b in zip(edges[:-1], edges[1:])]
+        rows = [packed(k if k < buckets else None, own, owner, node, size, token, place) for own in parts for k in [int(bucket[own[0]])]]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(LIST)], schema=LIST)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.frombuffer(shipped.value, np.uint8).astype(np.uint64)
+        rank = np.frombuffer(shipped.value, np.uint8)
+        held: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+        entries = 0
         for batch in batches:
-            own: dict[int, tuple[int, np.ndarray]] = {}
             for a, b in by_slices(batch, 0):
                 for x in shingle_sets(batch.column(0).slice(a, b - a).to_pylist()):
-                    if not len(x):
+                    if not len(x) or (node := node_of(x)[0]) in held:
                         continue
-                    node = int.from_bytes(xxhash.xxh3_128_digest(x.tobytes())[:8], "little", signed=True)
-                    if node not in own:
-                        ordered = rank[x >> CELL_SHIFT] << np.uint64(58) | x & np.uint64(2**58 - 1)
-                        k = prefix_size(len(x))
-                        ordered = np.sort(np.partition(ordered, k - 1)[:k] if k < len(x) else ordered)
-                        own[node] = len(x), ordered
-            if not own:
-                continue
-            token = mixed(np.concatenate([x for _, x in own.values()]))
-            lengths = np.array([len(x) for _, x in own.values()])
-            owner = np.repeat(np.arange(len(own)), lengths)
-            place = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            token, owner, place = token[order], owner[order], place[order]
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            node, size = np.array(list(own), np.int64), np.array([n for n, _ in own.values()], np.int64)
-            rows = []
-            for k in range(buckets):
-                part = slice(edges[k], edges[k + 1])
-                if edges[k + 1] > edges[k]:
-                    some, counts = np.unique(owner[part], return_counts=True)
-                    rows.append((k, node[some].tobytes(), size[some].astype("<u4").tobytes(), counts.astype("<u2").tobytes() if counts.max() < 2**16 else counts.astype("<u4").tobytes(), token[part].astype("<u4").tobytes(), place[part].astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
+                    own = rank[x >> CELL_SHIFT]
+                    ordered = (own & np.uint8(31)).astype(np.uint64) << np.uint64(58) | x & np.uint64(2**58 - 1)
+                    k = prefix_size(len(x))
+                    first = np.argpartition(ordered, k - 1)[:k] if k < len(x) else np.arange(len(x))
+                    first = first[np.argsort(ordered[first])]
+                    held[node] = len(x), ordered[first], own[first] >= 32
+                    entries += k
+                if entries > HELD_ENTRIES:
+                    yield lists(held)
+                    held, entries = {}, 0
+        if held:
+            yield lists(held)
 
     return docs.select(text_bytes().alias("text")).mapInArrow(cut, "bucket int, nodes binary, sizes binary, counts binary, tokens binary, places binary")
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of whole lists, several at a time, from batches sorted by their first column."""
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        token = columns[0]
-        last = int(np.searchsorted(token, token[-1]))
-        if last:
-            held.append([c[:last] for c in columns])
-            yield [np.concatenate(x) for x in zip(*held)]
-            held = [[c[last:] for c in columns]]
-        else:
-            if held and held[-1][0][-1] != token[0]:
-                yield [np.concatenate(x) for x in zip(*held)]
-                held = []
-            held.append(columns)
-    if held:
-        yield [np.concatenate(x) for x in zip(*held)]
+def largest_within(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The largest value at places from ``low`` to below ``high``, or the least number there is where that is none."""
+    out = np.full(len(low), np.iinfo(np.int64).min)
+    table, width = values, 1
+    while (some := high - low >= width).any():
+        now = some & (high - low < 2 * width)
+        out[now] = np.maximum(table[low[now]], table[high[now] - width])
+        if len(table) <= width:
+            break
+        table, width = np.maximum(table[:-width], table[width:]), 2 * width
+    return out
+
+
+def partnered(token: np.ndarray, n: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Whether an entry has one in its list that it may link with: sizes a, b where each is at most the other's top. Entries are in order of list and size."""
+    begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    number = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(token)]))
+    stop = np.searchsorted(number << 32 | n, number << 32 | np.maximum(top, 0), side="right")
+    i = np.arange(len(token))
+    return (largest_within(top, i + 1, stop) >= n) | (largest_within(top, begin[number], np.minimum(i, stop)) >= n)
 
 
 def leading(token: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -157,149 +173,60 @@ def leading(token: np.ndarray, order: np.ndarray) -> np.ndarray:
     return least[np.searchsorted(least, np.repeat(begin, length))]
 
 
-ENTRY = "token long, node long, n long, pos long, leader long"
+ENTRY = "token long, node long, n long, top long, leader long"
 
 
-def shared_entries(parts: DataFrame, buckets: int) -> DataFrame:
-    """ENTRY: the entries of all lists that some other entry of their list may link with, and the list's leader: the set of least position there, so with the fewest rare shingles, which a text has that others were copied from."""
+def shared_entries(lists: DataFrame, buckets: int) -> DataFrame:
+    """ENTRY: all entries that some other entry of their list may link with; top: the largest set they may link with. leader: the set of least position in the list, so with the fewest rare shingles, which a text has that others were copied from. Of frequent shingles all entries, the leader being one of those packed with them."""
     schema = pa.schema([(c.split()[0], pa.int64()) for c in ENTRY.split(", ")])
 
-    def lists(held: list) -> Iterator[pa.RecordBatch]:
+    def entries(held: list) -> Iterator[pa.RecordBatch]:
+        bucket = held[0][0]
         node, n, token, pos = [], [], [], []
         for _, nodes, sizes, counts, tokens, places in held:
-            nodes = np.frombuffer(nodes, np.int64)
-            times = np.frombuffer(counts, "<u2" if len(counts) == 2 * len(nodes) else "<u4")
-            node.append(np.repeat(nodes, times))
+            times = np.frombuffer(counts, "<u4")
+            node.append(np.repeat(np.frombuffer(nodes, np.int64), times))
             n.append(np.repeat(np.frombuffer(sizes, "<u4").astype(np.int64), times))
-            token.append(np.frombuffer(tokens, "<u4").astype(np.int64))
-            pos.append(np.frombuffer(places, "<u4").astype(np.int64))
+            token.append(np.frombuffer(tokens, "<i8") if bucket is None else np.frombuffer(tokens, "<u4").astype(np.int64))
+            pos.append(np.frombuffer(places, "<u2" if len(places) == 2 * times.sum() else "<u4").astype(np.int64))
         node, n, token, pos = map(np.concatenate, (node, n, token, pos))
-        order = np.lexsort((node, n, token))
+        order = np.argsort(token, kind="stable")
+        if bucket is not None:
+            again = token[order][1:] == token[order][:-1]
+            order = order[np.r_[False, again] | np.r_[again, False]]
+        order = order[np.lexsort((node[order], n[order], token[order]))]
         node, n, token, pos = node[order], n[order], token[order], pos[order]
-        once = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]  # equal sets come from several batches
+        once = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])][: len(token)]  # equal sets come from several batches
         node, n, token, pos = node[once], n[once], token[once], pos[once]
-        near = np.zeros(len(token), bool)
-        # sorted by size within a list: if any size fits, a neighbour's does
-        fits = (token[1:] == token[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
-        near[1:] |= fits
-        near[:-1] |= fits
-        if not near.any():
-            return
-        node, n, token, pos = node[near], n[near], token[near], pos[near]
-        leader = node[leading(token, np.minimum(pos, 2**20 - 1).astype(np.uint64) << np.uint64(44) | mixed(node.view(np.uint64)) >> np.uint64(20))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (token | held[0][0] << 32, node, n, pos, leader)], schema=schema)
+        # overlap n - pos or less is left; it must be 4/9 of both sizes together
+        top = (9 * (n - pos) - 4 * n) // 4
+        if bucket is not None and len(token):
+            may = partnered(token, n, top)
+            node, n, token, pos, top = node[may], n[may], token[may] | bucket << 32, pos[may], top[may]
+        if len(token):
+            leader = node[leading(token, np.minimum(pos, 2**20 - 1).astype(np.uint64) << np.uint64(44) | mixed(node.view(np.uint64)) >> np.uint64(20))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (token, node, n, top, leader)], schema=schema)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][0] != row[0]:
-                    yield from lists(held)
+                if held and (held[0][0] != row[0] or row[0] is None):
+                    yield from entries(held)
                     held = []
                 held.append(row)
         if held:
-            yield from lists(held)
+            yield from entries(held)
 
-    return parts.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(gather, ENTRY)
+    place = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("nodes"), F.lit(buckets)).cast("int"))
+    return lists.repartitionById(buckets, place).sortWithinPartitions("bucket").mapInArrow(gather, ENTRY)
 
 
-def leader_pairs(entries: DataFrame) -> DataFrame:
+def most_led(entries: DataFrame) -> DataFrame:
     """a, b: each set with the sets that lead most of its lists, if they lead an eighth of its prefix."""
-    return most_led(entries.filter("node <> leader").groupBy("node", "leader", "n").agg(F.count("*").alias("lists")))
-
-
-def further_leaders(labelled: DataFrame, turn: int) -> DataFrame:
-    """a, b: each set with the sets of another class that lead most of its lists, another hash choosing the leaders each turn."""
-    schema = pa.schema([("node", pa.int64()), ("leader", pa.int64()), ("n", pa.int64()), ("lists", pa.int64())])
-    salt = mixed(np.array([turn + 1], np.uint64))[0]
-
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, node, n, _, label in runs(batches):
-            at = leading(token, mixed(node.view(np.uint64) ^ salt))
-            fit = (label != label[at]) & (100 * np.minimum(n, n[at]) >= PERCENT * np.maximum(n, n[at]))
-            if fit.any():
-                own, leader, size = node[fit], node[at][fit], n[fit]
-                order = np.lexsort((leader, own))
-                own, leader, size = own[order], leader[order], size[order]
-                first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (leader[1:] != leader[:-1])])
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (own[first], leader[first], size[first], np.diff(np.r_[first, len(own)]))], schema=schema)
-
-    parted = labelled.select("token", "node", "n", "pos", "label").repartition("token").sortWithinPartitions("token", "n", "node")
-    counted = parted.mapInArrow(lead, "node long, leader long, n long, lists long").groupBy("node", "leader", "n").agg(F.sum("lists").alias("lists"))
-    return most_led(counted)
-
-
-def most_led(counted: DataFrame) -> DataFrame:
+    counted = entries.filter("node <> leader").groupBy("node", "leader", "n").agg(F.count("*").alias("lists")).filter("lists * 40 >= n")
     turn = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("lists"), "leader"))
-    most = counted.filter("lists * 40 >= n").withColumn("turn", turn).filter(F.col("turn") <= LEADERS)
-    return most.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-
-
-def admissible(token: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of entries of a list that differ in class, fit in size and could still reach the overlap at their positions, with that overlap; by pairs of blocks."""
-    edges = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
-    several = np.add.reduceat(np.r_[False, (token[1:] == token[:-1]) & (label[1:] != label[:-1])].astype(np.int64), edges[:-1]) > 0
-    for begin, end in zip(edges[:-1][several].tolist(), edges[1:][several].tolist()):
-        for at in range(begin, end, BLOCK):
-            i = np.arange(at, min(at + BLOCK, end))
-            stop = begin + int(np.searchsorted(n[begin:end], n[i[-1]] * 100 // PERCENT, side="right"))
-            for other in range(at, stop, BLOCK):
-                j = np.arange(other, min(other + BLOCK, stop))
-                if min((n[i] - pos[i]).max(), (n[j] - pos[j]).max()) < needed(n[i[0]], n[j[0]]):
-                    continue
-                least = needed(n[i][:, None], n[j])
-                x, y = np.nonzero((label[i][:, None] != label[j]) & (i[:, None] < j) & (100 * n[i][:, None] >= PERCENT * n[j]) & (np.minimum((n[i] - pos[i])[:, None], n[j] - pos[j]) >= least))
-                if len(x):
-                    yield i[x], j[y], least[x, y]
-
-
-def crossing_pairs(labelled: DataFrame, profiled: DataFrame) -> DataFrame:
-    """a, b: all pairs of entries of different classes whose sizes, places and sketches leave the needed overlap possible.
-
-    Entries without a partner go first, so that few sketches are shuffled.
-    """
-    names = ["token", "node", "n", "pos", "label"]
-
-    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in runs(batches):
-            token, _, n, pos, label = columns
-            kept = np.zeros(len(token), bool)
-            for x, y, _ in admissible(token, n, pos, label):
-                kept[x] = kept[y] = True
-            if kept.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], names=names)
-
-    def once(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        a, b = map(np.concatenate, zip(*held))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for token, node, n, pos, label, sketches in runs(batches):
-            parts = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, PARTS)
-            for x, y, least in admissible(token, n, pos, label):
-                low = np.minimum(parts[x], parts[y])
-                may = (low.sum(axis=1, dtype=np.int64) >= least) | (low == 255).any(axis=1)
-                x, y = node[x[may]], node[y[may]]
-                if len(x):
-                    held.append((np.minimum(x, y), np.maximum(x, y)))
-                    size += len(x)
-                    if size > HELD_PAIRS:
-                        yield once(held)
-                        held, size = [], 0
-        if held:
-            yield once(held)
-
-    def by_lists(df: DataFrame) -> DataFrame:
-        return df.repartition("token").sortWithinPartitions("token", "n", "node")
-
-    some = by_lists(labelled.select(*names)).mapInArrow(partnered, ", ".join(f"{c} long" for c in names))
-    sketches = profiled.filter("n > 0").groupBy("node").agg(F.first("sketch").alias("sketch"))
-    return by_lists(some.join(sketches, "node").select(*names, "sketch")).mapInArrow(walk, "a long, b long").distinct()
+    return counted.withColumn("turn", turn).filter(F.col("turn") <= LEADERS).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
 def among(docs: DataFrame, ids: DataFrame, most_bits: int = 26) -> DataFrame:
@@ -312,70 +239,146 @@ def among(docs: DataFrame, ids: DataFrame, most_bits: int = 26) -> DataFrame:
     return placed.join(F.broadcast(bitmap), "part").filter((byte.bitwiseAND(F.expr("shiftleft(1, cast(p % 8 as int))")) != 0)).select(*docs.columns)
 
 
-def whole_sets(docs: DataFrame, profiled: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles (sorted, as bytes) of the sets in ``nodes``, each from the least of its documents."""
-    wanted = stored(profiled.filter("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc")).join(nodes, "node"), "wanted")
-    schema = pa.schema([("doc", pa.int64()), ("node", pa.int64()), ("shingles", pa.binary())])
+def packed_sets(docs: DataFrame, profiled: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, packed of the sets in ``nodes``: the compressed text, less than half the size of its shingles, of the least of its documents."""
+    wanted = stored(profiled.filter("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("doc")).join(nodes, "node", "left_semi"), "wanted")
+    schema = pa.schema([("doc", pa.int64()), ("node", pa.int64()), ("packed", pa.binary())])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in batches:
-            for a, b in by_slices(own, 1):
-                sets = shingle_sets(own.column(1).slice(a, b - a).to_pylist())
-                nodes = [int.from_bytes(xxhash.xxh3_128_digest(x.tobytes())[:8], "little", signed=True) for x in sets]
-                yield pa.RecordBatch.from_arrays([own.column(0).slice(a, b - a), pa.array(nodes, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], schema=schema)
+        coder = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for a, b in by_slices(batch, 1):
+                texts = batch.column(1).slice(a, b - a).to_pylist()
+                nodes = [node_of(x)[0] for x in shingle_sets(texts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(nodes, pa.int64()), pa.array(map(coder.compress, texts), pa.binary())], schema=schema)
 
     named = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    some = among(named, wanted.select("doc")).select("doc", text_bytes().alias("text")).mapInArrow(take, "doc long, node long, shingles binary")
-    return some.join(wanted, ["doc", "node"], "left_semi").select("node", "shingles")
+    some = among(named, wanted.select("doc")).select("doc", text_bytes().alias("text")).mapInArrow(take, "doc long, node long, packed binary")
+    return some.join(wanted, ["doc", "node"], "left_semi").groupBy("node").agg(F.first("packed").alias("packed"))
 
 
-def nodes_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+ANSWER = "a long, b long, na long, nb long, common long"
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link, their sets compared in full. Sets that no pair has aren't shuffled."""
+def answers(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """ANSWER of each pair a, b: the sizes and the overlap of the two sets."""
+    schema = pa.schema([(c.split()[0], pa.int64()) for c in ANSWER.split(", ")])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = zstandard.ZstdDecompressor()
+        last, x = None, np.zeros(0, np.uint64)
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = np.intersect1d(x, y, assume_unique=True).size
-                ok.append(100 * common >= PERCENT * (len(x) + len(y) - common) > 0)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+            out = []
+            for a, b, pa_, pb in zip(*(c.to_pylist() for c in batch.columns)):
+                if b != last:
+                    last, x = b, shingle_set(coder.decompress(pb))
+                y = shingle_set(coder.decompress(pa_))
+                out.append((a, b, len(y), len(x), np.intersect1d(x, y, assume_unique=True).size))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 5, schema=schema)
+
+    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a")
+    both = first.join(sets.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b")
+    return both.select("a", "b", "pa", "pb").mapInArrow(compare, ANSWER)
+
+
+LINKED = f"100 * common >= {PERCENT} * (na + nb - common)"
+
+
+def with_labels(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries with their class, of the lists that have several."""
+    labelled = entries.select("token", "node", "n", "top").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
+    return labelled.join(several, "token", "left_semi")
+
 
-    own = among(sets.withColumnRenamed("node", "doc"), nodes_of(pairs).withColumnRenamed("node", "doc")).withColumnRenamed("doc", "node")
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, label after ``links`` between nodes: components of the classes so far."""
+    if labels is None:
+        return stored(component_labels(links), "labels")
+    named = links
+    for side in "ab":
+        named = named.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
+    more = component_labels(named.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("further"))
+    old = labels.join(more, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+    # classes of one set so far have no row among the labels
+    new = more.select(F.col("label").alias("node"), F.col("further").alias("label")).join(labels, "node", "left_anti")
+    return stored(old.unionByName(new), "labels")
+
+
+def further_leaders(crossing: DataFrame, turn: int) -> DataFrame:
+    """a, b: each set with the sets of other classes that lead most of its lists, another hash choosing the leaders each turn."""
+    lead = crossing.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("leader"), F.col("label").alias("ll"), F.col("n").alias("ln"), F.col("top").alias("lt"))).alias("l")).select("token", "l.*")
+    return most_led(crossing.join(lead, "token").filter("label <> ll AND n <= lt AND ln <= top").select("node", "leader", "n"))
+
+
+def crossing_pairs(crossing: DataFrame) -> DataFrame:
+    """a, b: all pairs of entries of different classes whose sizes and places leave the needed overlap possible.
+
+    Classes of a list are compared first, by their range of sizes, then the entries of those that are left.
+    """
+    classes = crossing.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("top").alias("high"))
+    other = classes.select("token", F.col("label").alias("lb"), F.col("low").alias("ob"), F.col("high").alias("hb"))
+    both = classes.join(other, "token").filter("label < lb AND low <= hb AND ob <= high").select("token", "label", "lb")
+    x = both.join(crossing.select("token", "label", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("top").alias("tx")), ["token", "label"])
+    y = x.join(crossing.select("token", F.col("label").alias("lb"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("top").alias("ty")), ["token", "lb"])
+    return y.filter("nx <= ty AND ny <= tx").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
+
+
+def derived(pairs: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links among ``pairs`` (a, b, na, nb): derived from the answers of the leaders that the two sets link with, or where these leave it open compared.
+
+    A set shares with another at most what their leaders share, and what each has beyond its leader; and at least
+    what the leaders share, less what each lacks of its leader.
+    """
+    linked = known.filter(LINKED)
+    sides = linked.select(F.col("a").alias("node"), F.col("b").alias("host"), F.col("na").alias("n"), F.col("nb").alias("m"), "common").unionByName(linked.select(F.col("b").alias("node"), F.col("a").alias("host"), F.col("nb").alias("n"), F.col("na").alias("m"), "common"))
+    # leaders are in many answers: a set's host is the one with most of them, itself included
+    times = sides.groupBy("host").agg(F.count("*").alias("times"))
+    led = sides.join(times, "host").groupBy("node").agg(F.max(F.struct("times", "common", "host", (F.col("n") - F.col("common")).alias("beyond"), (F.col("m") - F.col("common")).alias("lacking"))).alias("h"))
+    own = times.select(F.col("host").alias("node"), F.struct("times", F.lit(2**40).alias("common"), F.col("host"), F.lit(0).cast("long").alias("beyond"), F.lit(0).cast("long").alias("lacking")).alias("h"))
+    hosts = led.unionByName(own).groupBy("node").agg(F.max("h").alias("h"))
+    for side in "ab":
+        pairs = pairs.join(hosts.select(F.col("node").alias(side), F.col("h").alias(f"h{side}")), side, "left")
+        pairs = pairs.withColumn(f"{side}_host", F.coalesce(f"h{side}.host", side)).withColumn(f"{side}_beyond", F.coalesce(f"h{side}.beyond", F.lit(0))).withColumn(f"{side}_lacking", F.coalesce(f"h{side}.lacking", F.lit(0)))
+    pairs = stored(pairs.select("a", "b", "na", "nb", "a_host", "b_host", (F.col("a_beyond") + F.col("b_beyond")).alias("beyond"), (F.col("a_lacking") + F.col("b_lacking")).alias("lacking"), F.least("a_host", "b_host").alias("low"), F.greatest("a_host", "b_host").alias("high")), "crossing-pairs")
+    leaders = stored(answers(pairs.filter("low <> high").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct(), sets), "leader-answers")
+    bounded = pairs.join(leaders.select(F.col("a").alias("low"), F.col("b").alias("high"), "common"), ["low", "high"], "left")
+    need = F.expr(f"({PERCENT} * (na + nb) + {99 + PERCENT}) div {100 + PERCENT}")
+    judged = bounded.withColumn("verdict", F.when(F.col("common") + F.col("beyond") < need, 0).when(F.col("common") - F.col("lacking") >= need, 1))
+    judged = stored(judged.filter("verdict IS NULL OR verdict = 1").select("a", "b", "verdict"), "verdicts")
+    open_pairs = answers(judged.filter("verdict IS NULL").select("a", "b"), sets).filter(LINKED)
+    return judged.filter("verdict = 1").select("a", "b").unionByName(open_pairs.select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_shingles, component_id (the least doc_id that links reach).
 
     Null or blank texts have no shingles and link with nothing. Rows with a null doc_id have a null component and take
-    part in no link. Rows that repeat a doc_id count as one document. An empty table gives none.
+    part in no link. Rows that repeat a doc_id are judged each by its own text, so they may be in several components.
+    Texts count whole, however long. An empty table gives none. Other columns aren't read.
     """
     bounded_batches(docs)
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     profiled = stored(profiles(docs), "profiles")
-    named = docs.filter("doc_id IS NOT NULL")
-    entries = stored(shared_entries(prefix_lists(named, rarity(profiled), buckets), buckets), "entries")
-    close = stored(leader_pairs(entries), "close")
-    sets = stored(whole_sets(docs, profiled, nodes_of(close)), "sets")
-    links = stored(linked(close, sets), "near")
-    for turn in range(TURNS + 1):
-        labelled = entries.join(component_labels(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        # several turns of leaders unite most classes that belong together; then what is left between classes is compared
-        pairs = stored((further_leaders(labelled, turn) if turn < TURNS else crossing_pairs(labelled, profiled)).join(close, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        more = nodes_of(pairs).join(sets.select("node"), "node", "left_anti")
-        sets = sets.unionByName(stored(whole_sets(docs, profiled, more), "sets"))
-        links = links.unionByName(stored(linked(pairs, sets), "links"))
-        close = close.unionByName(pairs)
+    lists = prefix_lists(docs.filter("doc_id IS NOT NULL"), rarity(cell_counts(profiled)), buckets)
+    entries = stored(shared_entries(lists, buckets), "entries")
+    sets = stored(packed_sets(docs, profiled, entries.select("node").distinct()), "sets")
+    known = stored(answers(most_led(entries), sets), "answers")
+    labels = relabelled(None, known.filter(LINKED))
+    crossing = stored(with_labels(entries, labels), "crossing")
+    for turn in range(TURNS):
+        # leaders unite most classes that belong together; then what is left between classes is derived or compared
+        found = stored(answers(further_leaders(crossing, turn).join(known, ["a", "b"], "left_anti"), sets), "answers")
+        links = found.filter(LINKED)
+        known = known.unionByName(found)
+        if links.isEmpty():
+            break
+        labels = relabelled(labels, links)
+        crossing = stored(with_labels(crossing, labels), "crossing")
+    pairs = crossing_pairs(crossing).join(known, ["a", "b"], "left_anti")
+    labels = relabelled(labels, stored(derived(pairs, known, sets), "links"))
     equal = profiled.filter("doc_id IS NOT NULL AND n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("least"))
-    joined = equal.join(component_labels(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    joined = equal.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     joined = joined.join(joined.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "check", "component_id")
     rows = profiled.filter("block IS NULL").select("doc_id", "n", "node", "check").join(joined, ["node", "check"], "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component_id"))

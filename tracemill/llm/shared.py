@@ -22,12 +22,20 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder of spark.checkpoint.dir; where it is unset (tests on one machine), a temporary one for the application."""
+    """The cluster's folder of spark.checkpoint.dir. Where it is unset, a temporary one for the application if all runs on one machine, else an error: executors don't see a machine's own folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         folder = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-    return folder.rstrip("/")
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Deletes all tables that ``stored`` wrote for this application. Results that still read them must be written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 BATCH_BYTES = 16 * 2**20
@@ -51,6 +59,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused_name(df: DataFrame, wanted: str = "own") -> str:
+    """A column name that ``df`` doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted in taken:
+        wanted += "_"
+    return wanted
+
+
 def text_bytes(column: str = "text") -> Column:
     """A text in UTF-8, null as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
