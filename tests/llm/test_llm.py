@@ -257,20 +257,32 @@ def test_passages_repeated_within_a_document(spark):
 
 
 def test_chains_against_all_orders():
-    rng = random.Random(3)
-    for _ in range(30):
-        points = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(25)})
-        best = [float(passage_chains.WIDTH)] * len(points)
-        for i, (a, b) in enumerate(points):
-            for j in range(i):
-                c, d = points[j]
-                if c < a and d < b:
-                    best[i] = max(best[i], best[j] + min(passage_chains.WIDTH, a - c, b - d) - passage_chains.GAP_COST * (a - c + b - d))
-        found = passage_chains.chains(np.array([p[0] for p in points]), np.array([p[1] for p in points]))
-        if found:
-            chain = found[0].tolist()
-            got = passage_chains.WIDTH + sum(min(passage_chains.WIDTH, points[j][0] - points[i][0], points[j][1] - points[i][1]) - passage_chains.GAP_COST * (points[j][0] - points[i][0] + points[j][1] - points[i][1]) for i, j in zip(chain, chain[1:]))
-            assert got <= max(best) + 1e-9 and all(points[i][0] < points[j][0] and points[i][1] < points[j][1] for i, j in zip(chain, chain[1:]))
+    rng, width, cost = random.Random(3), passage_chains.WIDTH, passage_chains.GAP_COST
+    own = lambda s: width + (1 - 2 * cost) * s[2]
+    gap = lambda s, t: cost * (t[0] - s[0] - s[2] + t[1] - s[1] - s[2])
+    before = lambda s, t: s[0] + s[2] < t[0] and s[1] + s[2] < t[1]
+    longer = 0
+    for _ in range(60):
+        found = sorted({(rng.randrange(80), rng.randrange(80), rng.randrange(8)) for _ in range(20)})
+        best = [own(s) for s in found]
+        for i, t in enumerate(found):
+            best[i] = max([own(t), *(best[j] + own(t) - gap(s, t) for j, s in enumerate(found[:i]) if before(s, t))])
+        chain = [found[i] for i in passage_chains.chains(found)[0]]
+        assert all(map(before, chain, chain[1:]))
+        assert sum(map(own, chain)) - sum(map(gap, chain, chain[1:])) == pytest.approx(max(best))
+        assert sorted(i for c in passage_chains.chains(found) for i in c) == list(range(len(found)))
+        longer += len(chain) > 2
+    assert longer > 20
+
+
+def test_winnowing_meets_in_shared_stretches():
+    rng = np.random.default_rng(4)
+    for n in (16, 17, 40):
+        shared_part = rng.integers(0, 2**60, n, dtype=np.uint64)
+        a, b = (np.r_[rng.integers(0, 2**60, k, dtype=np.uint64), shared_part, rng.integers(0, 2**60, 9, dtype=np.uint64)] for k in (3, 30))
+        met = {int(p) - 3 for p in passage_chains.winnowed(a)} & {int(p) - 30 for p in passage_chains.winnowed(b)}
+        assert any(0 <= p < n for p in met)
+        assert len(passage_chains.winnowed(rng.integers(0, 2**60, 5000, dtype=np.uint64))) < 900
 
 
 BASE = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import component_labels
-from .shared import bounded_batches, by_slices, documents, stored, text_bytes
+from .shared import among, bounded_batches, by_slices, documents, stored, text_bytes
 from .shingles import mixed, shingle_set, shingle_sets
 
 CELLS, BLOCKS = 2**20, 64
@@ -229,16 +229,6 @@ def most_led(entries: DataFrame) -> DataFrame:
     return counted.withColumn("turn", turn).filter(F.col("turn") <= LEADERS).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
-def among(docs: DataFrame, ids: DataFrame, most_bits: int = 26) -> DataFrame:
-    """The rows of ``docs`` whose ``doc`` may be in ``ids``: all that are, and a few others. Their bitmap takes 4 KB to 8 MB, whatever their number, and rows are dropped where they are read."""
-    bits = min(most_bits, max(15, (8 * ids.count()).bit_length()))
-    place = F.pmod(F.xxhash64("doc"), F.lit(2**bits))
-    bitmap = ids.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits"))
-    placed = docs.withColumn("p", place).withColumn("part", F.expr("p div 32768"))
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(p % 32768 div 8 + 1 as int), 1)")), 16, 10).cast("int")
-    return placed.join(F.broadcast(bitmap), "part").filter((byte.bitwiseAND(F.expr("shiftleft(1, cast(p % 8 as int))")) != 0)).select(*docs.columns)
-
-
 def packed_sets(docs: DataFrame, profiled: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, packed of the sets in ``nodes``: the compressed text, less than half the size of its shingles, of the least of its documents."""
     wanted = stored(profiled.filter("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("doc")).join(nodes, "node", "left_semi"), "wanted")
