@@ -174,6 +174,14 @@ def test_repeated_substrings(spark, rows):
     assert {tuple(r) for r in got} == substrings_by_hand(own, 50)
 
 
+@pytest.mark.parametrize("buckets", [51, 200, 1000])
+def test_minimizers_spread_over_buckets(buckets):
+    text = bytes(np.random.default_rng(5).integers(97, 123, 400_000, dtype=np.uint8))
+    h = shingles.mixed(np.unique(substring_dedup.least_hashes(text, substring_dedup.SEED, substring_dedup.LENGTH)))
+    counts = np.bincount(shingles.ranged(h, buckets), minlength=buckets)
+    assert counts.max() < 3 * np.median(counts) + 20
+
+
 def test_repeated_substrings_null_ids_and_repeats(spark, docs, rows):
     got = substring_dedup.repeated_substrings(docs.unionByName(docs)).collect()
     assert len(got) == 2 * len(rows) + 2 and {(r["doc_id"], r["n_removed"]) for r in got if r["doc_id"] is not None} == {(x[0], x[2]) for x in substrings_by_hand(rows, 50)}

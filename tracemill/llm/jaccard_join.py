@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import component_labels
 from .shared import among, bounded_batches, by_slices, documents, stored, text_bytes
-from .shingles import mixed, shingle_set, shingle_sets
+from .shingles import by_range, mixed, ranged, shingle_set, shingle_sets
 
 CELLS, BLOCKS = 2**20, 64
 CELL_SHIFT = np.uint64(44)
@@ -111,11 +111,8 @@ def prefix_lists(docs: DataFrame, classes: np.ndarray, buckets: int) -> DataFram
         owner = np.repeat(np.arange(len(sets)), lengths)
         place = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         node, size = np.array(list(sets), np.int64), np.array([n for n, _, _ in sets.values()], np.int64)
-        bucket = np.where(often, buckets, (token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0, True])
-        parts = [order[a:b] for a, b in zip(edges[:-1], edges[1:])]
-        rows = [packed(k if k < buckets else None, own, owner, node, size, token, place) for own in parts for k in [int(bucket[own[0]])]]
+        bucket = np.where(often, buckets, ranged(token, buckets))
+        rows = [packed(k if k < buckets else None, own, owner, node, size, token, place) for k, own in by_range(bucket)]
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(LIST)], schema=LIST)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches, by_slices, documents, stored, text_bytes
-from .shingles import ODD, mixed
+from .shingles import ODD, by_range, mixed, ranged
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 50
 SEED = 20
-SEED_BYTES, ARRAY_BYTES = 4_000_000, 500_000
+SEED_BYTES, ARRAY_BYTES = 16_000_000, 500_000
 
 
 def least_hashes(text: bytes, gram: int, length: int) -> np.ndarray:
@@ -63,7 +63,8 @@ def seeds(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             uids, found = [], []
             for i, text in zip(part.column(0).to_pylist(), part.column(1)):
                 text = text.as_py()
-                own = np.unique(least_hashes(text, SEED, length)) if len(text) >= length else []
+                # least hashes crowd near zero; mixed again they spread over the buckets
+                own = mixed(np.unique(least_hashes(text, SEED, length))) if len(text) >= length else []
                 if len(own):
                     uids.append(unique_id(i, text))
                     found.append(own)
@@ -77,21 +78,13 @@ def seeds(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             uid = np.array(uids, np.int64)
             rows = [] if not several.any() else [(-1, *by_document(uid, doc[several], h[several]))]
             h, doc = h[head], doc[head]
-            bucket = bucket_of(h, buckets)
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            for k in range(buckets):
-                own = slice(edges[k], edges[k + 1])
-                if edges[k + 1] > edges[k]:
-                    rows.append((k, *by_document(uid, doc[own], (h[own] & np.uint64(2**32 - 1)).astype("<u4"))))
+            for k, own in by_range(ranged(h, buckets)):
+                rows.append((k, *by_document(uid, doc[own], (h[own] & np.uint64(2**32 - 1)).astype("<u4"))))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
 
     return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(find, "bucket int, uids binary, counts binary, hashes binary")
 
 
-def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
 def by_document(uid: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[bytes, bytes, bytes]:
     order = np.argsort(doc, kind="stable")
     own, counts = np.unique(doc, return_counts=True)
@@ -107,7 +100,7 @@ def repeated_seeds(found: DataFrame, buckets: int) -> DataFrame:
         uid = np.concatenate([np.repeat(np.frombuffer(u, np.int64), np.frombuffer(c, "<u4")) for _, u, c, _ in held])
         if bucket < 0:
             h = np.concatenate([np.frombuffer(x, np.uint64) for *_, x in held])
-            keys = bucket_of(h, buckets).astype(np.uint64) << np.uint64(32) | h & np.uint64(2**32 - 1)
+            keys = ranged(h, buckets).astype(np.uint64) << np.uint64(32) | h & np.uint64(2**32 - 1)
         else:
             h = np.concatenate([np.frombuffer(x, "<u4") for *_, x in held])
             order = np.lexsort((uid, h))
@@ -176,13 +169,13 @@ def window_runs(joined: DataFrame, buckets: int, length: int) -> DataFrame:
                 if not len(whole):
                     continue
                 change = np.r_[True, whole[1:] != whole[:-1]]
-                heads = whole[change]
+                heads = mixed(whole[change])
                 known = np.frombuffer(b"".join(keys), np.uint64)
-                may = np.isin(bucket_of(heads, buckets).astype(np.uint64) << np.uint64(32) | heads & np.uint64(2**32 - 1), known)
+                may = np.isin(ranged(heads, buckets).astype(np.uint64) << np.uint64(32) | heads & np.uint64(2**32 - 1), known)
                 edges = np.r_[np.flatnonzero(change), len(whole)]
                 begin, end = edges[:-1][may], edges[1:][may] + (length - 1)
                 which += [number.setdefault(text[a:b], len(number)) for a, b in zip(begin.tolist(), end.tolist())]
-                parts.append((np.full(len(begin), doc_id, np.int64), np.full(len(begin), uid & (2**32 - 1), np.int64), begin, end, bucket_of(mixed(heads[may]), buckets)))
+                parts.append((np.full(len(begin), doc_id, np.int64), np.full(len(begin), uid & (2**32 - 1), np.int64), begin, end, ranged(heads[may], buckets)))
             if not which:
                 continue
             doc, tag, begin, end, bucket = map(np.concatenate, zip(*parts))
@@ -192,14 +185,12 @@ def window_runs(joined: DataFrame, buckets: int, length: int) -> DataFrame:
             settled = doc > least[string]
             rows = [(None, d, t, a, b, None, None, None, None) for d, t, a, b in spans_by_document(doc[settled], tag[settled], begin[settled], end[settled])]
             left = np.flatnonzero(~settled)
-            left = left[np.lexsort((doc[left], bucket[left]))]
-            edges = np.searchsorted(bucket[left], np.arange(buckets + 1))
-            for k in range(buckets):
-                own = left[edges[k] : edges[k + 1]]
-                if len(own):
-                    joint = b"".join([texts[i] for i in string[own].tolist()])
-                    deltas = np.diff(doc[own], prepend=0)
-                    rows.append((k, None, None, begin[own].astype("<u4").tobytes(), None, pack.compress(joint), (end - begin)[own].astype("<u4").tobytes(), deltas.tobytes(), tag[own].astype("<u4").tobytes()))
+            left = left[np.argsort(doc[left], kind="stable")]
+            for k, some in by_range(bucket[left]):
+                own = left[some]
+                joint = b"".join([texts[i] for i in string[own].tolist()])
+                deltas = np.diff(doc[own], prepend=0)
+                rows.append((k, None, None, begin[own].astype("<u4").tobytes(), None, pack.compress(joint), (end - begin)[own].astype("<u4").tobytes(), deltas.tobytes(), tag[own].astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(RUN)], schema=RUN)
 
     return joined.select("uid", "doc_id", "packed", "keys").mapInArrow(cut, "bucket int, doc_id long, tag long, starts binary, stops binary, texts binary, sizes binary, docs binary, tags binary")
@@ -301,10 +292,7 @@ def repeated_windows(found: DataFrame, buckets: int, length: int) -> DataFrame:
         if held:
             out += settle(held)
         doc, tag, start, stop = map(np.concatenate, zip(*out))
-        part = (mixed(doc.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(buckets + 1))
-        own = [(k, order[edges[k] : edges[k + 1]]) for k in range(buckets) if edges[k + 1] > edges[k]]
+        own = list(by_range(ranged(mixed(doc.astype(np.int64).view(np.uint64)), buckets)))
         columns = [[k for k, _ in own]] + [[x[i].astype(kind).tobytes() for _, i in own] for x, kind in ((doc, "<i8"), (tag, "<u4"), (start, "<u4"), (stop, "<u4"))]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, answer)], schema=answer)
 
