@@ -1,7 +1,7 @@
 """Near-duplicate classes by an exact Jaccard join on word shingles, skipping by set relations.
 
 1. A sketch of fixed size counts all shingles; it gives a global order, rare shingles first.
-2. Of two sets that link, each one's first fifth (its prefix) shares a shingle with the other's, at positions that still
+2. Of two sets that link, each one's first fifth (its prefix) shares MET shingles with the other's, at positions that still
    allow the overlap. So prefixes make an inverted index, its lists ordered by set size. In an entry's list all blocks
    are skipped that hold no size and position it could link with (``partnered``); entries without any partner are
    skipped for good, which leaves a few hundredths of them. Equal sets are one node and enter once.
@@ -40,11 +40,13 @@ FREQUENT = 1000
 HELD_ENTRIES = 1_000_000
 LEADERS = 2
 TURNS = 3
+MET = 3
 PERCENT = 80
 
 
 def prefix_size(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+    """So many of the rarest shingles of a set of ``n`` have MET of those that it shares with a set it links with, or all."""
+    return min(n, n - -(-PERCENT * n // 100) + MET)
 
 
 def node_of(shingles: np.ndarray) -> tuple[int, int]:
@@ -195,8 +197,8 @@ def shared_entries(lists: DataFrame, buckets: int) -> DataFrame:
         node, n, token, pos = node[order], n[order], token[order], pos[order]
         once = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])][: len(token)]  # equal sets come from several batches
         node, n, token, pos = node[once], n[once], token[once], pos[once]
-        # overlap n - pos or less is left; it must be 4/9 of both sizes together
-        top = (9 * (n - pos) - 4 * n) // 4
+        # an overlap of n - pos or less is left, besides MET - 1 shingles; it must be 4/9 of both sizes together
+        top = (9 * (n - pos + MET - 1) - 4 * n) // 4
         if bucket is not None and len(token):
             may = partnered(token, n, top)
             node, n, token, pos, top = node[may], n[may], token[may] | bucket << 32, pos[may], top[may]
@@ -227,9 +229,9 @@ def most_led(entries: DataFrame) -> DataFrame:
 
 
 def packed_sets(docs: DataFrame, profiled: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, packed of the sets in ``nodes``: the compressed text, less than half the size of its shingles, of the least of its documents."""
+    """node, packed of the sets in ``nodes`` and a few others: the compressed text, less than half the size of its shingles."""
     wanted = stored(profiled.filter("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("doc")).join(nodes, "node", "left_semi"), "wanted")
-    schema = pa.schema([("doc", pa.int64()), ("node", pa.int64()), ("packed", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("packed", pa.binary())])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdCompressor(level=3)
@@ -237,11 +239,11 @@ def packed_sets(docs: DataFrame, profiled: DataFrame, nodes: DataFrame) -> DataF
             for a, b in by_slices(batch, 1):
                 texts = batch.column(1).slice(a, b - a).to_pylist()
                 nodes = [node_of(x)[0] for x in shingle_sets(texts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(nodes, pa.int64()), pa.array(map(coder.compress, texts), pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(coder.compress, texts), pa.binary())], schema=schema)
 
     named = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    some = among(named, wanted.select("doc")).select("doc", text_bytes().alias("text")).mapInArrow(take, "doc long, node long, packed binary")
-    return some.join(wanted, ["doc", "node"], "left_semi").groupBy("node").agg(F.first("packed").alias("packed"))
+    some = among(named, wanted.select("doc")).select("doc", text_bytes().alias("text")).mapInArrow(take, "node long, packed binary")
+    return some.groupBy("node").agg(F.first("packed").alias("packed"))
 
 
 ANSWER = "a long, b long, na long, nb long, common long"
@@ -263,11 +265,14 @@ def answers(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 out.append((a, b, len(y), len(x), np.intersect1d(x, y, assume_unique=True).size))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 5, schema=schema)
 
+    # sets that no pair has aren't shuffled
+    sets = among(sets.withColumnRenamed("node", "doc"), pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()).withColumnRenamed("doc", "node")
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b")
     return both.select("a", "b", "pa", "pb").mapInArrow(compare, ANSWER)
 
 
+NEEDED = f"({PERCENT} * (na + nb) + {99 + PERCENT}) div {100 + PERCENT}"
 LINKED = f"100 * common >= {PERCENT} * (na + nb - common)"
 
 
@@ -299,7 +304,7 @@ def further_leaders(crossing: DataFrame, turn: int) -> DataFrame:
 
 
 def crossing_pairs(crossing: DataFrame) -> DataFrame:
-    """a, b: all pairs of entries of different classes whose sizes and places leave the needed overlap possible.
+    """a, b, na, nb: all pairs of sets of different classes that meet in as many lists as links must, at places that leave the needed overlap possible.
 
     Classes of a list are compared first, by their range of sizes, then the entries of those that are left.
     """
@@ -308,7 +313,9 @@ def crossing_pairs(crossing: DataFrame) -> DataFrame:
     both = classes.join(other, "token").filter("label < lb AND low <= hb AND ob <= high").select("token", "label", "lb")
     x = both.join(crossing.select("token", "label", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("top").alias("tx")), ["token", "label"])
     y = x.join(crossing.select("token", F.col("label").alias("lb"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("top").alias("ty")), ["token", "lb"])
-    return y.filter("nx <= ty AND ny <= tx").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
+    in_order = F.col("x") < F.col("y")
+    named = [F.when(in_order, F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in (("a", "x", "y"), ("b", "y", "x"), ("na", "nx", "ny"), ("nb", "ny", "nx"))]
+    return y.filter("nx <= ty AND ny <= tx").select(*named).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("lists")).filter(F.col("lists") >= F.least(F.lit(MET), F.expr(NEEDED))).drop("lists")
 
 
 def derived(pairs: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
@@ -330,7 +337,7 @@ def derived(pairs: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = stored(pairs.select("a", "b", "na", "nb", "a_host", "b_host", (F.col("a_beyond") + F.col("b_beyond")).alias("beyond"), (F.col("a_lacking") + F.col("b_lacking")).alias("lacking"), F.least("a_host", "b_host").alias("low"), F.greatest("a_host", "b_host").alias("high")), "crossing-pairs")
     leaders = stored(answers(pairs.filter("low <> high").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct(), sets), "leader-answers")
     bounded = pairs.join(leaders.select(F.col("a").alias("low"), F.col("b").alias("high"), "common"), ["low", "high"], "left")
-    need = F.expr(f"({PERCENT} * (na + nb) + {99 + PERCENT}) div {100 + PERCENT}")
+    need = F.expr(NEEDED)
     judged = bounded.withColumn("verdict", F.when(F.col("common") + F.col("beyond") < need, 0).when(F.col("common") - F.col("lacking") >= need, 1))
     judged = stored(judged.filter("verdict IS NULL OR verdict = 1").select("a", "b", "verdict"), "verdicts")
     open_pairs = answers(judged.filter("verdict IS NULL").select("a", "b"), sets).filter(LINKED)

@@ -59,9 +59,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def among(docs: DataFrame, ids: DataFrame, most_bits: int = 26) -> DataFrame:
-    """The rows of ``docs`` whose ``doc`` may be in ``ids``: all that are, and a few others. Their bitmap takes 4 KB to 8 MB, whatever their number, and rows are dropped where they are read."""
-    bits = min(most_bits, max(15, (8 * ids.count()).bit_length()))
+def among(docs: DataFrame, ids: DataFrame, most_bits: int = 27) -> DataFrame:
+    """The rows of ``docs`` whose ``doc`` may be in ``ids``: all that are, and a few others. Their bitmap takes 4 KB to 16 MB, whatever their number, and rows are dropped where they are read."""
+    bits = min(most_bits, max(15, (16 * ids.count()).bit_length()))
     place = F.pmod(F.xxhash64("doc"), F.lit(2**bits))
     bitmap = ids.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits"))
     placed = docs.withColumn("p", place).withColumn("part", F.expr("p div 32768"))
