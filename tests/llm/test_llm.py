@@ -319,6 +319,69 @@ def test_pii(spark):
         assert set(filter(None, r[1].split(","))) <= set(filter(None, r[2].split(",")))
 
 
+def many_numbers(spark):
+    """Numbers of all kinds alone; then ones that stand side by side, or are written otherwise."""
+    rng = random.Random(12)
+    phone = lambda: f"+1 ({rng.randrange(100, 1000)}) 555-{rng.randrange(1000, 10000)}"
+    ip = lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4))
+
+    def card():
+        d = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        total = sum(int(c) if k % 2 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d)))
+        return d + str(-total % 10)
+
+    email = lambda: f"ab{rng.randrange(100)}@mail{rng.randrange(9)}.example.com"
+    decoy = lambda: (d := card())[:-1] + str((int(d[-1]) + 5) % 10)
+    makers = [phone, ip, card, email, decoy]
+    own = [(i, f"words before {makers[i % 5]()} and after") for i in range(2000)]
+    beside = {5000: (phone(), ip()), 5001: (card(), card()), 5002: (card(), decoy())}
+    own += [(i, f"words before {a} {b} and after") for i, (a, b) in beside.items()]
+    own += [(5003, "words before ab7 (at) mail3.example.com and after"), (5004, "words before (212) 555-1234 and after")]
+    return own, beside
+
+
+def test_pii_added_spans(spark):
+    own, beside = many_numbers(spark)
+    got = {r["doc_id"]: r["spans"] for r in pii.with_spans(frame(spark, own)).select("doc_id", pii.listed(F.col("__spans")).alias("spans")).collect()}
+    text = dict(own)
+    # nothing is added to documents that the base rules settle, decoys included
+    assert all(got[i] == base_by_hand(t) for i, t in own if i < 2000)
+    at = lambda i, kind, value: f"{kind}:{text[i].index(value)}:{text[i].index(value) + len(value)}"
+    assert set(got[5000].split(",")) == {at(5000, "phone", beside[5000][0]), at(5000, "ip", beside[5000][1])}
+    assert got[5001] == ",".join(at(5001, "card", c) for c in beside[5001]) or got[5001] == base_by_hand(text[5001])
+    assert got[5002] == at(5002, "card", beside[5002][0])
+    assert got[5003] == at(5003, "email", "ab7 (at) mail3.example.com") and got[5004] == at(5004, "phone", "(212) 555-1234")
+
+
+def test_boosting_and_thresholds():
+    rng = random.Random(7)
+    truth = lambda x: x[0] <= 2 and x[1] > 1
+    rows = [{"x": [a, b, rng.randrange(3)], "held_out": held, "n": 50, "email": 50 * truth((a, b)) - (a == 0 and b == 3)} for a in range(6) for b in range(5) for held in (False, True) for _ in range(2)]
+    model = pii.fitted(rows, "email")
+    held = [r for r in rows if r["held_out"]]
+    score = {id(r): float(sum(pii.applied(t, np.array([r["x"]]))[0] for t in model.trees)) for r in held}
+    # the lowest score from which PRECISION of those held out are of the kind, by trying all
+    good = [t for t in score.values() if (own := [r for r in held if score[id(r)] >= t - 1e-6]) and sum(r["email"] for r in own) >= pii.PRECISION * sum(r["n"] for r in own)]
+    assert model.threshold == pytest.approx(min(good), abs=1e-5)
+    assert all((score[id(r)] >= model.threshold) == truth(r["x"]) for r in held)
+    # the first split is the one of greatest gain, by trying all
+    x, y, n = (np.array([r[k] for r in rows]) for k in ("x", "email", "n"))
+    gradient, weight = y - n / 2, n / 4
+    value = lambda rows: gradient[rows].sum() ** 2 / (weight[rows].sum() + pii.RIDGE)
+    gains = {(f, b): value(x[:, f] <= b) + value(x[:, f] > b) for f in range(3) for b in np.unique(x[:, f])[:-1].tolist()}
+    assert pii.grow(x, gradient, weight, 1)[:2] == max(gains, key=gains.get)
+    assert pii.fitted([r | {"email": 0} for r in rows], "email") is None and pii.fitted([r | {"held_out": False} for r in rows], "email") is None
+
+
+def test_clashing_columns(spark):
+    schema = "doc_id long, text string, __text string, __base long, __digest string, __quality double, __other long, c0 string, own string"
+    docs = spark.createDataFrame([(1, "call +1 (555) 010-2000", "a", 1, "d", 0.5, 7, "c", "o"), (2, None, "b", 2, "e", 0.5, 8, "c", "o")], schema)
+    for f in (pii.redacted, exact_dedup.distinct_documents, lambda d: quality_classifier.good_documents(d, spark.createDataFrame([], "doc_id long, quality int, toxic int")), lambda d: corpus_pipeline.drop_near_copies(spark, d, "")):
+        got = f(docs)
+        assert got.columns == docs.columns
+        assert {tuple(r)[2:] for r in got.collect()} == {("a", 1, "d", 0.5, 7, "c", "o"), ("b", 2, "e", 0.5, 8, "c", "o")}
+
+
 def test_redaction(spark, empty):
     own = [(1, "call +1 (555) 010-2000 or a@b.c, 1.2.3.4!"), (2, None), (3, "plain")]
     got = pii.redacted(frame(spark, own))

@@ -87,13 +87,15 @@ def distinct_documents(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The rows of ``docs`` that exact_duplicates keeps, with the columns of ``docs``.
 
     Copies of heavy hitters go where they are read. For the rest each task passes on one row per digest at most: Spark
-    applies a filter on row_number() before the shuffle too.
+    applies a filter on row_number() before the shuffle too. Nulls, repeated rows and empty tables are as in
+    exact_duplicates; columns of any name are passed on.
     """
     heavy = heavy_hitters(stored(digested(docs), "digests"), counters)
-    marked = digested(docs, *(F.col(f"`{c}`") for c in docs.columns)).join(F.broadcast(heavy), _DIGEST, "left")
-    left = marked.filter(F.col(_SIZE).isNull() | F.col(_ID).eqNullSafe(F.col(_TOP))).drop(_SIZE, _TOP)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    marked = digested(docs, *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names))).join(F.broadcast(heavy), _DIGEST, "left")
+    left = marked.filter(F.col(_SIZE).isNull() | F.col(_ID).eqNullSafe(F.col(_TOP)))
     turn = F.row_number().over(Window.partitionBy(_DIGEST).orderBy(F.desc_nulls_last(_ID)))
-    return left.withColumn(_TURN, turn).filter(F.col(_TURN) == 1).drop(_TURN, _ID, _DIGEST)
+    return left.withColumn(_TURN, turn).filter(F.col(_TURN) == 1).select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

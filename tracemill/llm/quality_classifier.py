@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linear import logistic, logits, sigmoid
-from .shared import bounded_batches, documents
+from .shared import bounded_batches, documents, unused_name
 from .shingles import word_hashes
 
 LABELLED, POOL = 4000, 4000
@@ -152,8 +152,9 @@ def scored(docs: DataFrame, labels: DataFrame) -> Column:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose combined score reaches THRESHOLD, or all if there is nothing to learn from."""
-    return docs.withColumn("__quality", scored(docs, labels)["both"]).filter(F.coalesce(F.col("__quality"), F.lit(1.0)) >= THRESHOLD).drop("__quality")
+    """The rows of ``docs`` whose combined score reaches THRESHOLD, or all if there is nothing to learn from. An empty table gives an empty one."""
+    own = unused_name(docs, "quality")
+    return docs.withColumn(own, scored(docs, labels)["both"]).filter(F.coalesce(F.col(own), F.lit(1.0)) >= THRESHOLD).drop(own)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
