@@ -10,6 +10,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
+from tracemill.__main__ import main
 from tracemill.analysis import analyse, comparison_report, single_report, write_comparison, write_single
 from tracemill.functions import formatting as N
 from tracemill.functions import text as T
@@ -18,6 +19,7 @@ from tracemill.operators import compare as C
 from tracemill.operators import facts as X
 from tracemill.operators import families as K
 from tracemill.operators import steps as S
+from tracemill.operators import triton
 from tracemill.schema import EVENTS
 from tracemill.sources import tables, traces
 
@@ -40,19 +42,19 @@ def by_name(df, *columns):
 def test_golden(spark, trace_file):
     one = basic(spark, trace_file)
     stats = {r["step"]: r for r in one.step_stats.collect()}
-    assert tuple(stats[0][m] for m in A.METRICS) == (100, 3, 9, 1, 5, 0, 0, 1, 1)
-    assert tuple(stats[1][m] for m in A.METRICS) == (100, 0, 0, 0, 0, 0, 0, 0, 0)
-    assert tuple(stats[2][m] for m in A.METRICS) == (100, 1, 4, 1, 4, 0, 0, 0, 0)
+    assert tuple(stats[7][m] for m in A.METRICS) == (40, 2, 13.5, 1, 9, 1, 0.6, 1, 1.5)
+    assert tuple(stats[8][m] for m in A.METRICS) == (40, 0, 0, 0, 0, 0, 0, 0, 0)
+    assert tuple(stats[9][m] for m in A.METRICS) == (40, 1, 3, 1, 3, 0, 0, 0, 0)
     mean = A.step_mean(one.step_stats).first()
-    assert [mean[m] for m in A.METRICS] == pytest.approx([100, 4 / 3, 13 / 3, 2 / 3, 3, 0, 0, 1 / 3, 1 / 3])
-    assert [r["name"] for r in A.ordered(one.kernels).collect()] == ["triton_matmul_kernel", "triton_elemwise_kernel", "gemm_cuda_kernel", "aten::linear"]
-    assert by_name(one.kernels, "avg_count", "avg_dur_ms")["triton_matmul_kernel"] == pytest.approx((1 / 3, 5 / 3))
+    assert [mean[m] for m in A.METRICS] == pytest.approx([40, 1, 5.5, 2 / 3, 4, 1 / 3, 0.2, 1 / 3, 0.5])
+    assert [r["name"] for r in A.ordered(one.kernels).collect()] == ["triton_poi_fused_add_3", "sm80_xmma_gemm_f16", "triton_red_fused_sum_1"]
+    assert by_name(one.kernels, "avg_count", "avg_dur_ms")["sm80_xmma_gemm_f16"] == pytest.approx((1 / 3, 2))
     families = {r["family"]: r["avg_dur_ms"] for r in one.families.collect()}
-    assert families == pytest.approx({"triton_matmul": 5 / 3, "triton_elemwise": 4 / 3, "gemm": 1, "linear": 2 / 3, "other": 0})
-    assert by_name(one.triton, "avg_io_gb", "avg_io_eff")["triton_matmul_kernel"] == pytest.approx((3.5, 350.2 / 3))
-    assert by_name(one.averages(S.COMM), "avg_count", "avg_dur_ms") == {"cnclAllReduce": pytest.approx((1 / 3, 1 / 3))}
+    assert families == pytest.approx({"triton_pointwise": 3, "gemm": 2, "triton_reduce": 1, "other": 0})
+    assert by_name(one.triton, "avg_io_gb", "avg_io_eff")["triton_poi_fused_add_3"] == pytest.approx((0.75, 512.5 / 3))
+    assert by_name(one.averages(S.COMM), "avg_count", "avg_dur_ms") == {"ncclAllGather_ring": pytest.approx((1 / 3, 0.5))}
     top = A.top_kernels(one.kernels, 2).orderBy("rank").collect()
-    assert [(r["rank"], r["family"]) for r in top] == [(1, "triton_matmul"), (2, "triton_elemwise")]
+    assert [(r["rank"], r["family"]) for r in top] == [(1, "triton_pointwise"), (2, "gemm")]
     assert sum(r["dur_pct"] for r in A.top_kernels(one.kernels, 99).collect()) == pytest.approx(100)
 
 
@@ -186,8 +188,8 @@ def test_text_functions(spark):
     assert tuple(got) == ("x" * 52 + "...", "a\\nb", 12.35, 12.345, "2024-01-02 03:04", 12.3, -5.0, "worse", "kernel_3_a_b_c.py", "header")
 
 
-def csv_of(folder):
-    return next(folder.glob("part-*")).read_bytes()
+def csv_of(file):
+    return file.read_bytes()
 
 
 def test_csv_dialect(spark, tmp_path):
@@ -203,12 +205,77 @@ def test_csv_dialect(spark, tmp_path):
 def test_files_of_one_trace(spark, trace_file, tmp_path):
     one = basic(spark, trace_file).stored(str(tmp_path / "facts"))
     write_single(one, str(tmp_path / "out"), step_tables=True, step_code=True)
-    assert csv_of(tmp_path / "out/all_kernels_avg.csv").decode().split("\r\n")[:3] == ["kernel_name,family,avg_count,count_pct,avg_dur_ms,dur_pct,avg_us_per_call", "triton_matmul_kernel,triton_matmul,0.333,25.0%,1.67,35.7%,5000", "triton_elemwise_kernel,triton_elemwise,0.333,25.0%,1.33,28.6%,4000"]
+    assert csv_of(tmp_path / "out/all_kernels_avg.csv").decode().split("\r\n")[:2] == ["kernel_name,family,avg_count,count_pct,avg_dur_ms,dur_pct,avg_us_per_call", "triton_poi_fused_add_3,triton_pointwise,0.333,33.3%,3,50.0%,9000"]
     assert csv_of(tmp_path / "out/kernel_types_avg.csv").decode().split("\r\n")[-2] == "other,0,0.0%,0,0.0%"
-    step = csv_of(tmp_path / "out/step_triton_kernels/step=0").decode()
-    assert "triton_matmul_kernel,5,10.5,350," in step and '"M=128,\\nN=1"' in step and "step_0_triton_codes/kernel_0_triton_matmul_kernel.py" in step
+    file = "step_7_triton_codes/kernel_0_triton_poi_fused_add_3.py"
+    wanted = f'kernel_name,dur(ms),total io(GB),IO efficiency(GB/s),tiling config,triton_code_file\r\ntriton_poi_fused_add_3,9,2.25,512,"XBLOCK=64,\\nnum_warps=4",{file}\r\n'
+    assert csv_of(tmp_path / "out/step_7_triton_kernels.csv").decode() == wanted
+    assert (tmp_path / "out" / file).read_text() == 'code, "y"\n'
+    found = [r["name"] for r in tables.result_files(spark, str(tmp_path / "out")).collect()]
+    assert found == [*tables.RESULTS[:5], "step_7_triton_kernels.csv"]
     report = single_report(one, label="run")
-    assert "=== Per-Step Summary (3 steps) — run ===" in report and "1    triton_matmul   35.7%" in report
+    assert "=== Per-Step Summary (3 steps) — run ===" in report and "1    triton_pointwise" in report
+    for _ in range(2):  # done again it gives the same
+        outputs = spark.createDataFrame([(file, 0, "ran in 3 77.125GB/s")], "code_key string, pos int, stdout string")
+        assert tables.add_efficiency(spark, str(tmp_path / "out"), triton.measured(outputs)) == ["triton_kernels_avg.csv", "step_7_triton_kernels.csv"]
+        assert csv_of(tmp_path / "out/step_7_triton_kernels.csv").decode() == wanted.replace("code_file\r", "code_file,local efficiency\r").replace(f"{file}\r", f"{file},77.12\r")
+        avg = csv_of(tmp_path / "out/triton_kernels_avg.csv").decode().split("\r\n")
+        assert avg[0].endswith(",local efficiency") and avg[1].endswith(",77.12") and avg[2].endswith(",")
+
+
+def test_traces_of_equal_names(spark, trace_file, tmp_path):
+    for folder, dur in (("before", 10), ("after run", 20)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "my run.json").write_text(json.dumps({"traceEvents": [BASIC[1], {"name": "k", "cat": "kernel", "ts": 5040001, "dur": dur}]}))
+    files = [str(tmp_path / f / "my run.json") for f in ("before", "after run")]
+    events = traces.read_traces(spark, *files, files[0])
+    assert {r["trace_id"]: r["n"] for r in events.groupBy("trace_id").agg(F.count("*").alias("n")).collect()} == {"before/my run": 2, "after run/my run": 2}
+    both = analyse(events)
+    assert {r["avg_dur_ms_A"] * 1000 for r in C.compare_names(both.kernels, "before/my run", "after run/my run").collect()} == {10}
+    main([*files, "-o", str(tmp_path / "out")])
+    assert csv_of(tmp_path / "out/all_kernels_cmp.csv").decode().split("\r\n")[1] == "k,0.01,0.02,0.01,+100.0%,1,1"
+    assert traces.trace_ids(["a/x.json", "a/x.json.gz", "b/y.json"]) == {"a/x.json": "a/x.json", "a/x.json.gz": "a/x.json.gz", "b/y.json": "y"}
+
+
+def test_store_keeps_other_traces(spark, trace_file, tmp_path):
+    own = traces.read_traces(spark, trace_file)
+    for name in ("x", "y", "y"):
+        stored = traces.ingest_traces(own.withColumn("trace_id", F.lit(name)), str(tmp_path / "store"))
+    assert {r["trace_id"]: r["count"] for r in stored.groupBy("trace_id").count().collect()} == {"x": 8, "y": 8}
+
+
+def test_family_filters_stay_above_the_aggregation(spark):
+    from tracemill.plans.trace_queries import QUERIES
+
+    for name in ("top_kernels", "family_breakdown", "cmp_families"):
+        plan = QUERIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "cutlass" not in plan[plan.rindex("Aggregate"):], name
+
+
+def test_trace_without_steps_has_other(spark):
+    one = analyse(frame(spark, [("t", "k", "kernel", 0.0, 1.0)]))
+    assert [tuple(r) for r in one.families.collect()] == [("t", "other", 0.0, 0.0)]
+
+
+def test_hundredths(spark):
+    rng = random.Random(4)
+    values = [2.675, 1.005, 0.125, 0.375, 350.265, 1e-9, 0.0, 12.345, 1e17, -2.675, 0.005, 0.015, float(2**52), 3e15 + 0.5] + [rng.randrange(10**6) / 1000 for _ in range(500)] + [rng.random() * 10 ** rng.randrange(-4, 12) for _ in range(500)]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(T.hundredths(F.col("v"))).collect()]
+    assert got == [float(f"{v:.2f}") for v in values]
+
+
+def test_metadata_tables(spark, tmp_path):
+    (tmp_path / "users.csv").write_text("id,extra\nu1,x\n")
+    spark.createDataFrame([("p1", "u1", "n")], "id string, user_id string, name string").write.parquet(str(tmp_path / "projects.parquet"))
+    assert [r["id"] for r in tables.read_metadata(spark, str(tmp_path), "users").collect()] == ["u1"]
+    got = tables.read_metadata(spark, str(tmp_path), "projects")
+    assert got.columns[:3] == ["id", "user_id", "name"] and got.first()["is_public"] is None
+
+
+def test_exported_view(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "1"), ("b,c", "2"), ("d", "3")], "name string, v string")
+    tables.export_view(rows, [("v", "<", "3")], "", str(tmp_path / "view.csv"))
+    assert csv_of(tmp_path / "view.csv") == b'name,v\r\na,1\r\n"b,c",2\r\n'
 
 
 def test_comparing_a_trace_with_itself(spark, trace_file, tmp_path):
@@ -218,7 +285,7 @@ def test_comparing_a_trace_with_itself(spark, trace_file, tmp_path):
     families = C.compare_families(both.families, "A", "B").orderBy("sort_rank").collect()
     assert families[-1]["family"] == "other" and sum(r["dur_pct_A"] for r in families) == pytest.approx(100)
     write_comparison(both, "A", "B", str(tmp_path))
-    assert csv_of(tmp_path / "triton_kernels_cmp.csv").decode().split("\r\n")[1] == "triton_elemwise_kernel,1.33,1.33,0,+0.0%,0.333,0.333,0,0"
+    assert csv_of(tmp_path / "triton_kernels_cmp.csv").decode().split("\r\n")[1] == "triton_poi_fused_add_3,3,3,0,+0.0%,0.333,0.333,0.75,0.75"
     assert "=== Avg Comparison (A vs B) ===" in comparison_report(both, "A", "B")
 
 

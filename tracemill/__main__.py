@@ -6,7 +6,7 @@ import argparse
 
 from .analysis import analyse, comparison_report, single_report, write_comparison, write_single
 from .session import session
-from .sources.traces import read_traces
+from .sources.traces import read_traces, trace_files, trace_ids
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -21,16 +21,17 @@ def main(argv: list[str] | None = None) -> None:
     if len(args.traces) > 2:
         parser.error("one or two traces")
     spark = session()
-    found = analyse(read_traces(spark, *args.traces), [p for p in args.kernel_types.split(",") if p]).stored(f"{args.output_dir}/_facts")
-    if len(args.traces) == 1:
+    files = [trace_files(spark, t) for t in args.traces]
+    if any(len(f) != 1 for f in files):
+        parser.error("each trace is one file")
+    events = read_traces(spark, *args.traces)
+    found = analyse(events, [p for p in args.kernel_types.split(",") if p]).stored(f"{args.output_dir}/_facts")
+    if len(files) == 1:
         print(single_report(found, args.top_n))
         write_single(found, args.output_dir, args.save_triton_csv, args.save_triton_code)
     else:
-        from pyspark.sql import functions as F
-
-        from .sources.traces import trace_name
-
-        a, b = (spark.range(1).select(trace_name(F.lit(t))).first()[0] for t in args.traces)
+        ids = trace_ids([f for own in files for f in own])
+        a, b = (ids[own[0]] for own in files)
         print(comparison_report(found, a, b, args.top_n))
         write_comparison(found, a, b, args.output_dir)
 

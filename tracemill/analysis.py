@@ -21,6 +21,7 @@ from .sources import tables
 class Analysis:
     """Lazy frames of any number of traces. ``facts`` is the only large shuffle: write and reread it (``stored``) to share it between results."""
 
+    traces: DataFrame
     steps: DataFrame
     facts: DataFrame
     types: DataFrame
@@ -43,25 +44,25 @@ class Analysis:
 
     @property
     def families(self) -> DataFrame:
-        return A.family_avg(self.kernels, self.steps)
+        return A.family_avg(self.kernels, self.traces)
 
     def trace(self, trace_id: str) -> Analysis:
-        return Analysis(*(df.filter(F.col("trace_id") == trace_id) for df in (self.steps, self.facts, self.types, self.calls)))
+        return Analysis(*(df.filter(F.col("trace_id") == trace_id) for df in (self.traces, self.steps, self.facts, self.types, self.calls)))
 
     def stored(self, folder: str) -> Analysis:
         """Written by trace and reread: reports and comparisons of stored traces never touch events again."""
         out = []
-        for name, df in (("steps", self.steps), ("facts", self.facts), ("types", self.types), ("calls", self.calls)):
+        for name, df in (("traces", self.traces.select("trace_id", F.lit(True).alias("known"))), ("steps", self.steps), ("facts", self.facts), ("types", self.types), ("calls", self.calls)):
             df.write.mode("overwrite").partitionBy("trace_id").parquet(f"{folder}/{name}")
             out.append(df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}").select(*df.columns))
-        return Analysis(*out)
+        return Analysis(out[0].select("trace_id"), *out[1:])
 
 
 def analyse(events: DataFrame, patterns: Sequence[str] = ()) -> Analysis:
-    """``patterns``: types that Triton kernels count for besides; empty ones are dropped. The few steps are persisted."""
-    steps = S.steps(events).persist()
+    """``patterns``: types that Triton kernels count for besides; empty ones are dropped. Steps, few as they are, are found once."""
+    steps = S.few(S.steps(events))
     placed = X.placed_events(events, steps)
-    return Analysis(steps, X.step_facts(placed), X.type_facts(placed, patterns), X.triton_calls(placed))
+    return Analysis(events.select("trace_id").distinct(), steps, X.step_facts(placed), X.type_facts(placed, patterns), X.triton_calls(placed))
 
 
 def write_single(one: Analysis, folder: str, step_tables: bool = False, step_code: bool = False) -> None:
@@ -73,9 +74,9 @@ def write_single(one: Analysis, folder: str, step_tables: bool = False, step_cod
     tables.write_table(present.ops_table(one.averages(S.COMM)), f"{folder}/cncl_ops_avg.csv")
     rows = R.step_rows(one.calls)
     if step_tables:
-        tables.write_step_tables(present.step_table(rows, step_code), f"{folder}/step_triton_kernels")
+        tables.write_step_tables(present.step_table(rows, step_code), folder)
     if step_code:
-        tables.write_code_files(rows, f"{folder}/step_triton_codes")
+        tables.write_code_files(rows, folder)
 
 
 def write_comparison(both: Analysis, a: str, b: str, folder: str) -> None:

@@ -91,6 +91,11 @@ def _or_one(total: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(total)
 
 
+def is_compute() -> Column:
+    """Of rows with family and avg_dur_ms: no collective. Only rows with a mean count, which all have: as it depends on a sum, Spark can't apply it, and classify names, below the aggregation on every event."""
+    return F.when(F.col("avg_dur_ms").isNotNull(), F.col("family") != COLLECTIVE)
+
+
 def with_family(averages: DataFrame) -> DataFrame:
     """Adds the family of each name: names are few, events are many."""
     return averages.withColumn("family", family(F.col("name")))
@@ -109,17 +114,17 @@ def kernel_share(averages: DataFrame) -> DataFrame:
     return with_us_per_call(named.withColumns({"count_pct": share("avg_count"), "dur_pct": share("avg_dur_ms")}))
 
 
-def family_avg(averages: DataFrame, steps: DataFrame) -> DataFrame:
-    """trace_id, family, avg_count, avg_dur_ms of families with time; every trace has an ``other``, if need be of zeros."""
+def family_avg(averages: DataFrame, traces: DataFrame) -> DataFrame:
+    """trace_id, family, avg_count, avg_dur_ms of families with time; every trace of ``traces`` (rows with a trace_id), even one without steps, has an ``other``, if need be of zeros."""
     sums = with_family(averages).groupBy("trace_id", "family").agg(F.sum("avg_count").alias("avg_count"), F.sum("avg_dur_ms").alias("avg_dur_ms")).filter("avg_dur_ms > 0")
-    always = steps.select("trace_id").distinct().select("trace_id", F.lit(OTHER).alias("family"), F.lit(0.0).alias("avg_count"), F.lit(0.0).alias("avg_dur_ms"))
+    always = traces.select("trace_id").distinct().select("trace_id", F.lit(OTHER).alias("family"), F.lit(0.0).alias("avg_count"), F.lit(0.0).alias("avg_dur_ms"))
     return sums.unionByName(always).groupBy("trace_id", "family").agg(F.sum("avg_count").alias("avg_count"), F.sum("avg_dur_ms").alias("avg_dur_ms"))
 
 
 def family_breakdown(families: DataFrame) -> DataFrame:
     """Families but collectives with their shares of these, rank 1 for the longest and ``other`` last."""
     trace = Window.partitionBy("trace_id")
-    compute = families.filter(F.col("family") != COLLECTIVE)
+    compute = families.filter(is_compute())
     shares = {f"{c}_pct": F.col(f"avg_{m}") / _or_one(F.sum(f"avg_{m}").over(trace)) * 100 for c, m in (("count", "count"), ("dur", "dur_ms"))}
     order = [F.col("family") == OTHER, F.desc("avg_dur_ms"), "family"]
     return compute.withColumns(shares).withColumn("sort_rank", F.row_number().over(trace.orderBy(*order)))
@@ -127,7 +132,7 @@ def family_breakdown(families: DataFrame) -> DataFrame:
 
 def top_kernels(averages: DataFrame, n: int = 10) -> DataFrame:
     """The n longest kernels of each trace but collectives: rank, family, dur_pct of all such kernels, the means and short_name."""
-    compute = with_family(averages).filter(F.col("family") != COLLECTIVE)
+    compute = with_family(averages).filter(is_compute())
     trace = Window.partitionBy("trace_id")
     ranked = compute.withColumn("dur_pct", F.col("avg_dur_ms") / _or_one(F.sum("avg_dur_ms").over(trace)) * 100)
     ranked = ranked.withColumn("rank", F.row_number().over(trace.orderBy(F.desc("avg_dur_ms"), "name"))).filter(F.col("rank") <= n)

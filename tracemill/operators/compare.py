@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .averages import METRICS
-from .families import COLLECTIVE, OTHER
+from .averages import METRICS, is_compute
+from .families import OTHER
 
 
 def pct_change(a: Column, b: Column) -> Column:
@@ -46,7 +46,7 @@ def by_change(compared: DataFrame) -> DataFrame:
 def compare_families(families: DataFrame, a: str, b: str) -> DataFrame:
     """Families but collectives: shares and means of both, change, and sort_rank by their time together, ``other`` last. There is always an ``other``."""
     spark = families.sparkSession
-    both = side_by_side(families.filter(F.col("family") != COLLECTIVE), a, b, "family", ("avg_dur_ms", "avg_count"))
+    both = side_by_side(families.filter(is_compute()), a, b, "family", ("avg_dur_ms", "avg_count"))
     none = spark.range(1).select(F.lit(OTHER).alias("family"), *(F.lit(0.0).alias(c) for c in both.columns[1:]))
     both = both.unionByName(none).groupBy("family").agg(*(F.sum(c).alias(c) for c in both.columns[1:]))
     # a row per family: a few dozen whatever the traces' sizes, so one window over all is small

@@ -24,6 +24,7 @@ KEYWORDS = (
     ("sort", ("sort_", "topk", "argsort")),
     ("memory", ("copy_", "memcpy", "fill_", "zeros_", "ones_")),
 )
+# What makes a kernel a collective, kinds of Triton kernels, and scopes before a function's name.
 COLLECTIVE_WORDS = ("nccl", "cncl", "collective", "allreduce", "allgather", "reducescatter", "broadcast_")
 COLLECTIVE_PREFIX = "tcdp"
 TRITON_KINDS = {"red": "triton_reduce", "per": "triton_reduce", "poi": "triton_pointwise", "tem": "triton_pointwise", "mm": "triton_mm"}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_float
-from ..llm.shared import stored
+from ..store import stored
 
 TEXT_OPERATORS, NUMBER_OPERATORS = ("~", "!~"), (">=", "<=", ">", "<", "=")
 

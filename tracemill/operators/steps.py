@@ -51,6 +51,12 @@ def steps(events: DataFrame) -> DataFrame:
     return one.withColumn("nxt", F.lead("start").over(Window.partitionBy("trace_id").orderBy("start", "ord")))
 
 
+def few(steps: DataFrame, most: int = BROADCAST_STEPS) -> DataFrame:
+    """The same steps, as a table of the driver's if they are at most ``most``: then several results need not read the events for them again."""
+    rows = steps.limit(most + 1).collect()
+    return steps.sparkSession.createDataFrame(rows, steps.schema) if len(rows) <= most else steps
+
+
 def assigned(events: DataFrame, steps: DataFrame, broadcast_steps: int = BROADCAST_STEPS) -> DataFrame:
     """The events that lie in a step, with ``step``: the latest-starting step with start <= ts, if ts <= its end.
 

@@ -20,7 +20,12 @@ from ..operators import grid as G
 from ..operators import metadata as M
 from ..operators import steps as S
 from ..operators import triton as R
+from ..functions import formatting as N
 from ..schema import CODE, COLLECTIVE, IO_EFF, IO_GB, KWARGS
+from ..sources import tables as B
+from ..sources import traces as J
+from ..store import fresh_path
+from .. import present as P
 
 DAY_US, STEP_US, FIRST_DAY_US, SPLIT = 86_400_000_000, 72_000_000_000, 1_704_067_200_000_000, 15
 PATTERNS = ("poi", "fused_1", "gemm")
@@ -76,9 +81,9 @@ def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Events, steps and placed events. The few steps are kept, so that each query reads events for them once."""
+    """Events, steps and placed events. The few steps are found once a query."""
     events = trace_events(spark, sf_dir)
-    steps = S.steps(events).persist()
+    steps = S.few(S.steps(events))
     return events, steps, X.placed_events(events, steps)
 
 
@@ -380,11 +385,11 @@ def grid_sums(spark, sf_dir):
     return G.sums(table(spark, sf_dir, "part").select("p_size", F.concat("p_size", F.lit("%")).alias("share"), F.col("p_size").alias("efficiency"), "p_brand"))
 
 
-@query("grid_sort", "SELECT p_partkey, p_size, CAST(row_number() OVER (ORDER BY p_size DESC, p_partkey) AS INT) AS place FROM part ORDER BY place LIMIT 50")
+@query("grid_sort", "SELECT p_partkey, cell, row_number() OVER (ORDER BY CASE WHEN p_partkey % 3 > 0 THEN p_size END NULLS LAST, cell, p_partkey) AS place FROM (SELECT *, CASE WHEN p_partkey % 3 > 0 THEN p_size || ' GB' ELSE p_type END AS cell FROM part)")
 def grid_sort(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    placed = G.placed_rows(rows, "p_size", False, ["p_partkey"])
-    return placed.filter("place <= 50").withColumn("place", F.col("place").cast("int"))
+    """Cells with numbers, then others by their text."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 > 0, F.concat("p_size", F.lit(" GB"))).otherwise(F.col("p_type")).alias("cell"))
+    return G.placed_rows(rows, "cell", True, ["p_partkey"])
 
 
 @query("grid_sort_all", "SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS place FROM part")
@@ -502,3 +507,204 @@ def text_functions(spark, sf_dir):
 @query("parse_float", "SELECT event_id, value AS from_percent, CAST(NULL AS DOUBLE) AS from_text FROM events")
 def parse_float(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.parse_float(F.concat(F.lit("  "), "value", F.lit("%"))).alias("from_percent"), T.parse_float(F.col("event_type")).alias("from_text"))
+
+
+@query("order_by_duration", with_events("SELECT trace_id, name, row_number() OVER (PARTITION BY trace_id ORDER BY avg_dur_ms DESC, name) AS place FROM avgs WHERE kind = 'kernel'"))
+def order_by_duration(spark, sf_dir):
+    """Names in the order of result tables, numbered as they come. Result tables are small: a row a name."""
+    return numbered(A.ordered(kind_avg(spark, sf_dir, S.KERNEL)[0].coalesce(1)), "trace_id").select("trace_id", "name", "place")
+
+
+def numbered(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows of a small table with their place in the order in which they come, apart for each ``by``."""
+    from pyspark.sql import Window
+
+    one = rows.coalesce(1).withColumn("__come", F.monotonically_increasing_id())
+    return one.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("__come")).cast("long")).drop("__come")
+
+
+@query("order_by_change", with_events(f"SELECT name, row_number() OVER (ORDER BY abs(delta_dur_ms) DESC, name) AS place FROM {sql_compare(chr(40) + 'SELECT * FROM avgs WHERE kind = ' + repr('aten') + chr(41), 'name')}"))
+def order_by_change(spark, sf_dir):
+    return numbered(C.by_change(C.compare_names(kind_avg(spark, sf_dir, S.ATEN)[0], "A", "B")), *[]).select("name", "place")
+
+
+@query("step_orders", with_events("SELECT trace_id, step, row_number() OVER (PARTITION BY trace_id ORDER BY start_us) AS by_start, row_number() OVER (PARTITION BY trace_id ORDER BY step) AS by_number FROM steps"))
+def step_orders(spark, sf_dir):
+    """Steps by start, as events are assigned, and by number, as reports show them."""
+    found = S.steps(trace_events(spark, sf_dir))
+    by_start = numbered(found.orderBy("trace_id", "start", "ord"), "trace_id").select("trace_id", "step", F.col("place").alias("by_start"))
+    return by_start.join(numbered(found.orderBy("trace_id", "step"), "trace_id").select("trace_id", "step", F.col("place").alias("by_number")), ["trace_id", "step"])
+
+
+def boundary_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as kernels at the beginning, middle or end of a day. Days are steps; even ones have a second one of half a day, every fifth an earlier annotation of its number."""
+    o = table(spark, sf_dir, "orders")
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    at = lambda d: d.cast("double") * DAY_US
+    key = F.col("o_orderkey")
+    none = F.lit(None).cast(trace_events(spark, sf_dir).schema["args"].dataType).alias("args")
+    own = o.select(F.lit("t").alias("trace_id"), (key + 10**9).cast("long").alias("ord"), F.concat(F.lit("k"), key).alias("name"), F.lit("kernel").alias("cat"), (at(day) + (key % 3) * (DAY_US / 2)).alias("ts"), F.lit(1.0).alias("dur"), none)
+    days = o.select(day.alias("d")).distinct()
+    d = F.col("d")
+
+    def marks(number: Column, ord_: int, start: Column, length: float) -> Column:
+        return F.struct((d * 10 + ord_).cast("long").alias("ord"), F.concat(F.lit("ProfilerStep#"), number).alias("name"), start.alias("ts"), F.lit(float(length)).alias("dur"))
+
+    every = F.filter(F.array(F.when(d % 5 == 0, marks(d, 1, at(d) - DAY_US / 4, 1)), marks(d, 2, at(d), DAY_US), F.when(d % 2 == 0, marks(d + 100000, 3, at(d), DAY_US / 2))), lambda x: x.isNotNull())
+    steps = days.select(F.explode(every).alias("m")).select(F.lit("t").alias("trace_id"), "m.ord", "m.name", F.lit("user_annotation").alias("cat"), "m.ts", "m.dur", none)
+    return own.unionByName(steps)
+
+
+_BOUNDARY_SQL = f"""WITH o AS (SELECT o_orderkey, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS d FROM orders),
+e AS (SELECT o_orderkey, CAST(d AS BIGINT) * {DAY_US} + (o_orderkey % 3) * {DAY_US // 2} AS ts FROM o), days AS (SELECT DISTINCT d FROM o),
+s AS (SELECT d AS step, CAST(d AS BIGINT) * {DAY_US} AS start, CAST(d AS BIGINT) * {DAY_US} + {DAY_US} AS stop, 0 AS turn FROM days
+  UNION ALL SELECT d + 100000, CAST(d AS BIGINT) * {DAY_US}, CAST(d AS BIGINT) * {DAY_US} + {DAY_US // 2}, 1 FROM days WHERE d % 2 = 0)
+SELECT o_orderkey, CAST(step AS INT) AS step FROM (SELECT e.*, s.step, s.stop FROM e ASOF JOIN (SELECT *, start * 10 + turn AS at FROM s) s ON e.ts * 10 + 9 >= s.at) WHERE ts <= stop"""
+
+
+@query("step_boundaries", _BOUNDARY_SQL)
+def step_boundaries(spark, sf_dir):
+    """Events on the boundary of two steps, steps of equal start, and repeated numbers."""
+    events = boundary_events(spark, sf_dir)
+    placed = S.assigned(S.routed(events).filter("kind = 'kernel'"), S.steps(events))
+    return placed.select(F.substring("name", 2, 20).cast("long").alias("o_orderkey"), "step")
+
+
+@query("type_facts_empty_pattern", with_events(f"""SELECT trace_id, step, type, count(*) AS count FROM (SELECT trace_id, step, unnest(CASE WHEN starts_with(name, 'triton_') THEN CASE WHEN contains(name, '1') THEN ['triton', '1'] ELSE ['triton'] END
+  WHEN contains(lower(name), '1') THEN ['1'] ELSE [{sql_family('name')}] END) AS type FROM placed WHERE kind = 'kernel') GROUP BY ALL"""))
+def type_facts_empty_pattern(spark, sf_dir):
+    return X.type_facts(parts(spark, sf_dir)[2], ["", "1", ""]).select("trace_id", "step", "type", "count")
+
+
+_FORMAT_SQL = """SELECT l_orderkey, l_linenumber, CASE WHEN abs(l_extendedprice) >= 1000 THEN format('{:.0f}', CAST(format('{:.3g}', CAST(l_extendedprice AS DOUBLE)) AS DOUBLE)) ELSE format('{:.3g}', CAST(l_extendedprice AS DOUBLE)) END AS price,
+  format('{:.1f}%', CAST(l_discount AS DOUBLE) * 77) AS share, CASE WHEN l_tax <> 0 THEN format('{:+.1f}%', (CAST(l_discount AS DOUBLE) - l_tax) / l_tax * 100) ELSE '' END AS change,
+  CASE WHEN q = floor(q) THEN CAST(CAST(q AS BIGINT) AS VARCHAR) ELSE rtrim(rtrim(format('{:.3f}', q), '0'), '.') END AS total FROM (SELECT *, CAST(l_quantity AS DOUBLE) / 8 AS q FROM lineitem)"""
+
+
+@query("formatted_numbers", _FORMAT_SQL)
+def formatted_numbers(spark, sf_dir):
+    """Numbers as tables and reports show them."""
+    rows = table(spark, sf_dir, "lineitem")
+    tax, discount = F.col("l_tax").cast("double"), F.col("l_discount").cast("double")
+    return rows.select("l_orderkey", "l_linenumber", N.three_figures_column(F.col("l_extendedprice").cast("double")).alias("price"), N.percent_column(discount * 77).alias("share"), N.signed_percent_column(C.pct_change(tax, discount)).alias("change"), N.plain_sum_column(F.col("l_quantity").cast("double") / 8).alias("total"))
+
+
+_TEXT_SQL = """SELECT o_orderkey, CAST(regexp_extract(line, '([0-9.]+)\\s*GB/s', 1) AS DOUBLE) AS first_gb_s, replace(substr(stamp, 1, 16), 'T', ' ') AS short_date,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'worse' WHEN o_orderkey % 3 = 1 THEN 'better' ELSE 'same' END AS change_class,
+  CASE o_orderstatus WHEN 'F' THEN '✓' WHEN 'O' THEN '⏳' ELSE o_orderstatus END AS status_sign,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'Triton Kernels' ELSE o_orderstatus END AS tab_label, ['header', 'separator', 'wrote', 'blank', 'data'][CAST(o_orderkey % 5 AS INT) + 1] AS console_line,
+  CASE WHEN o_orderkey % 2 = 0 THEN chr(34) || 'a,' || chr(34) || chr(34) || o_orderkey || chr(34) || chr(34) || chr(34) ELSE CAST(o_orderkey AS VARCHAR) END AS csv_cell
+  FROM (SELECT *, 'took 3 ms, ' || (o_orderkey % 1000) / 8.0 || ' GB/s' AS line, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS stamp FROM orders)"""
+
+
+@query("shown_texts", _TEXT_SQL)
+def shown_texts(spark, sf_dir):
+    """Cells, dates, states and console lines as users see them."""
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    change = F.concat(F.when(key % 3 == 0, "+").when(key % 3 == 1, "-").otherwise(""), F.when(key % 3 == 2, "0").otherwise("12.5"), F.lit("%"))
+    lines = F.array(*map(F.lit, ("=== a", "-----", "Wrote x", "  ", "data")))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        T.first_gb_s(F.concat(F.lit("took 3 ms, "), (key % 1000) / 8, F.lit(" GB/s"))).alias("first_gb_s"),
+        T.short_date(F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")).alias("short_date"),
+        T.change_class("pct_change", change).alias("change_class"),
+        T.status_sign(F.when(status == "F", "done").when(status == "O", "pending").otherwise(status)).alias("status_sign"),
+        T.tab_label(F.when(key % 2 == 0, "triton_kernels_avg.csv").otherwise(status)).alias("tab_label"),
+        T.console_line(F.element_at(lines, (key % 5 + 1).cast("int"))).alias("console_line"),
+        B.csv_cell(F.when(key % 2 == 0, F.concat(F.lit('a,"'), key, F.lit('"'))).otherwise(key.cast("string"))).alias("csv_cell"),
+    )
+
+
+@query("measured_ties", "SELECT p_partkey, CAST(format('{:.2f}', p_partkey / 1000.0::DOUBLE) AS DOUBLE) AS gb_s FROM part")
+def measured_ties(spark, sf_dir):
+    """Throughputs of three decimals, many of them halfway between two of two."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", T.measured_gb_s(F.concat(F.lit("ran in 3 ms "), key / 1000, F.lit("GB/s"))).alias("gb_s"))
+
+
+@query("projects_newest_first", "SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS place FROM (SELECT CAST(c_custkey AS VARCHAR) AS id, c_custkey % 50 AS created_at FROM customer)")
+def projects_newest_first(spark, sf_dir):
+    dated = projects(spark, sf_dir).withColumn("created_at", F.col("id").cast("long") % 50)
+    return numbered(M.newest_first(dated)).select("id", "place")
+
+
+@query("job_groups", f"WITH {JOBS_SQL} SELECT j.id, coalesce(p.name, '{M.UNGROUPED}') AS group_label, row_number() OVER (ORDER BY p.name IS NULL, p.name, created_at DESC, j.id) AS place FROM j LEFT JOIN p ON j.project_id = p.id WHERE CAST(j.id AS BIGINT) % 10 = 0")
+def job_groups(spark, sf_dir):
+    """Every tenth job by group, those of none last."""
+    return numbered(M.grouped(jobs(spark, sf_dir).filter("cast(id AS long) % 10 = 0"), projects(spark, sf_dir))).select("id", "group_label", "place")
+
+
+@query("first_tabs", "SELECT name FROM (SELECT 'step_' || n || '_triton_kernels.csv' AS name FROM range(1, 20) AS t(n)) ORDER BY name LIMIT 3")
+def first_tabs(spark, sf_dir):
+    names = spark.range(1, 20).select(F.concat(F.lit("step_"), "id", F.lit("_triton_kernels.csv")).alias("name"))
+    return G.first_steps(names.unionByName(spark.range(1).select(F.lit("aten_ops_avg.csv").alias("name"))))
+
+
+@query("page_offsets", "SELECT total, CASE WHEN 100 < total THEN 100 ELSE 50 END AS next_offset, 0 AS previous_offset FROM (SELECT count(*) AS total FROM orders)")
+def page_offsets(spark, sf_dir):
+    total = M.job_total(jobs(spark, sf_dir)).first()["total"]
+    return spark.createDataFrame([(total, M.next_offset(50, 50, total), M.previous_offset(30, 50))], "total long, next_offset int, previous_offset int")
+
+
+@query("jobs_by_id", f"WITH {JOBS_SQL} SELECT id, mode, status FROM j WHERE id IN ('1', '7')")
+def jobs_by_id(spark, sf_dir):
+    """Two lookups, as a comparison from history makes them."""
+    found = jobs(spark, sf_dir)
+    return M.by_id(found, "1").unionByName(M.by_id(found, "7")).select("id", "mode", "status")
+
+
+@query("comparable_jobs", f"""WITH {JOBS_SQL}, q AS (SELECT j.*, coalesce(j.path, s.path) IS NOT NULL AS there FROM j LEFT JOIN j s ON j.src = s.id)
+SELECT a, b, (SELECT count(*) = 2 AND bool_and(user_id = '0' AND there) FROM q WHERE id IN (a, b)) AS comparable FROM (VALUES ('7', '14'), ('7', '1'), ('7', 'none')) AS t(a, b)""")
+def comparable_jobs(spark, sf_dir):
+    found = jobs(spark, sf_dir)
+    each = [M.comparable(found, a, b, "0").select(F.lit(a).alias("a"), F.lit(b).alias("b"), "comparable") for a, b in (("7", "14"), ("7", "1"), ("7", "none"))]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query("type_bars", with_events("SELECT family, round(avg_dur_ms, 9) AS avg_dur_ms FROM fam WHERE trace_id = 'A' AND family <> 'collective'"))
+def type_bars(spark, sf_dir):
+    averages, steps = kind_avg(spark, sf_dir, S.KERNEL)
+    shown = A.family_breakdown(A.family_avg(averages, steps)).filter("trace_id = 'A'")
+    return G.bars(shown, "family", "avg_dur_ms").select("family", *rounded("avg_dur_ms"))
+
+
+@query("json_traces", with_events("SELECT trace_id, kind, count(*) AS n, sum(CAST(ts AS DOUBLE)) AS ts, round(sum(value), 6) AS dur_ms FROM ev GROUP BY ALL"))
+def json_traces(spark, sf_dir):
+    """Written as a JSON document a trace, one of them gzipped, and read back."""
+    folder = fresh_path(spark, "json")
+    own = trace_events(spark, sf_dir)
+    for name, packed in (("A", False), ("B", True)):
+        text = own.filter(F.col("trace_id") == name).groupBy("trace_id").agg(F.collect_list(F.struct("name", "cat", "ts", "dur", "args", F.lit("X").alias("ph"))).alias("traceEvents"))
+        text.select(F.to_json(F.struct("traceEvents")).alias("value")).coalesce(1).write.option("compression", "gzip" if packed else "none").text(f"{folder}/{name}")
+        written = [f for f in B.part_files(spark, f"{folder}/{name}")]
+        B.moved(spark, written[-1], f"{folder}/traces/{name}.json{'.gz' if packed else ''}")
+    read = J.read_traces(spark, f"{folder}/traces")
+    found = S.routed(read).filter("kind <> 'step'").groupBy("trace_id", "kind").agg(F.count("*").alias("n"), F.sum("ts").alias("ts"), F.round(F.sum(F.col("dur") / 1000), 6).alias("dur_ms"))
+    return found
+
+
+def _three_sql(column: str) -> str:
+    return f"CASE WHEN abs({column}) >= 1000 THEN format('{{:.0f}}', CAST(format('{{:.3g}}', {column}) AS DOUBLE)) ELSE format('{{:.3g}}', {column}) END"
+
+
+@query("ops_csv", with_events(f"SELECT name AS op_name, {_three_sql('avg_count')} AS avg_count, {_three_sql('avg_dur_ms')} AS avg_dur_ms, 'aten_ops_avg.csv' AS file FROM avgs WHERE kind = 'aten' AND trace_id = 'A'"))
+def ops_csv(spark, sf_dir):
+    """The file of ATen operations, written and found among a folder's results."""
+    folder = fresh_path(spark, "results")
+    B.write_table(P.ops_table(kind_avg(spark, sf_dir, S.ATEN)[0].filter("trace_id = 'A'")), f"{folder}/aten_ops_avg.csv")
+    name, path = B.result_files(spark, folder).first()
+    return B.read_table(spark, path).withColumn("file", F.lit(name))
+
+
+@query("step_csv", with_events(f"""SELECT 'step_' || step || '_triton_kernels.csv' AS file, name AS kernel_name, {_three_sql('dur_ms')} AS dur, coalesce({_three_sql('io_gb')}, '') AS io, 'M=' || k || '\\nN=1' AS tiling,
+  'step_' || step || '_triton_codes/kernel_' || (row_number() OVER (PARTITION BY step ORDER BY ord) - 1) || '_' || name || '.py' AS code_file FROM calls WHERE code IS NOT NULL AND trace_id = 'A' AND step < 3"""))
+def step_csv(spark, sf_dir):
+    """Tables of three steps' Triton calls, written a file a step and read back."""
+    folder = fresh_path(spark, "steps")
+    rows = R.step_rows(X.triton_calls(parts(spark, sf_dir)[2]).filter("trace_id = 'A' AND step < 3"))
+    B.write_step_tables(P.step_table(rows, True), folder)
+    found = [B.read_table(spark, r["path"]).withColumn("file", F.lit(r["name"])) for r in B.result_files(spark, folder).collect()]
+    every = found[0]
+    for other in found[1:]:
+        every = every.unionByName(other)
+    return every.select("file", "kernel_name", F.col("`dur(ms)`").alias("dur"), F.col("`total io(GB)`").alias("io"), F.col("`tiling config`").alias("tiling"), F.col("triton_code_file").alias("code_file"))

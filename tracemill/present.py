@@ -62,7 +62,7 @@ def kernel_types_cmp_table(compared: DataFrame) -> DataFrame:
 
 
 def step_table(rows: DataFrame, with_code: bool = False) -> DataFrame:
-    """Of triton.step_rows, for one step or with step kept for partitioning."""
+    """Of triton.step_rows: with step and idx, which the files don't show."""
     ordered = rows.orderBy("step", "idx")
     return _cells(ordered, step="step", idx="idx", **{"kernel_name": "kernel_name", "dur(ms)": _three("dur_ms"), "total io(GB)": _three("io_gb"), "IO efficiency(GB/s)": _three("io_eff"), "tiling config": "tiling", "triton_code_file": "code_file" if with_code else F.lit("")})
 

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DIALECT = {"header": "true", "quote": '"', "escape": '"', "lineSep": "\r\n", "emptyValue": "", "nullValue": ""}
+from ..operators.triton import join_measured
+from ..schema import METADATA
+from ..store import file_system, fresh_path
+
+END = "\r\n"
 
 # The result files in the order in which they are shown.
 RESULTS = ("all_kernels_avg.csv", "kernel_types_avg.csv", "triton_kernels_avg.csv", "aten_ops_avg.csv", "cncl_ops_avg.csv", "all_kernels_cmp.csv", "kernel_types_cmp.csv", "triton_kernels_cmp.csv", "aten_ops_cmp.csv", "cncl_ops_cmp.csv")
@@ -23,7 +28,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
         if e.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], "")
         raise
-    return found
+    return found.na.fill("")
 
 
 def csv_cell(value: Column) -> Column:
@@ -32,20 +37,55 @@ def csv_cell(value: Column) -> Column:
     return F.when(text.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
+def csv_line(columns: list[str]) -> Column:
+    return F.concat_ws(",", *(csv_cell(F.col(f"`{c}`")) for c in columns))
+
+
+def csv_head(columns: list[str]) -> str:
+    return ",".join('"' + c.replace('"', '""') + '"' if set(c) & set(',"\r\n') else c for c in columns)
+
+
+def moved(spark: SparkSession, source: str, path: str) -> None:
+    """Puts a file in the place of ``path``, whatever is there."""
+    fs, to = file_system(spark, path)
+    fs.mkdirs(to.getParent())
+    fs.delete(to, True)
+    if not fs.rename(file_system(spark, source)[1], to):
+        raise OSError(f"can't write {path}")
+
+
+def part_files(spark: SparkSession, folder: str) -> list[str]:
+    fs, path = file_system(spark, folder)
+    found = fs.listStatus(path)
+    return sorted(s.getPath().toString() for s in found if s.getPath().getName().startswith("part-"))
+
+
 def write_table(rows: DataFrame, path: str) -> None:
-    """A folder with one CSV file in DIALECT, rows in order if ``rows`` are. Result tables are small, so one file holds them.
+    """One CSV file as users have it, rows in order if ``rows`` are. Result tables are small, so one file holds them.
 
     Lines are put together here: Spark's CSV writer turns line feeds within cells into the line separator.
     """
-    lines = rows.select(F.concat_ws(",", *(csv_cell(F.col(f"`{c}`")) for c in rows.columns)).alias("line"))
-    head = ",".join(f'"{c}"' if "," in c else c for c in rows.columns)
+    lines = rows.select(csv_line(rows.columns).alias("line"))
+    head, spark = csv_head(rows.columns), rows.sparkSession
 
     def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"line": [head]})
         for batch in batches:
             yield pa.RecordBatch.from_arrays(batch.columns, names=["line"])
 
-    lines.coalesce(1).mapInArrow(headed, "line string").write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    # beside the result, so that the file only has to be renamed
+    aside = f"{path}.{fresh_path(spark, 'new').rpartition('/')[2]}"
+    lines.coalesce(1).mapInArrow(headed, "line string").write.option("lineSep", END).text(aside)
+    moved(spark, part_files(spark, aside)[0], path)
+    fs, at = file_system(spark, aside)
+    fs.delete(at, True)
+
+
+def export_view(rows: DataFrame, conditions, query: str, path: str) -> None:
+    """The rows that a grid's search and filters leave, as a file."""
+    from ..operators.grid import filtered, search
+
+    write_table(filtered(search(rows, query), conditions), path)
 
 
 def result_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,10 +98,66 @@ def result_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_step_tables(rows: DataFrame, path: str) -> None:
-    """Rows of Triton calls, a folder a step (partitionBy), written where they are."""
-    rows.repartition("step").sortWithinPartitions("step", "idx").write.mode("overwrite").partitionBy("step").options(**DIALECT).csv(path)
+    """step_N_triton_kernels.csv in ``path`` for each step of ``rows``; their other columns but idx, in the order of idx.
+
+    All steps are written at once, a task a step; then their files, a few thousand at most, get their names.
+    """
+    spark = rows.sparkSession
+    columns = [c for c in rows.columns if c not in ("step", "idx")]
+    lines = rows.select("step", "idx", csv_line(columns).alias("line"))
+    heads = rows.select("step").distinct().select("step", F.lit(-1).alias("idx"), F.lit(csv_head(columns)).alias("line"))
+    aside = f"{path}/{fresh_path(spark, '_new').rpartition('/')[2]}"
+    every = lines.unionByName(heads).repartition("step").sortWithinPartitions("step", "idx").select("step", "line")
+    every.write.partitionBy("step").option("lineSep", END).text(aside)
+    fs, at = file_system(spark, aside)
+    for folder in fs.listStatus(at):
+        if (name := folder.getPath().getName()).startswith("step="):
+            moved(spark, part_files(spark, folder.getPath().toString())[0], f"{path}/step_{name[5:]}_triton_kernels.csv")
+    fs.delete(at, True)
 
 
 def write_code_files(rows: DataFrame, path: str) -> None:
-    """Code of calls as text by step, a line's file name beside it, so that any number of tasks can write: rows step, file, code as JSON lines."""
-    rows.select("step", F.element_at(F.split("code_file", "/"), -1).alias("file"), "code").write.mode("overwrite").partitionBy("step").json(path)
+    """The code of each call in a file of its own, ``path``/step_N_triton_codes/kernel_....py; it ends in a line feed.
+
+    Tasks write all files at once; then they get their names, one after the other: meant for the calls of one trace.
+    """
+    spark = rows.sparkSession
+    aside = f"{path}/{fresh_path(spark, '_new').rpartition('/')[2]}"
+    named = rows.select(F.element_at(F.split("code_file", "/"), -2).alias("folder"), F.element_at(F.split("code_file", "/"), -1).alias("file"), F.regexp_replace("code", "\n$", "").alias("value"))
+    named.write.partitionBy("folder", "file").text(aside)
+    fs, at = file_system(spark, aside)
+    for folder in fs.listStatus(at):
+        if "=" in (name := folder.getPath().getName()):
+            for file in fs.listStatus(folder.getPath()):
+                own = unquote(file.getPath().getName().partition("=")[2])
+                moved(spark, part_files(spark, file.getPath().toString())[0], f"{path}/{name.partition('=')[2]}/{own}")
+    fs.delete(at, True)
+
+
+EFFICIENCY = "local efficiency"
+
+
+def add_efficiency(spark: SparkSession, folder: str, measurements: DataFrame) -> list[str]:
+    """Writes the column EFFICIENCY into a folder's step tables and triton_kernels_avg.csv, from rows (code_key, pos, eff), and returns their names.
+
+    Each kernel gets the first value of a key that contains its name, empty if there is none. Done again it gives the
+    same: the column is replaced.
+    """
+    names = [r["name"] for r in result_files(spark, folder).collect() if r["name"].startswith("step_") or r["name"] == "triton_kernels_avg.csv"]
+    for name in names:
+        own = read_table(spark, f"{folder}/{name}")
+        place = own.drop(EFFICIENCY).withColumn("__place", F.monotonically_increasing_id())
+        joined = join_measured(place, measurements).orderBy("__place").withColumnRenamed("local_efficiency", EFFICIENCY)
+        write_table(joined.select(*place.columns[:-1], EFFICIENCY), f"{folder}/{name}")
+    return names
+
+
+def read_metadata(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One of the METADATA tables from ``folder``/name as Parquet, or else as CSV with a header; missing columns are null."""
+    fs, path = file_system(spark, f"{folder}/{name}.parquet")
+    wanted = spark.createDataFrame([], METADATA[name])
+    if fs.exists(path):
+        found = spark.read.parquet(f"{folder}/{name}.parquet")
+    else:
+        found = spark.read.csv(f"{folder}/{name}.csv", header=True, quote='"', escape='"', multiLine=True)
+    return found.select(*((F.col(f.name) if f.name in found.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.schema))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tarfile
+from collections import Counter
 from collections.abc import Iterator
 from io import BytesIO
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.errors import PySparkException
@@ -21,18 +24,55 @@ class InvalidTrace(ValueError):
 _MARK = "not a trace document: "
 
 
+_ENDING = r"(\.(json|gz|tar|tgz))+$"
+
+
+def decoded(uri: Column) -> Column:
+    """A file's URI with its %20 and the like as characters."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def trace_name(path: Column) -> Column:
     """The file's name without folders and without .json, .gz, .tar and .tgz."""
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(\.(json|gz|tar|tgz))+$", "")
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), _ENDING, "")
+
+
+def trace_ids(files: list[str]) -> dict[str, str]:
+    """An id for each of some files: its name without ending, and as many of the folders before it as tell it from the others."""
+    parts = {f: re.sub(_ENDING, "", f).split("/") for f in dict.fromkeys(files)}
+    out, depth, left = {}, 1, list(parts)
+    while left:
+        named = {f: "/".join(parts[f][-depth:]) for f in left}
+        counts = Counter(named.values())
+        # where even whole paths are the same but for the ending, the file's whole name tells
+        done = [f for f in left if counts[named[f]] == 1 or depth > len(parts[f])]
+        out |= {f: named[f] if counts[named[f]] == 1 else f for f in done}
+        left, depth = [f for f in left if f not in out], depth + 1
+    return out
+
+
+def trace_files(spark: SparkSession, *paths: str) -> list[str]:
+    """The files that ``paths`` (files, folders, patterns) name, decoded, in their order."""
+    return list(dict.fromkeys(unquote(f) for p in paths for f in sorted(spark.read.text(p, wholetext=True).inputFiles())))
+
+
+def with_ids(rows: DataFrame, files: list[str]) -> DataFrame:
+    """Adds trace_id to rows with a path. A table of ids is joined only where names repeat; it has a row a file."""
+    ids = trace_ids(files)
+    named = rows.withColumn("path", decoded(F.col("path")))
+    if all(re.sub(_ENDING, "", f.rpartition("/")[2]) == i for f, i in ids.items()):
+        return named.withColumn("trace_id", trace_name(F.col("path")))
+    known = rows.sparkSession.createDataFrame(list(ids.items()), "path string, trace_id string")
+    return named.join(F.broadcast(known), "path")
 
 
 def documents_to_events(texts: DataFrame) -> DataFrame:
-    """EVENTS of rows (path, value), a whole JSON document each.
+    """EVENTS of rows (trace_id, path, value), a whole JSON document each.
 
     Missing and null names and categories are empty, a missing or null ts is 0; a null dur stays null. Unknown keys are
     skipped by the parser. A document without traceEvents fails the query when it is read.
     """
-    parsed = texts.select(trace_name(F.col("path")).alias("trace_id"), F.from_json("value", TRACE).alias("doc"), "path")
+    parsed = texts.select("trace_id", F.from_json("value", TRACE).alias("doc"), "path")
     checked = F.when(F.col("doc.traceEvents").isNotNull(), F.col("doc.traceEvents")).otherwise(F.raise_error(F.concat(F.lit(_MARK), "path")).cast(TRACE["traceEvents"].dataType))
     rows = parsed.select("trace_id", F.posexplode(checked).alias("ord", "e"))
     return normalized(rows.select("trace_id", F.col("ord").cast("long").alias("ord"), "e.*"))
@@ -44,18 +84,19 @@ def normalized(events: DataFrame) -> DataFrame:
 
 
 def read_traces(spark: SparkSession, *paths: str) -> DataFrame:
-    """EVENTS of JSON trace files, plain or gzipped by extension, a file a trace.
+    """EVENTS of JSON trace files, plain or gzipped by extension, a file a trace, with ``trace_ids`` of all files. A path given twice counts once.
 
     A file is one document and so one task; its text is limited to 2 GB. Ingest once (``ingest_traces``) and read
     Parquet from then on; for larger sources use ``read_event_lines``, which splits.
     """
-    return documents_to_events(spark.read.text([*paths], wholetext=True).select(F.input_file_name().alias("path"), "value"))
+    texts = spark.read.text([*dict.fromkeys(paths)], wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return documents_to_events(with_ids(texts, trace_files(spark, *paths)))
 
 
 def read_event_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """EVENTS of files with a JSON event a line, which Spark splits at will; ord follows the lines within a partition, partitions follow each other."""
-    lines = spark.read.schema(RAW_EVENT).json([*paths])
-    return normalized(lines.withColumns({"trace_id": trace_name(F.input_file_name()), "ord": F.monotonically_increasing_id()}))
+    lines = spark.read.schema(RAW_EVENT).json([*dict.fromkeys(paths)])
+    return normalized(with_ids(lines.withColumn("path", F.input_file_name()), trace_files(spark, *paths)).withColumns({"ord": F.monotonically_increasing_id()}))
 
 
 def largest_json_member(data: bytes) -> tuple[str, str] | None:
@@ -76,8 +117,8 @@ def read_trace_archives(spark: SparkSession, *paths: str) -> DataFrame:
             found = [largest_json_member(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x and x[1] for x in found], pa.string())], names=["path", "value"])
 
-    files = spark.read.format("binaryFile").load([*paths]).select("path", "content")
-    return documents_to_events(files.mapInArrow(take, "path string, value string"))
+    files = spark.read.format("binaryFile").load([*dict.fromkeys(paths)]).select("path", "content")
+    return documents_to_events(with_ids(files.mapInArrow(take, "path string, value string"), trace_files(spark, *paths)))
 
 
 def strict_problems(events: DataFrame) -> DataFrame:
@@ -88,13 +129,13 @@ def strict_problems(events: DataFrame) -> DataFrame:
 
 
 def ingest_traces(events: DataFrame, out: str, strict: bool = False) -> DataFrame:
-    """Writes events to Parquet by trace and returns them as read from there; raises InvalidTrace where a document is none.
+    """Writes events to Parquet by trace and returns the store as read from there; raises InvalidTrace where a document is none. Of the store's traces those that ``events`` has are replaced, the others stay.
 
     Readers of some traces then prune the others' folders, and filters and needed columns reach the scan.
     """
     spark = events.sparkSession
     try:
-        events.write.partitionBy("trace_id").mode("overwrite").parquet(out)
+        events.write.partitionBy("trace_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(out)
     except PySparkException as e:
         if _MARK in str(e):
             raise InvalidTrace(str(e).partition(_MARK)[2].splitlines()[0]) from None
