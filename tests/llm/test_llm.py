@@ -492,6 +492,37 @@ def test_quality_rules(spark, rows):
     assert quality_rules.fitted(frame(spark, own), labels.limit(0)) is None
 
 
+def test_mixed_documents(spark):
+    """Documents have labels, lines don't; yet content and boilerplate within a document are told apart."""
+    rng = random.Random(16)
+    vocabulary = ["".join(rng.choice(["ba", "co", "du", "el", "fi"]) for _ in range(3)) for _ in range(400)]
+    prose = lambda: " ".join(rng.choice(vocabulary) for _ in range(15)).capitalize() + "."
+    junk = lambda: " | ".join(rng.choice(vocabulary).upper() for _ in range(15)) + " ###"
+    notice = "All rights reserved by the publishers of these pages, see the terms of use."
+    own, labels, wanted = [], [], {}
+    for i in range(500):
+        good = i % 4 > 0
+        lines = [prose() if rng.random() < (0.9 if good else 0.15) else junk() for _ in range(12)]
+        content = [not line.endswith("###") for line in lines]
+        if i % 5 == 0:
+            at = rng.randrange(12)
+            lines.insert(at, notice)
+            content.insert(at, False)
+        own.append((i, "\n".join(lines)))
+        sizes = [len(line.split()) for line in lines]
+        wanted[i] = sum(n for n, c in zip(sizes, content) if c) / sum(sizes)
+        if i < 400:
+            labels.append((i, int(good), 0))
+    field = quality_rules.fitted(frame(spark, own), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r["content_share"] for r in quality_rules.judged(frame(spark, own), field).collect()}
+    unseen = [i for i in wanted if i >= 400]
+    assert sum(0 < got[i] < 1 for i in unseen) > 50
+    assert sum(abs(got[i] - wanted[i]) < 0.05 for i in unseen) >= 0.9 * len(unseen)
+    # copies of a document have the same neighbours: they make no line frequent
+    copies = [np.array([1, 2, 3], np.uint64)] * 50 + [np.array([k, 7, k + 1], np.uint64) for k in range(100, 150)]
+    assert quality_rules.frequent_lines(copies) == {7}
+
+
 def test_field_against_all_paths():
     rng = np.random.default_rng(1)
     field = quality_rules.Field(rng.normal(size=(quality_rules.FEATURES, 2)), rng.normal(size=(2, 2)))
