@@ -1,15 +1,19 @@
 """A quality classifier by co-training.
 
-One classifier sees a text's content, the other its page's metadata: source, language, sizes and line structure. Both
-are fitted to a bounded sample of labelled documents. Over some rounds each labels the documents of a bounded unlabelled
-pool of which it is most certain, for the other to learn from. On labelled documents held out, each view's scores are
-calibrated, and the two are combined. The combined model scores every document where it is read.
+One classifier sees a text's content, the other its page's metadata only: source, language and recorded size. Both are
+fitted to a bounded sample of labelled documents. Then they teach each other for some rounds: in each, every document
+without a label (all of them, whatever their number) is scored by both views where its features are read; those of which
+one view is certain are examples for the other. Only sums come back: how many there are of each class, and the gradient
+they add; each class counts as much as the labelled documents do, so the exchange weighs the same at every size. A
+round is one step of Newton's method with the curvature of the labelled sample. On labelled documents held out, each
+view's scores are calibrated, and the two are combined. The combined model scores every document where it is read.
 """
 
 from __future__ import annotations
 
 import operator
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,13 +22,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linear import logistic, logits, sigmoid
-from .shared import bounded_batches, documents, unused_name
+from .shared import bounded_batches, documents, stored, unused_name
 from .shingles import word_hashes
 
-LABELLED, POOL = 4000, 4000
-ROUNDS, PER_ROUND, CERTAIN = 5, 200, 0.95
+LABELLED = 4000
+ROUNDS, CERTAIN = 4, 0.95
+RIDGE = 1.0
 THRESHOLD = 0.5
 BAG, META_CELLS = 256, 64
+TEXT_SIZE, META_SIZE = 10 + BAG, 2 + META_CELLS
 _UPPER, _DIGIT, _SYMBOL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>!"
 _COUNTED = (_UPPER, _DIGIT, _SYMBOL, b"|", b"!", b".,")
 INPUTS = ("text", "source", "lang", "n_chars")
@@ -42,13 +48,11 @@ def text_features(text: bytes) -> np.ndarray:
     return out
 
 
-def meta_features(text: bytes, source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
-    lines = text.split(b"\n")
-    filled = [x for x in lines if x.strip()]
-    out = np.zeros(5 + META_CELLS, np.float32)
-    out[:5] = [np.log1p(max(0, n_chars or 0)) / 10, np.log1p(len(lines)) / 5, np.log1p(len(text) / max(1, len(filled))) / 10, len({*filled}) / max(1, len(filled)), float(n_chars is None)]
+def meta_features(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+    out = np.zeros(META_SIZE, np.float32)
+    out[:2] = [np.log1p(max(0, n_chars or 0)) / 10, float(n_chars is None)]
     for value in (f"s:{source}", f"l:{lang}"):
-        out[5 + zlib.crc32(value.encode()) % META_CELLS] = 1
+        out[2 + zlib.crc32(value.encode()) % META_CELLS] = 1
     return out
 
 
@@ -65,58 +69,100 @@ class CoTrained:
         return sigmoid(z[0]), sigmoid(z[1]), sigmoid(logits(np.stack(z, 1), self.combined))
 
 
-def co_trained(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> CoTrained:
-    views, pools = (text, meta), (pool_text, pool_meta)
+def feature_table(docs: DataFrame) -> DataFrame:
+    """doc_id and views, the features of both views in 16 bits each, of every document: written once for all rounds."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                ids, *rest = (c.slice(a, 512).to_pylist() for c in batch.columns)
+                rows = [np.r_[text_features(t), meta_features(*m)].astype("<f2").tobytes() for t, *m in zip(*rest)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "views"])
+
+    return stored(docs.select(F.col("doc_id").cast("long"), *inputs(docs)).mapInArrow(describe, "doc_id long, views binary"), "views")
+
+
+def views_of(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(b"".join(rows), "<f2").astype(float).reshape(len(rows), TEXT_SIZE + META_SIZE)
+    return x[:, :TEXT_SIZE], x[:, TEXT_SIZE:]
+
+
+def lessons(views: tuple[np.ndarray, np.ndarray], weights: list[np.ndarray]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """View, class, number and gradient (features and intercept) of the documents of which the other view is certain."""
+    p = [sigmoid(logits(x, w)) for x, w in zip(views, weights)]
+    for view in (0, 1):
+        for kind, sure in ((0, p[1 - view] <= 1 - CERTAIN), (1, p[1 - view] >= CERTAIN)):
+            error = kind - p[view][sure]
+            yield view, kind, int(sure.sum()), np.r_[error @ views[view][sure], error.sum()]
+
+
+def exchanged(pool: DataFrame, weights: list[np.ndarray]) -> dict[tuple[int, int], tuple[float, np.ndarray]]:
+    """By view and class the number of documents that teach it and their gradient: sums over all of ``pool``."""
+    shipped = pool.sparkSession.sparkContext.broadcast(weights)
+    schema = pa.schema([("view", pa.int32()), ("kind", pa.int32()), ("place", pa.int32()), ("value", pa.float64())])
+
+    def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                for view, kind, n, gradient in lessons(views_of(batch.column(0).slice(a, 2048).to_pylist()), shipped.value):
+                    sums[view, kind] = sums.get((view, kind), 0) + np.r_[n, gradient]
+        rows = [(*k, i, v) for k, total in sums.items() for i, v in enumerate(total.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
+
+    found = pool.select("views").mapInArrow(teach, "view int, kind int, place int, value double")
+    sums = {(view, kind): np.zeros(1 + size + 1) for view, size in ((0, TEXT_SIZE), (1, META_SIZE)) for kind in (0, 1)}
+    for r in found.groupBy("view", "kind", "place").agg(F.sum("value").alias("value")).collect():
+        sums[r["view"], r["kind"]][r["place"]] = r["value"]
+    return {k: (v[0], v[1:]) for k, v in sums.items()}
+
+
+def taught(x: np.ndarray, y: np.ndarray, w: np.ndarray, lesson: dict[int, tuple[float, np.ndarray]]) -> np.ndarray:
+    """Weights after a step on the labelled documents and a lesson, each class of which counts as much as among the labelled."""
+    full = np.hstack([x, np.ones((len(x), 1))])
+    p = sigmoid(full @ w)
+    shrink = np.r_[np.full(x.shape[1], RIDGE), 1e-6]
+    gradient = full.T @ (y - p) - shrink * w
+    for kind, (n, own) in lesson.items():
+        gradient += own * ((y == kind).sum() / n if n else 0)
+    # pseudo-labels double the mass, and so the curvature
+    return w + np.linalg.solve(2 * (full * (p * (1 - p) + 1e-3)[:, None]).T @ full + np.diag(shrink), gradient)
+
+
+def co_trained(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, pool: DataFrame | None, rounds: int = ROUNDS) -> CoTrained:
+    views = text, meta
     own = [(x[~held], y[~held].astype(float)) for x in views]
     weights = [logistic(*o) for o in own]
-    free = [np.ones(len(pool_text), bool), np.ones(len(pool_text), bool)]
-    for _ in range(ROUNDS):
-        for teacher, learner in ((0, 1), (1, 0)):
-            p = sigmoid(logits(pools[teacher], weights[teacher])) if len(pool_text) else np.zeros(0)
-            sure = np.maximum(p, 1 - p)
-            taught = np.argsort(-np.where(free[learner], sure, 0), kind="stable")[:PER_ROUND]
-            taught = taught[free[learner][taught] & (sure[taught] >= CERTAIN)]
-            if len(taught):
-                free[learner][taught] = False
-                own[learner] = np.vstack([own[learner][0], pools[learner][taught]]), np.r_[own[learner][1], (p[taught] >= 0.5).astype(float)]
-        weights = [logistic(*o) for o in own]
+    for _ in range(rounds if pool is not None else 0):
+        found = exchanged(pool, weights)
+        weights = [taught(*own[v], weights[v], {kind: found[v, kind] for kind in (0, 1)}) for v in (0, 1)]
     judged = y[held].astype(float)
     calibration = tuple(logistic(logits(x[held], w)[:, None], judged) for x, w in zip(views, weights))
     z = np.stack([logits(logits(x[held], w)[:, None], c) for x, w, c in zip(views, weights, calibration)], 1)
     return CoTrained(tuple(weights), calibration, logistic(z, judged))
 
 
-def sample_features(docs: DataFrame, labels: DataFrame) -> tuple:
-    """Features of both views of at most LABELLED labelled and POOL other documents, the first by hash of doc_id."""
+def fitted(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> CoTrained | None:
+    """From at most LABELLED labelled documents, the first by hash of doc_id, and all others. None unless both classes are among the sample's part to learn from and its part held out."""
     order = F.xxhash64("doc_id")
-    chosen = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(order, "doc_id").limit(LABELLED)
-    pool = docs.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.desc(order), "doc_id").limit(POOL)
-    marked = chosen.unionByName(pool.join(F.broadcast(chosen), "doc_id", "left_anti").distinct().withColumn("quality", F.lit(-1)))
-    taken = docs.select("doc_id", *INPUTS).join(F.broadcast(marked), "doc_id")
-    schema = "doc_id long, quality int, views binary"
-
-    def describe(batches):
-        for batch in batches:
-            ids, quality, *rest = (c.to_pylist() for c in batch.columns)
-            rows = [np.r_[text_features(t), meta_features(t, s, g, n)].astype("<f4").tobytes() for t, s, g, n in zip(*rest)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(quality, pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "quality", "views"])
-
-    wanted = taken.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
+    chosen = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).orderBy(order, "doc_id").limit(LABELLED)
+    table = feature_table(docs)
     # rows that repeat a doc_id count once
-    found = sorted({r["doc_id"]: r for r in wanted.mapInArrow(describe, schema).orderBy(order).limit(LABELLED + POOL).collect()}.values(), key=lambda r: r["doc_id"])
-    x = np.array([np.frombuffer(r["views"], "<f4") for r in found], float).reshape(len(found), 10 + BAG + 5 + META_CELLS)
-    return np.array([r["doc_id"] for r in found], np.int64), np.array([r["quality"] for r in found], np.int64), x[:, : 10 + BAG], x[:, 10 + BAG :]
-
-
-def fitted(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
-    """None unless both classes are among the sample's labelled documents, in the part to learn from and in the part held out."""
-    ids, quality, text, meta = sample_features(docs, labels)
-    known = quality >= 0
-    held = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in ids.tolist()], bool)[known] if len(ids) else np.zeros(0, bool)
-    y = quality[known]
+    sample = table.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.max("views").alias("views")).orderBy("doc_id").collect()
+    if not sample:
+        return None
+    y = np.array([r["quality"] for r in sample], np.int64)
+    held = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 4 == 0 for r in sample], bool)
     if any(len({*y[part].tolist()}) < 2 for part in (held, ~held)):
         return None
-    return co_trained(text[known], meta[known], y, held, text[~known], meta[~known])
+    text, meta = views_of([r["views"] for r in sample])
+    return co_trained(text, meta, y, held, table.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti"), rounds)
+
+
+def inputs(docs: DataFrame) -> list[Column]:
+    """INPUTS of ``docs``, nulls for those it lacks; a null text is empty."""
+    text, *rest = (F.col(c).cast(kind) if c in docs.columns else F.lit(None).cast(kind) for c, kind in zip(INPUTS, ("string", "string", "string", "long")))
+    return [F.coalesce(text, F.lit("")).cast("binary").alias("text"), *(c.alias(n) for c, n in zip(rest, INPUTS[1:]))]
 
 
 def scorer(spark: SparkSession, model: CoTrained):
@@ -127,7 +173,7 @@ def scorer(spark: SparkSession, model: CoTrained):
         out = []
         for a in range(0, len(text), 512):
             part = [c.slice(a, 512).to_pylist() for c in (text, source, lang, n_chars)]
-            views = np.array([text_features(t) for t in part[0]]), np.array([meta_features(*r) for r in zip(*part)])
+            views = np.array([text_features(t) for t in part[0]]), np.array([meta_features(*r) for r in zip(*part[1:])])
             out.append(np.stack(shipped.value.score(*views), 1))
         scores = np.concatenate(out) if out else np.zeros((0, 3))
         return pa.StructArray.from_arrays([pa.array(scores[:, k]) for k in range(3)], names=["text", "meta", "both"])
@@ -138,17 +184,12 @@ def scorer(spark: SparkSession, model: CoTrained):
 def scored(docs: DataFrame, labels: DataFrame) -> Column:
     """A column for ``docs``: text, meta, both: each view's and the combined probability of good quality; nulls if there is nothing to learn from.
 
-    A null text is empty, other nulls are values of their own. A text's length doesn't matter. Rows that repeat score alike.
+    A null text is empty, other nulls (a null doc_id too) are values of their own. Texts count whole, however long. Rows that repeat score alike.
     """
-    columns = [F.col(c) if c in docs.columns else F.lit(None) for c in INPUTS]
-    for c in INPUTS:
-        if c not in docs.columns:
-            docs = docs.withColumn(c, F.lit(None))
     model = fitted(bounded_batches(docs), labels)
     if model is None:
         return F.struct(*(F.lit(None).cast("double").alias(x) for x in ("text", "meta", "both")))
-    text, source, lang, n_chars = columns
-    return scorer(docs.sparkSession, model)(F.coalesce(text, F.lit("")).cast("binary"), source.cast("string"), lang.cast("string"), n_chars.cast("long"))
+    return scorer(docs.sparkSession, model)(*inputs(docs))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
