@@ -139,7 +139,8 @@ def grouped(rest: DataFrame, size: int, turn: int) -> DataFrame:
         lengths = pdf["length"].tolist()
         bins = local_search(lengths, best_fit(lengths, size), size)
         at = np.zeros((3, len(pdf)), np.int64)
-        base = (turn * 2**20 + int(pdf["deal"].iloc[0])) * 2**20
+        # a group has less than 2^20 sequences; groups of both turns take turns
+        base = (2 * int(pdf["deal"].iloc[0]) + turn) * 2**20
         for k, own in enumerate(bins):
             place = 0
             for i in own:
