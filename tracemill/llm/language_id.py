@@ -98,19 +98,21 @@ def learned(docs: DataFrame) -> Languages | None:
             cells[lang] += np.bincount(trigrams(words)[0], minlength=CELLS)
             for w, n in Counter(words).items():
                 scripts[lang][script_of(w)] += n
-        out = [(k, zlib.compress(cells[k].astype("<u4").tobytes(), 1), scripts[k].tolist()) for k in cells]
+        out = [(k, zlib.compress(cells[k].astype("<i8").tobytes(), 1), scripts[k].tolist()) for k in cells]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.list_(pa.int64()))], names=["lang", "cells", "scripts"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64) for x in pdf["cells"])
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "cells": [total.astype("<i8").tobytes()], "scripts": [sum(np.array(x) for x in pdf["scripts"]).tolist()]})
+        total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in pdf["cells"])
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "cells": [zlib.compress(total.tobytes(), 1)], "scripts": [sum(np.array(x) for x in pdf["scripts"]).tolist()]})
 
     schema = "lang string, cells binary, scripts array<long>"
     training = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out())
-    rows = sorted(training.select("lang", text_bytes()).mapInArrow(count, schema).groupBy("lang").applyInPandas(add, schema).collect(), key=lambda r: r["lang"])
+    # tasks' tables are added in two steps, so no task holds those of all
+    some = training.select("lang", text_bytes()).mapInArrow(count, schema).groupBy("lang", F.pmod(F.xxhash64("cells"), F.lit(256))).applyInPandas(add, schema)
+    rows = sorted(some.groupBy("lang").applyInPandas(add, schema).collect(), key=lambda r: r["lang"])
     if not rows:
         return None
-    counts = np.array([np.frombuffer(r["cells"], "<i8") for r in rows], float).T + SMOOTH
+    counts = np.array([np.frombuffer(zlib.decompress(r["cells"]), "<i8") for r in rows], float).T + SMOOTH
     scripts = np.array([r["scripts"] for r in rows], float).T
     fits = scripts >= OTHER_SCRIPT * np.maximum(1, scripts.sum(axis=0))
     fits[~fits.any(axis=1)] = True  # a script that no language has leaves all
@@ -173,6 +175,7 @@ def identified(docs: DataFrame, languages: Languages | None) -> DataFrame:
     """RESULT for every row: the language of most letters and their share; spans: languages in turn with their numbers of words.
 
     A null text, or one without letters, is ``und`` with score 0 and has no spans; so is any text if nothing was learned.
+    Repeated rows are judged each, long texts whole; an empty table gives none.
     """
     shipped = bounded_batches(docs).sparkSession.sparkContext.broadcast(languages)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())])))])
