@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import clear_stored, shared_folder, stored
+
+__all__ = ["among", "bounded_batches", "by_slices", "clear_stored", "documents", "shared_folder", "stored", "text_bytes", "unused_name"]
+
 
 SLICE_BYTES = 2_000_000
 
@@ -18,26 +20,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-_OWN: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder of spark.checkpoint.dir. Where it is unset, a temporary one for the application if all runs on one machine, else an error: executors don't see a machine's own folders."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        folder = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-def clear_stored(spark: SparkSession) -> None:
-    """Deletes all tables that ``stored`` wrote for this application. Results that still read them must be written before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 BATCH_BYTES = 16 * 2**20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -51,14 +33,6 @@ def bounded_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written once to the shared folder and reread: lineage ends there, so a lost executor costs no recomputation before it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def among(docs: DataFrame, ids: DataFrame, most_bits: int = 27) -> DataFrame:
     """The rows of ``docs`` whose ``doc`` may be in ``ids``: all that are, and a few others. Their bitmap takes 4 KB to 16 MB, whatever their number, and rows are dropped where they are read."""
     bits = min(most_bits, max(15, (16 * ids.count()).bit_length()))
