@@ -543,6 +543,41 @@ def test_quality_classifier(spark, rows, empty):
     assert quality_classifier.good_documents(empty, labels).count() == 0
 
 
+def with_sources(n=1500, known=900):
+    """Labelled documents without a source, and more without a label whose source tells their class."""
+    own, labels = quality_docs(n)
+    rows = [(i, t, None, None if i < known else ("a" if i % 3 > 0 else "b"), 500) for i, t in own] + [(None, None, None, None, None), (9000, "", "xx", "a", None), (9000, "", "xx", "a", None)]
+    return rows, labels[:known]
+
+
+def test_views_teach_each_other(spark):
+    rows, labels = with_sources()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    meta = {s: np.array([quality_classifier.meta_features(s, None, 500)]) for s in ("a", "b")}
+    text = np.zeros((1, quality_classifier.TEXT_SIZE))
+    before, after = (quality_classifier.fitted(docs, labels, rounds) for rounds in (0, 4))
+    raw = lambda model, s: float(linear.logits(meta[s], model.views[1])[0])
+    assert abs(raw(before, "a") - raw(before, "b")) < 0.1 and raw(after, "a") > raw(after, "b") + 1
+    scored = docs.select("doc_id", quality_classifier.scored(docs, labels).alias("s")).collect()
+    assert len(scored) == len(rows) and all(0 <= r["s"]["both"] <= 1 for r in scored)
+
+
+def test_lessons_are_sums_over_all_documents(spark):
+    rows, _ = with_sources(300, 100)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    table = quality_classifier.feature_table(docs)
+    rng = np.random.default_rng(3)
+    weights = [rng.normal(scale=4, size=quality_classifier.TEXT_SIZE + 1), rng.normal(scale=4, size=quality_classifier.META_SIZE + 1)]
+    views = quality_classifier.views_of([r["views"] for r in table.collect()])
+    p = [1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) for x, w in zip(views, weights)]
+    for (view, kind), (n, gradient, bend) in quality_classifier.exchanged(table, weights).items():
+        sure = [i for i in range(len(rows)) if (p[1 - view][i] >= quality_classifier.CERTAIN if kind else p[1 - view][i] <= 1 - quality_classifier.CERTAIN)]
+        by_hand = sum((np.r_[views[view][i], 1] * (kind - p[view][i]) for i in sure), np.zeros(len(gradient)))
+        bends = sum((np.r_[views[view][i], 1] ** 2 * p[view][i] * (1 - p[view][i]) for i in sure), np.zeros(len(bend)))
+        assert n == len(sure) and np.allclose(gradient, by_hand) and np.allclose(bend, bends)
+
+
 def test_logistic():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 3))
@@ -598,6 +633,8 @@ def test_empty_tables(empty):
     assert packing.pack_documents(empty, bpe.tokenizer_file()).count() == 0
     assert quality_rules.judged(empty, None).count() == 0
     assert language_id.identified(empty, None).count() == 0
+    assert bpe.encoded(empty, bpe.tokenizer_file()).count() == 0
+    assert pii.with_spans(empty).count() == 0
 
 
 def test_pipeline(spark, tmp_path):
@@ -617,6 +654,19 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
 
 
+def test_pipeline_with_odd_rows(spark, empty, tmp_path):
+    own, labels = quality_docs(120)
+    odd = [(None, own[1][1] + " x"), (None, None), (700, None), (701, ""), (702, "word " * 30000), (700, None)]
+    for name, rows in (("odd", own + odd), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame([(i, t, "en", "s", None, "mine", 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, node string, `__other` long").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = shared.documents(spark, folder)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = shared.stored(stage(spark, docs, folder), f"odd{k}")
+        assert (docs.count() > 0) == (name == "odd")
+
+
 def test_shingles_of_short_and_long_texts():
     sets = shingles.shingle_sets([b"", b" \n", b"A b", b"a B", b"a b c d e", b"a b c d e f a b c d e"])
     assert [len(s) for s in sets] == [0, 0, 1, 1, 1, 6]

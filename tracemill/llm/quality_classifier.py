@@ -4,7 +4,7 @@ One classifier sees a text's content, the other its page's metadata only: source
 fitted to a bounded sample of labelled documents. Then they teach each other for some rounds: in each, every document
 without a label (all of them, whatever their number) is scored by both views where its features are read; those of which
 one view is certain are examples for the other. Only sums come back: how many there are of each class, and the gradient
-they add; each class counts as much as the labelled documents do, so the exchange weighs the same at every size. A
+and curvature they add; each class counts as much as the labelled documents do, so the exchange weighs the same at every size. A
 round is one step of Newton's method with the curvature of the labelled sample. On labelled documents held out, each
 view's scores are calibrated, and the two are combined. The combined model scores every document where it is read.
 """
@@ -87,17 +87,17 @@ def views_of(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x[:, :TEXT_SIZE], x[:, TEXT_SIZE:]
 
 
-def lessons(views: tuple[np.ndarray, np.ndarray], weights: list[np.ndarray]) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """View, class, number and gradient (features and intercept) of the documents of which the other view is certain."""
+def lessons(views: tuple[np.ndarray, np.ndarray], weights: list[np.ndarray]) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """View, class, number, gradient and curvature (of each feature and the intercept) of the documents of which the other view is certain."""
     p = [sigmoid(logits(x, w)) for x, w in zip(views, weights)]
     for view in (0, 1):
         for kind, sure in ((0, p[1 - view] <= 1 - CERTAIN), (1, p[1 - view] >= CERTAIN)):
-            error = kind - p[view][sure]
-            yield view, kind, int(sure.sum()), np.r_[error @ views[view][sure], error.sum()]
+            x, error, bend = views[view][sure], kind - p[view][sure], (p[view] * (1 - p[view]))[sure]
+            yield view, kind, int(sure.sum()), np.r_[error @ x, error.sum()], np.r_[bend @ x**2, bend.sum()]
 
 
-def exchanged(pool: DataFrame, weights: list[np.ndarray]) -> dict[tuple[int, int], tuple[float, np.ndarray]]:
-    """By view and class the number of documents that teach it and their gradient: sums over all of ``pool``."""
+def exchanged(pool: DataFrame, weights: list[np.ndarray]) -> dict[tuple[int, int], tuple[float, np.ndarray, np.ndarray]]:
+    """By view and class the number of documents that teach it, their gradient and curvature: sums over all of ``pool``."""
     shipped = pool.sparkSession.sparkContext.broadcast(weights)
     schema = pa.schema([("view", pa.int32()), ("kind", pa.int32()), ("place", pa.int32()), ("value", pa.float64())])
 
@@ -105,28 +105,30 @@ def exchanged(pool: DataFrame, weights: list[np.ndarray]) -> dict[tuple[int, int
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
-                for view, kind, n, gradient in lessons(views_of(batch.column(0).slice(a, 2048).to_pylist()), shipped.value):
-                    sums[view, kind] = sums.get((view, kind), 0) + np.r_[n, gradient]
+                for view, kind, n, gradient, bend in lessons(views_of(batch.column(0).slice(a, 2048).to_pylist()), shipped.value):
+                    sums[view, kind] = sums.get((view, kind), 0) + np.r_[n, gradient, bend]
         rows = [(*k, i, v) for k, total in sums.items() for i, v in enumerate(total.tolist())]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
 
     found = pool.select("views").mapInArrow(teach, "view int, kind int, place int, value double")
-    sums = {(view, kind): np.zeros(1 + size + 1) for view, size in ((0, TEXT_SIZE), (1, META_SIZE)) for kind in (0, 1)}
+    sums = {(view, kind): np.zeros(1 + 2 * (size + 1)) for view, size in ((0, TEXT_SIZE), (1, META_SIZE)) for kind in (0, 1)}
     for r in found.groupBy("view", "kind", "place").agg(F.sum("value").alias("value")).collect():
         sums[r["view"], r["kind"]][r["place"]] = r["value"]
-    return {k: (v[0], v[1:]) for k, v in sums.items()}
+    return {k: (v[0], *np.split(v[1:], 2)) for k, v in sums.items()}
 
 
-def taught(x: np.ndarray, y: np.ndarray, w: np.ndarray, lesson: dict[int, tuple[float, np.ndarray]]) -> np.ndarray:
+def taught(x: np.ndarray, y: np.ndarray, w: np.ndarray, lesson: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> np.ndarray:
     """Weights after a step on the labelled documents and a lesson, each class of which counts as much as among the labelled."""
     full = np.hstack([x, np.ones((len(x), 1))])
     p = sigmoid(full @ w)
     shrink = np.r_[np.full(x.shape[1], RIDGE), 1e-6]
-    gradient = full.T @ (y - p) - shrink * w
-    for kind, (n, own) in lesson.items():
-        gradient += own * ((y == kind).sum() / n if n else 0)
+    gradient, bends = full.T @ (y - p) - shrink * w, shrink.copy()
+    for kind, (n, own, bend) in lesson.items():
+        if n:
+            gradient += own * (y == kind).sum() / n
+            bends += bend * (y == kind).sum() / n
     # pseudo-labels double the mass, and so the curvature
-    return w + np.linalg.solve(2 * (full * (p * (1 - p) + 1e-3)[:, None]).T @ full + np.diag(shrink), gradient)
+    return w + np.linalg.solve(2 * (full * (p * (1 - p) + 1e-3)[:, None]).T @ full + np.diag(bends), gradient)
 
 
 def co_trained(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, pool: DataFrame | None, rounds: int = ROUNDS) -> CoTrained:
