@@ -283,6 +283,29 @@ def test_chains_against_all_orders():
     assert longer > 20
 
 
+def test_chains_that_cover():
+    """What is left covers the same words, by chains that are sure to count, or is outside of them; its number follows the words, not the chains."""
+    rng, width = random.Random(6), passage_chains.WIDTH
+    for _ in range(200):
+        found = []
+        for leader in range(rng.randrange(1, 40)):
+            x = rng.randrange(150)
+            segments = [(x, x + 7, rng.randrange(10, 40))]
+            if rng.random() < 0.5:
+                x += segments[0][2] + rng.randrange(6, 40)
+                segments.append((x, x + 7 + rng.randrange(3), rng.randrange(10)))
+            found.append((leader, np.array(segments)))
+        span = lambda s: (s[0, 0], s[-1, 0] + s[-1, 2] + width)
+        sure = lambda s: (s[:, 2] + width).sum() >= passage_chains.IDENTITY * max(span(s)[1] - span(s)[0], s[-1, 1] + s[-1, 2] + width - s[0, 1])
+        words = lambda chains: {w for _, s in chains for w in range(*span(s))}
+        kept = passage_chains.covering(found)
+        assert words([c for c in kept if sure(c[1])]) == words([c for c in found if sure(c[1])])
+        assert words(kept) == words(found)
+        assert sum(sure(s) for _, s in kept) <= 2 * len(words(found)) / 10 + 1
+    copies = [(k, np.array([(0, 0, 95)])) for k in range(1000)]
+    assert len(passage_chains.covering(copies)) == 1
+
+
 def test_winnowing_meets_in_shared_stretches():
     rng = np.random.default_rng(4)
     for n in (16, 17, 40):
