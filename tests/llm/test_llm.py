@@ -134,6 +134,45 @@ def test_jaccard_join(spark, rows, case):
     assert got == {i: (len(sets[i]), classes[i]) for i in sets}
 
 
+def test_representative_links(spark):
+    own = near_group(4, 40)
+    sets = shingle_sets_by_hand(own)
+    pairs = {(r["doc_a"], r["doc_b"]) for r in jaccard_join.representative_links(frame(spark, own)).collect()}
+    assert all(a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in pairs)
+    # they join what all links join
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert {i: find(i) for i in sets} == classes_by_hand(sets)
+
+
+def test_bounds_from_leaders_decide_as_comparing_does(spark):
+    """Pairs across classes by what their leaders share, against all sets compared."""
+    rows = near_group(5, 60)
+    sets = shingle_sets_by_hand(rows)
+    docs = frame(spark, rows)
+    profiled = shared.stored(jaccard_join.profiles(docs), "p")
+    node = {r["doc_id"]: (r["node"], r["n"]) for r in profiled.filter("doc_id IS NOT NULL").collect()}
+    packed = shared.stored(jaccard_join.packed_sets(docs, profiled, profiled.select("node").distinct()), "s")
+    def pairs_of(ids):
+        out = []
+        for i, j in ids:
+            (a, na), (b, nb) = sorted([node[i], node[j]])
+            out.append((a, b, na, nb))
+        return spark.createDataFrame(out, "a long, b long, na long, nb long")
+    known = shared.stored(jaccard_join.answers(pairs_of([(k % 3, k) for k in range(3, 60)] + [(0, 1), (0, 2), (1, 2)]).select("a", "b"), packed), "k")
+    others = [(i, j) for i in range(3, 60) for j in range(i + 1, 60)]
+    got = {tuple(r) for r in jaccard_join.derived(pairs_of(others), known, packed).collect()}
+    wanted = {tuple(sorted([node[i][0], node[j][0]])) for i, j in others if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert got == wanted and 0 < len(wanted) < len(others)
+
+
 def test_jaccard_join_null_ids_and_repeats(spark, docs, rows):
     got = jaccard_join.near_duplicates(docs.unionByName(docs.limit(30))).collect()
     assert len(got) == len(rows) + 31 and all(r["component_id"] is None for r in got if r["doc_id"] is None)

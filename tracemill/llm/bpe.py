@@ -289,7 +289,7 @@ def _digest_row(coder: Rendered, doc_id, chunks: list[bytes]) -> Iterator[tuple]
 
 
 def encoded(docs: DataFrame, file: str) -> DataFrame:
-    """A row per row of ``docs``: doc_id, n_tokens, ids (decimal, joined by spaces), decoded text. Null text: no ids."""
+    """A row per row of ``docs``: doc_id, n_tokens, ids (decimal, joined by spaces), decoded text. Null text: no ids. Repeated rows are encoded each, long texts whole; an empty table gives none."""
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.string())])
     return per_text(docs, Rendered, file, "doc_id long, n_tokens long, ids string, decoded string", arrow, _encoded_row)
 

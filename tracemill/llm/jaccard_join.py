@@ -344,13 +344,8 @@ def derived(pairs: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
     return judged.filter("verdict = 1").select("a", "b").unionByName(open_pairs.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """A row per row of ``docs``: doc_id, n_shingles, component_id (the least doc_id that links reach).
-
-    Null or blank texts have no shingles and link with nothing. Rows with a null doc_id have a null component and take
-    part in no link. Rows that repeat a doc_id are judged each by its own text, so they may be in several components.
-    Texts count whole, however long. An empty table gives none. Other columns aren't read.
-    """
+def joined_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The profiles of ``docs``; node, label of sets that link with others; and a, b of the links that join them."""
     bounded_batches(docs)
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     profiled = stored(profiles(docs), "profiles")
@@ -370,14 +365,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = relabelled(labels, links)
         crossing = stored(with_labels(crossing, labels), "crossing")
     pairs = crossing_pairs(crossing).join(known, ["a", "b"], "left_anti")
-    labels = relabelled(labels, stored(derived(pairs, known, sets), "links"))
-    equal = profiled.filter("doc_id IS NOT NULL AND n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("least"))
-    joined = equal.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    last = stored(derived(pairs, known, sets), "links")
+    return profiled, relabelled(labels, last), known.filter(LINKED).select("a", "b").unionByName(last)
+
+
+def least_documents(profiled: DataFrame) -> DataFrame:
+    """node, check and the least doc_id of each set."""
+    return profiled.filter("doc_id IS NOT NULL AND n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("least"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """A row per row of ``docs``: doc_id, n_shingles, component_id (the least doc_id that links reach).
+
+    Null or blank texts have no shingles and link with nothing. Rows with a null doc_id have a null component and take
+    part in no link. Rows that repeat a doc_id are judged each by its own text, so they may be in several components.
+    Texts count whole, however long. An empty table gives none. Other columns aren't read.
+    """
+    profiled, labels, _ = joined_sets(docs)
+    joined = least_documents(profiled).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     joined = joined.join(joined.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "check", "component_id")
     rows = profiled.filter("block IS NULL").select("doc_id", "n", "node", "check").join(joined, ["node", "check"], "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def representative_links(docs: DataFrame) -> DataFrame:
+    """doc_a, doc_b: the links that join the components of near_duplicates, each between the least documents of two different sets.
+
+    They reach every set that links with another, with its class's leader or across classes. Other links within a class
+    of sets that share a leader aren't listed: near_duplicates has the membership. Odd rows as there.
+    """
+    profiled, _, links = joined_sets(docs)
+    named = stored(least_documents(profiled).groupBy("node").agg(F.min("least").alias("least")), "least")
+    for side in "ab":
+        links = links.join(named.select(F.col("node").alias(side), F.col("least").alias(f"doc_{side}")), side)
+    return links.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).distinct()
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
