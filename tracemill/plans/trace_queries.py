@@ -708,3 +708,61 @@ def step_csv(spark, sf_dir):
     for other in found[1:]:
         every = every.unionByName(other)
     return every.select("file", "kernel_name", F.col("`dur(ms)`").alias("dur"), F.col("`total io(GB)`").alias("io"), F.col("`tiling config`").alias("tiling"), F.col("triton_code_file").alias("code_file"))
+
+
+def _sql_line(*cells: tuple[str, int, str]) -> str:
+    """SQL for a report's line of (expression, width, number format), cells on the left of their columns."""
+    shown = [f"format('{{:{spec}}}', {e})" if spec else f"CAST({e} AS VARCHAR)" for e, _, spec in cells]
+    return " || ' ' || ".join(f"rpad({s}, CAST(greatest({w}, length({s})) AS INTEGER), ' ')" for s, (_, w, _) in zip(shown, cells))
+
+
+def _sql_head(title: str, columns) -> str:
+    """SQL rows of a report's first lines."""
+    head = " ".join(f"{c[0]:<{c[1] or ''}}" for c in columns)
+    return " UNION ALL ".join(f"SELECT {x} AS line" for x in ("''", title, f"'{head}'", f"'{'-' * len(head)}'"))
+
+
+def report_lines(spark: SparkSession, report: str) -> DataFrame:
+    return spark.createDataFrame([(line,) for line in report.split("\n")], "line string")
+
+
+_STEP_CELLS = [(f"CAST({m} AS BIGINT)" if m in _COUNTS else m, c[1], c[2]) for m, c in zip(A.METRICS, P.SUMMARY[1:])]
+_MEAN_CELLS = [(f"avg({m})", c[1], c[3]) for m, c in zip(A.METRICS, P.SUMMARY[1:])]
+
+
+@query(
+    "summary_lines",
+    with_stats(f"""{_sql_head("'=== Per-Step Summary (' || (SELECT count(*) FROM steps WHERE trace_id = 'A') || ' steps) — run ==='", P.SUMMARY)}
+UNION ALL SELECT {_sql_line(('step', P.SUMMARY[0][1], ''), *_STEP_CELLS)} FROM stats WHERE trace_id = 'A'
+UNION ALL SELECT '{'-' * len(' '.join(f'{c[0]:<{c[1]}}' for c in P.SUMMARY))}' UNION ALL SELECT {_sql_line(("'avg'", P.SUMMARY[0][1], ''), *_MEAN_CELLS)} FROM stats WHERE trace_id = 'A'"""),
+)
+def summary_lines(spark, sf_dir):
+    """The report on a trace's steps, line by line."""
+    return report_lines(spark, P.summary_report(_stats(spark, sf_dir).filter("trace_id = 'A'"), "run"))
+
+
+@query(
+    "breakdown_lines",
+    with_events(f"""{_sql_head("'=== Kernel Type Breakdown (avg across ' || (SELECT count(*) FROM steps WHERE trace_id = 'A') || ' steps) ==='", P.BREAKDOWN)}
+UNION ALL SELECT {_sql_line(('family', 16, ''), ('avg_count', 12, '.1f'), ("format('{:.1f}%', avg_count / c * 100)", 11, ''), ('avg_dur_ms', 14, '.3f'), ("format('{:.1f}%', avg_dur_ms / d * 100)", 10, ''))}
+FROM (SELECT *, sum(avg_count) OVER () AS c, sum(avg_dur_ms) OVER () AS d FROM fam WHERE family <> 'collective' AND trace_id = 'A')"""),
+)
+def breakdown_lines(spark, sf_dir):
+    averages, steps = kind_avg(spark, sf_dir, S.KERNEL)
+    found = A.family_breakdown(A.family_avg(averages, steps)).filter("trace_id = 'A'")
+    return report_lines(spark, P.breakdown_report(found, steps.filter("trace_id = 'A'").count()))
+
+
+_TOP_HEAD = f"rpad('#', 4, ' ') || ' ' || rpad('family', w, ' ') || ' ' || '{' '.join(f'{c[0]:<{c[1]}}' for c in P.TOP[2:-1])} {P.TOP[-1][0]}'"
+
+
+@query(
+    "top_lines",
+    f"""WITH {EVENTS_SQL}, top AS (SELECT * FROM (SELECT *, avg_dur_ms / sum(avg_dur_ms) OVER () * 100 AS dur_pct, row_number() OVER (ORDER BY avg_dur_ms DESC, name) AS rank
+  FROM kern WHERE family <> 'collective' AND trace_id = 'A') WHERE rank <= 5), width AS (SELECT CAST(greatest(12, max(length(family))) AS INTEGER) AS w FROM top)
+SELECT '' AS line UNION ALL SELECT '=== Top 5 Compute Hotspot Kernels ===' UNION ALL SELECT {_TOP_HEAD} FROM width UNION ALL SELECT repeat('-', length({_TOP_HEAD})) FROM width
+UNION ALL SELECT rpad(CAST(rank AS VARCHAR), 4, ' ') || ' ' || rpad(family, w, ' ') || ' ' || {_sql_line(("format('{:.1f}%', dur_pct)", 9, ''), ('avg_dur_ms', 14, '.3f'), ('avg_count', 12, '.1f'))} || ' ' || CASE WHEN length(name) > 55 THEN substr(name, 1, 52) || '...' ELSE name END FROM top, width""",
+)
+def top_lines(spark, sf_dir):
+    found = A.top_kernels(kind_avg(spark, sf_dir, S.KERNEL)[0], 5).filter("trace_id = 'A'")
+    return report_lines(spark, P.top_report(found, 5))
