@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import present as P
+from ..functions import formatting as N
 from ..functions import text as T
 from ..operators import averages as A
 from ..operators import compare as C
@@ -20,12 +22,10 @@ from ..operators import grid as G
 from ..operators import metadata as M
 from ..operators import steps as S
 from ..operators import triton as R
-from ..functions import formatting as N
 from ..schema import CODE, COLLECTIVE, IO_EFF, IO_GB, KWARGS
 from ..sources import tables as B
 from ..sources import traces as J
 from ..store import fresh_path
-from .. import present as P
 
 DAY_US, STEP_US, FIRST_DAY_US, SPLIT = 86_400_000_000, 72_000_000_000, 1_704_067_200_000_000, 15
 PATTERNS = ("poi", "fused_1", "gemm")
@@ -509,23 +509,26 @@ def parse_float(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.parse_float(F.concat(F.lit("  "), "value", F.lit("%"))).alias("from_percent"), T.parse_float(F.col("event_type")).alias("from_text"))
 
 
-@query("order_by_duration", with_events("SELECT trace_id, name, row_number() OVER (PARTITION BY trace_id ORDER BY avg_dur_ms DESC, name) AS place FROM avgs WHERE kind = 'kernel'"))
+@query("order_by_duration", with_events("SELECT trace_id, name, row_number() OVER (PARTITION BY trace_id ORDER BY round(avg_dur_ms, 9) DESC, name) AS place FROM avgs WHERE kind = 'kernel'"))
 def order_by_duration(spark, sf_dir):
     """Names in the order of result tables, numbered as they come. Result tables are small: a row a name."""
-    return numbered(A.ordered(kind_avg(spark, sf_dir, S.KERNEL)[0].coalesce(1)), "trace_id").select("trace_id", "name", "place")
+    means = kind_avg(spark, sf_dir, S.KERNEL)[0].withColumn("avg_dur_ms", F.round("avg_dur_ms", 9))
+    return numbered(A.ordered(means), "trace_id").select("trace_id", "name", "place")
 
 
 def numbered(rows: DataFrame, *by: str) -> DataFrame:
     """Rows of a small table with their place in the order in which they come, apart for each ``by``."""
-    from pyspark.sql import Window
-
     one = rows.coalesce(1).withColumn("__come", F.monotonically_increasing_id())
     return one.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("__come")).cast("long")).drop("__come")
 
 
-@query("order_by_change", with_events(f"SELECT name, row_number() OVER (ORDER BY abs(delta_dur_ms) DESC, name) AS place FROM {sql_compare(chr(40) + 'SELECT * FROM avgs WHERE kind = ' + repr('aten') + chr(41), 'name')}"))
+_ATEN_SQL = "(SELECT * FROM avgs WHERE kind = 'aten')"
+
+
+@query("order_by_change", with_events(f"SELECT name, row_number() OVER (ORDER BY abs(round(delta_dur_ms, 9)) DESC, name) AS place FROM {sql_compare(_ATEN_SQL, 'name')}"))
 def order_by_change(spark, sf_dir):
-    return numbered(C.by_change(C.compare_names(kind_avg(spark, sf_dir, S.ATEN)[0], "A", "B")), *[]).select("name", "place")
+    compared = C.compare_names(kind_avg(spark, sf_dir, S.ATEN)[0], "A", "B").withColumn("delta_dur_ms", F.round("delta_dur_ms", 9))
+    return numbered(C.by_change(compared)).select("name", "place")
 
 
 @query("step_orders", with_events("SELECT trace_id, step, row_number() OVER (PARTITION BY trace_id ORDER BY start_us) AS by_start, row_number() OVER (PARTITION BY trace_id ORDER BY step) AS by_number FROM steps"))
@@ -668,7 +671,7 @@ def type_bars(spark, sf_dir):
     return G.bars(shown, "family", "avg_dur_ms").select("family", *rounded("avg_dur_ms"))
 
 
-@query("json_traces", with_events("SELECT trace_id, kind, count(*) AS n, sum(CAST(ts AS DOUBLE)) AS ts, round(sum(value), 6) AS dur_ms FROM ev GROUP BY ALL"))
+@query("json_traces", with_events(f"SELECT trace_id, kind, count(*) AS n, CAST(sum((ts - {FIRST_DAY_US}) // 1000000) AS BIGINT) AS seconds, round(sum(value), 6) AS dur_ms FROM ev GROUP BY ALL"))
 def json_traces(spark, sf_dir):
     """Written as a JSON document a trace, one of them gzipped, and read back."""
     folder = fresh_path(spark, "json")
@@ -676,11 +679,10 @@ def json_traces(spark, sf_dir):
     for name, packed in (("A", False), ("B", True)):
         text = own.filter(F.col("trace_id") == name).groupBy("trace_id").agg(F.collect_list(F.struct("name", "cat", "ts", "dur", "args", F.lit("X").alias("ph"))).alias("traceEvents"))
         text.select(F.to_json(F.struct("traceEvents")).alias("value")).coalesce(1).write.option("compression", "gzip" if packed else "none").text(f"{folder}/{name}")
-        written = [f for f in B.part_files(spark, f"{folder}/{name}")]
+        written = B.part_files(spark, f"{folder}/{name}")
         B.moved(spark, written[-1], f"{folder}/traces/{name}.json{'.gz' if packed else ''}")
     read = J.read_traces(spark, f"{folder}/traces")
-    found = S.routed(read).filter("kind <> 'step'").groupBy("trace_id", "kind").agg(F.count("*").alias("n"), F.sum("ts").alias("ts"), F.round(F.sum(F.col("dur") / 1000), 6).alias("dur_ms"))
-    return found
+    return S.routed(read).filter("kind <> 'step'").groupBy("trace_id", "kind").agg(F.count("*").alias("n"), F.sum(((F.col("ts") - FIRST_DAY_US) / 1e6).cast("long")).alias("seconds"), F.round(F.sum(F.col("dur") / 1000), 6).alias("dur_ms"))
 
 
 def _three_sql(column: str) -> str:
