@@ -306,11 +306,14 @@ def further_leaders(crossing: DataFrame, turn: int) -> DataFrame:
 def crossing_pairs(crossing: DataFrame) -> DataFrame:
     """a, b, na, nb: all pairs of sets of different classes that meet in as many lists as links must, at places that leave the needed overlap possible.
 
-    Classes of a list are compared first, by their range of sizes, then the entries of those that are left.
+    Classes of a list are compared first, by their range of sizes, then by the number of lists in which they meet, then the entries of those that are left.
     """
     classes = crossing.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("top").alias("high"))
     other = classes.select("token", F.col("label").alias("lb"), F.col("low").alias("ob"), F.col("high").alias("hb"))
-    both = classes.join(other, "token").filter("label < lb AND low <= hb AND ob <= high").select("token", "label", "lb")
+    both = classes.join(other, "token").filter("label < lb AND low <= hb AND ob <= high").select("token", "label", "lb", F.least("low", "ob").alias("least"))
+    # two sets that link meet in MET lists, or are smaller than that; so do their classes
+    met = both.groupBy("label", "lb").agg(F.count("*").alias("lists"), F.min("least").alias("least")).filter((F.col("lists") >= MET) | (F.col("least") <= MET))
+    both = both.join(met.select("label", "lb"), ["label", "lb"], "left_semi").select("token", "label", "lb")
     x = both.join(crossing.select("token", "label", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("top").alias("tx")), ["token", "label"])
     y = x.join(crossing.select("token", F.col("label").alias("lb"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("top").alias("ty")), ["token", "lb"])
     in_order = F.col("x") < F.col("y")
@@ -366,7 +369,9 @@ def joined_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         crossing = stored(with_labels(crossing, labels), "crossing")
     pairs = crossing_pairs(crossing).join(known, ["a", "b"], "left_anti")
     last = stored(derived(pairs, known, sets), "links")
-    return profiled, relabelled(labels, last), known.filter(LINKED).select("a", "b").unionByName(last)
+    if not last.isEmpty():
+        labels = relabelled(labels, last)
+    return profiled, labels, known.filter(LINKED).select("a", "b").unionByName(last)
 
 
 def least_documents(profiled: DataFrame) -> DataFrame:
