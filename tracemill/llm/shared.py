@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..store import clear_stored, shared_folder, stored
 
-__all__ = ["among", "bounded_batches", "by_slices", "clear_stored", "documents", "shared_folder", "stored", "text_bytes", "unused_name"]
+__all__ = ["among", "bounded_batches", "by_slices", "clear_stored", "documents", "marked_among", "shared_folder", "stored", "text_bytes", "unused_name"]
 
 
 SLICE_BYTES = 2_000_000
@@ -43,6 +43,18 @@ def among(docs: DataFrame, ids: DataFrame, most_bits: int = 27) -> DataFrame:
     return placed.join(F.broadcast(bitmap), "part").filter((byte.bitwiseAND(F.expr("shiftleft(1, cast(p % 8 as int))")) != 0)).select(*docs.columns)
 
 
+def marked_among(docs: DataFrame, ids: DataFrame, on: str, flag: str, most_bits: int = 27) -> DataFrame:
+    """``docs`` with a boolean column ``flag``: true for all rows whose ``on`` is in the first column of ``ids``, of the same type, and for a few others. Their bitmap takes 4 KB to 16 MB, whatever their number; it is looked up where rows are read."""
+    bits = min(most_bits, max(15, (16 * ids.count()).bit_length()))
+    place, part, held = (unused_name(docs, n) for n in ("p", "part", "bits"))
+    at = lambda column: F.pmod(F.xxhash64(column), F.lit(2**bits))
+    bitmap = ids.select(at(ids.columns[0]).alias(place)).groupBy(F.expr(f"{place} div 32768").alias(part)).agg(F.expr(f"bitmap_construct_agg({place} % 32768)").alias(held))
+    placed = docs.withColumn(place, at(on)).withColumn(part, F.expr(f"{place} div 32768"))
+    byte = F.conv(F.hex(F.expr(f"substring({held}, cast({place} % 32768 div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.expr(f"shiftleft(1, cast({place} % 8 as int))")) != 0
+    return placed.join(F.broadcast(bitmap), part, "left").withColumn(flag, F.coalesce(hit, F.lit(False))).drop(place, part, held)
+
+
 def unused_name(df: DataFrame, wanted: str = "own") -> str:
     """A column name that ``df`` doesn't have, whatever its case."""
     taken = {c.lower() for c in df.columns}
