@@ -3,10 +3,13 @@
 One classifier sees a text's content, the other its page's metadata only: source, language and recorded size. Both are
 fitted to a bounded sample of labelled documents. Then they teach each other for some rounds: in each, every document
 without a label (all of them, whatever their number) is scored by both views where its features are read; those of which
-one view is certain are examples for the other. Only sums come back: how many there are of each class, and the gradient
-and curvature they add; each class counts as much as the labelled documents do, so the exchange weighs the same at every size. A
-round is one step of Newton's method with the curvature of the labelled sample. On labelled documents held out, each
-view's scores are calibrated, and the two are combined. The combined model scores every document where it is read.
+one view is certain are examples for the other. What is certain is settled on labelled documents held out: a view's scores
+are calibrated there, and it teaches only if, of both classes, the documents it calls certain there are right
+often enough; a view that knows nothing teaches nothing. Only sums come back: how many examples there are of each class, and the gradient
+and curvature they add; each class counts at most as much as the labelled documents do, so the exchange weighs the same at every size. A
+round is one step of Newton's method with the curvature of the labelled sample. On the documents held out the two views
+are combined; the round with the least loss there is kept, the one before any exchange included. The combined model
+scores every document where it is read.
 """
 
 from __future__ import annotations
@@ -27,6 +30,9 @@ from .shingles import word_hashes
 
 LABELLED = 4000
 ROUNDS, CERTAIN = 4, 0.95
+#: Documents held out that a view must be certain of before it teaches, and the loss that counts as equal.
+LEAST_SURE, EQUAL = 5, 1e-4
+SURE = float(np.log(CERTAIN / (1 - CERTAIN)))
 RIDGE = 1.0
 THRESHOLD = 0.5
 BAG, META_CELLS = 256, 64
@@ -87,25 +93,30 @@ def views_of(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x[:, :TEXT_SIZE], x[:, TEXT_SIZE:]
 
 
-def lessons(views: tuple[np.ndarray, np.ndarray], weights: list[np.ndarray]) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
-    """View, class, number, gradient and curvature (of each feature and the intercept) of the documents of which the other view is certain."""
-    p = [sigmoid(logits(x, w)) for x, w in zip(views, weights)]
+Marks = tuple[float, float]
+
+
+def lessons(views: tuple[np.ndarray, np.ndarray], weights: list[np.ndarray], marks: tuple[Marks, Marks]) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """View, class, number, gradient and curvature (of each feature and the intercept) of the documents of which the other view is certain: its score is at or beyond one of its marks."""
+    raw = [logits(x, w) for x, w in zip(views, weights)]
+    p = [sigmoid(z) for z in raw]
     for view in (0, 1):
-        for kind, sure in ((0, p[1 - view] <= 1 - CERTAIN), (1, p[1 - view] >= CERTAIN)):
+        low, high = marks[1 - view]
+        for kind, sure in ((0, raw[1 - view] <= low), (1, raw[1 - view] >= high)):
             x, error, bend = views[view][sure], kind - p[view][sure], (p[view] * (1 - p[view]))[sure]
             yield view, kind, int(sure.sum()), np.r_[error @ x, error.sum()], np.r_[bend @ x**2, bend.sum()]
 
 
-def exchanged(pool: DataFrame, weights: list[np.ndarray]) -> dict[tuple[int, int], tuple[float, np.ndarray, np.ndarray]]:
+def exchanged(pool: DataFrame, weights: list[np.ndarray], marks: tuple[Marks, Marks] = ((-SURE, SURE), (-SURE, SURE))) -> dict[tuple[int, int], tuple[float, np.ndarray, np.ndarray]]:
     """By view and class the number of documents that teach it, their gradient and curvature: sums over all of ``pool``."""
-    shipped = pool.sparkSession.sparkContext.broadcast(weights)
+    shipped = pool.sparkSession.sparkContext.broadcast((weights, marks))
     schema = pa.schema([("view", pa.int32()), ("kind", pa.int32()), ("place", pa.int32()), ("value", pa.float64())])
 
     def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
-                for view, kind, n, gradient, bend in lessons(views_of(batch.column(0).slice(a, 2048).to_pylist()), shipped.value):
+                for view, kind, n, gradient, bend in lessons(views_of(batch.column(0).slice(a, 2048).to_pylist()), *shipped.value):
                     sums[view, kind] = sums.get((view, kind), 0) + np.r_[n, gradient, bend]
         rows = [(*k, i, v) for k, total in sums.items() for i, v in enumerate(total.tolist())]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
@@ -117,6 +128,18 @@ def exchanged(pool: DataFrame, weights: list[np.ndarray]) -> dict[tuple[int, int
     return {k: (v[0], *np.split(v[1:], 2)) for k, v in sums.items()}
 
 
+def certain(raw: np.ndarray, y: np.ndarray) -> Marks | None:
+    """The scores from which a view is certain of a class, by its scores of documents held out and their classes; None unless it is right there about both."""
+    slope, intercept = logistic(raw[:, None], y.astype(float))
+    if slope <= 0:
+        return None
+    low, high = (-SURE - intercept) / slope, (SURE - intercept) / slope
+    for kind, sure in ((0, raw <= low), (1, raw >= high)):
+        if sure.sum() < LEAST_SURE or (y[sure] == kind).mean() < CERTAIN:
+            return None
+    return low, high
+
+
 def taught(x: np.ndarray, y: np.ndarray, w: np.ndarray, lesson: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> np.ndarray:
     """Weights after a step on the labelled documents and a lesson, each class of which counts as much as among the labelled."""
     full = np.hstack([x, np.ones((len(x), 1))])
@@ -124,24 +147,44 @@ def taught(x: np.ndarray, y: np.ndarray, w: np.ndarray, lesson: dict[int, tuple[
     shrink = np.r_[np.full(x.shape[1], RIDGE), 1e-6]
     gradient, bends = full.T @ (y - p) - shrink * w, shrink.copy()
     for kind, (n, own, bend) in lesson.items():
-        if n:
-            gradient += own * (y == kind).sum() / n
-            bends += bend * (y == kind).sum() / n
+        share = min(1.0, (y == kind).sum() / n)
+        gradient += own * share
+        bends += bend * share
     # pseudo-labels double the mass, and so the curvature
     return w + np.linalg.solve(2 * (full * (p * (1 - p) + 1e-3)[:, None]).T @ full + np.diag(bends), gradient)
 
 
+def combined(weights: list[np.ndarray], views: list[np.ndarray], y: np.ndarray) -> tuple[CoTrained, float]:
+    """The model of both views' weights, calibrated and combined on documents held out, and its loss there."""
+    judged = y.astype(float)
+    calibration = tuple(logistic(logits(x, w)[:, None], judged) for x, w in zip(views, weights))
+    z = np.stack([logits(logits(x, w)[:, None], c) for x, w, c in zip(views, weights, calibration)], 1)
+    both = logistic(z, judged)
+    p = np.clip(sigmoid(logits(z, both)), 1e-9, 1 - 1e-9)
+    return CoTrained(tuple(weights), calibration, both), float(-np.mean(judged * np.log(p) + (1 - judged) * np.log(1 - p)))
+
+
 def co_trained(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, pool: DataFrame | None, rounds: int = ROUNDS) -> CoTrained:
-    views = text, meta
-    own = [(x[~held], y[~held].astype(float)) for x in views]
+    """The model of the round with the least loss on documents held out; of rounds as good as equal the last."""
+    own = [(x[~held], y[~held].astype(float)) for x in (text, meta)]
+    out = [x[held] for x in (text, meta)]
     weights = [logistic(*o) for o in own]
+    model, least = combined(weights, out, y[held])
     for _ in range(rounds if pool is not None else 0):
-        found = exchanged(pool, weights)
-        weights = [taught(*own[v], weights[v], {kind: found[v, kind] for kind in (0, 1)}) for v in (0, 1)]
-    judged = y[held].astype(float)
-    calibration = tuple(logistic(logits(x[held], w)[:, None], judged) for x, w in zip(views, weights))
-    z = np.stack([logits(logits(x[held], w)[:, None], c) for x, w, c in zip(views, weights, calibration)], 1)
-    return CoTrained(tuple(weights), calibration, logistic(z, judged))
+        marks = [certain(logits(x, w), y[held]) for x, w in zip(out, weights)]
+        if not any(marks):
+            break
+        found = exchanged(pool, weights, tuple(m or (-np.inf, np.inf) for m in marks))
+        lesson = [{kind: found[v, kind] for kind in (0, 1)} for v in (0, 1)]
+        # a view learns both classes or none
+        learns = [all(n for n, *_ in lesson[v].values()) for v in (0, 1)]
+        if not any(learns):
+            break
+        weights = [taught(*own[v], weights[v], lesson[v]) if learns[v] else weights[v] for v in (0, 1)]
+        now, loss = combined(weights, out, y[held])
+        if loss <= least + EQUAL:
+            model, least = now, min(least, loss)
+    return model
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> CoTrained | None:
