@@ -28,7 +28,7 @@ from .shared import bounded_batches, stored
 
 SCALE = 256
 POSITIVES, NEGATIVES, LEAST, MOST = 5, 3, 50, 95
-SAMPLE, CENTROIDS, TURNS = 20_000, 1024, 8
+SAMPLE, CENTROIDS, TURNS = 16_384, 1024, 8
 PART, ANCHORS, FIRST = 1024, 512, 8
 PRODUCTS = 2**20
 #: Squared norms up to this leave 100 times an inner product within a long.
@@ -79,7 +79,7 @@ def k_means(x: np.ndarray, k: int, turns: int = TURNS, seed: int = 0) -> np.ndar
     c = different[np.random.default_rng(seed).permutation(len(different))[:k]]
     x = x.astype(float)
     for _ in range(turns):
-        own = distances(x, c).argmin(1)
+        own = np.concatenate([distances(x[a : a + PART], c).argmin(1) for a in range(0, len(x), PART)])
         n = np.bincount(own, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, own, x)
@@ -88,11 +88,12 @@ def k_means(x: np.ndarray, k: int, turns: int = TURNS, seed: int = 0) -> np.ndar
 
 
 def inverted_lists(rows: DataFrame, part: int = PART) -> Lists | None:
-    """The index over all ``rows`` (whole_vectors); its centroids come from SAMPLE rows at most, the first by hash. None without rows."""
+    """The index over all ``rows`` (whole_vectors); its centroids come from about SAMPLE different rows, by hash, or all if there are fewer. None without rows."""
     n = rows.count()
     if not n:
         return None
-    sample = rows.orderBy(F.xxhash64("id"), "id", "label", "vector").limit(SAMPLE).collect()
+    thin = F.pmod(F.xxhash64("id", "label", "vector"), F.lit(2**40)) < int(2**40 * min(1.0, SAMPLE / n))
+    sample = rows.filter(thin).distinct().orderBy("id", "label", "vector").collect()
     centroids = k_means(matrix_of([r["vector"] for r in sample]), min(CENTROIDS, round(n**0.5)))
     shipped = rows.sparkSession.sparkContext.broadcast(centroids)
 
@@ -216,7 +217,8 @@ def searched(anchors: DataFrame, lists: Lists, windows: int, k: int, same: bool,
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 2 else pa.int64()) for i, c in enumerate(columns)], names=["anchor", "mark", "window", "score", "other"])
 
     packed = anchors.select("id", "mark", "label", "vector", "needs").mapInArrow(visits, "cluster int, keys binary, vectors_a binary, needs binary")
-    return packed.join(lists.parts, "cluster").select("keys", "vectors_a", "needs", "ids", "labels", "vectors").mapInArrow(score, FOUND)
+    # Spark can't know how large either side gets, so neither may be broadcast
+    return packed.hint("merge").join(lists.parts, "cluster").select("keys", "vectors_a", "needs", "ids", "labels", "vectors").mapInArrow(score, FOUND)
 
 
 def first_of(found: DataFrame, k: int) -> DataFrame:
