@@ -42,7 +42,9 @@ def measured_gb_s(stdout: Column) -> Column:
     """Throughput of a program's output: of three or more words the last, a number with or without GB/s, to two decimals (``hundredths``); else null."""
     words = F.split(F.regexp_replace(stdout, r"^\s+|\s+$", ""), r"\s+")
     number = F.replace(F.element_at(words, -1), F.lit("GB/s"), F.lit("")).try_cast("double")
-    return F.when(F.size(words) >= 3, hundredths(number))
+    # a lambda's argument is worked out once; written out, every use of it would parse the text again
+    once = F.element_at(F.transform(F.array(number), hundredths), 1)
+    return F.when(F.size(words) >= 3, once)
 
 
 def first_gb_s(text: Column) -> Column:

@@ -54,14 +54,18 @@ def sorted_rows(rows: DataFrame, column: str, ascending: bool = True, ties: Sequ
 
 
 def placed_rows(rows: DataFrame, column: str, ascending: bool = True, ties: Sequence[str] = ()) -> DataFrame:
-    """All rows with their place (from 1) in the order of ``sorted_rows``. Ranges of the order are numbered apart, each from the count of those before; equal rows share a range."""
-    keys = [*sort_keys(column, ascending), *(F.col(c) for c in ties)]
-    within = stored(rows.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()), "ranges")
-    counts = within.groupBy("__range").agg(F.count("*").alias("__n"))
+    """All rows with their place (from 1) in the order of ``sorted_rows``."""
+    return placed(sorted_rows(rows, column, ascending, ties))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """All rows of a sorted frame with their place (from 1) in its order. Spark sorts by ranges, a task each; every range counts its own, and begins after those before it."""
+    come = stored(rows.withColumns({"__range": F.spark_partition_id(), "__come": F.monotonically_increasing_id()}), "ranges")
     # a row a range, so few
-    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))).drop("__n")
-    numbered = within.withColumn("__own", F.row_number().over(Window.partitionBy("__range").orderBy(*keys)))
-    return numbered.join(F.broadcast(before), "__range").select(*rows.columns, (F.col("__own") + F.coalesce("__before", F.lit(0))).cast("long").alias("place"))
+    first = come.groupBy("__range").agg(F.count("*").alias("__n"), F.min("__come").alias("__first"))
+    before = first.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n") - F.col("__first")).alias("__before"))
+    # within a range the numbers that Spark gives follow each other
+    return come.join(F.broadcast(before), "__range").select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("__come") + F.col("__before") + 1).alias("place"))
 
 
 def sums(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import older_than_days
+from .grid import placed
 
 UNGROUPED = "未分组"  # fixed value: the group of jobs without a project
 NO_PROJECT = "__none__"
@@ -40,6 +41,16 @@ def previous_offset(offset: int, limit: int) -> int:
     return max(0, offset - limit)
 
 
+def paged(rows: DataFrame, limit: int = 50) -> DataFrame:
+    """All rows of a sorted frame with their place and the offsets of their page, the next and the previous one: a listing for deep pages, made once."""
+    found = placed(rows)
+    total = found.agg(F.count("*").alias("__total"))
+    offset = ((F.col("place") - 1) / limit).cast("long") * limit
+    following = F.when(offset + limit < F.col("__total"), offset + limit).otherwise(offset)
+    # one row
+    return found.join(F.broadcast(total)).select(*found.columns, offset.alias("offset"), following.alias("next_offset"), F.greatest(offset - limit, F.lit(0)).alias("previous_offset"))
+
+
 def by_id(rows: DataFrame, key: str) -> DataFrame:
     return rows.filter(F.col("id") == key)
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Up to so many steps in all, their table is broadcast; beyond, events and steps meet in time buckets.
+from ..store import stored
+
+#: Up to so many steps in all, their table is broadcast; beyond, events and steps are swept in order of time.
 BROADCAST_STEPS = 2000
 
 STEP, KERNEL, ATEN, COMM = "step", "kernel", "aten", "cncl"
@@ -62,20 +64,31 @@ def assigned(events: DataFrame, steps: DataFrame, broadcast_steps: int = BROADCA
 
     An event past the end of that step is in none, even if an earlier step still runs. There is at most one match.
     """
-    own = steps.select("trace_id", "step", "start", "end", "nxt")
+    own = steps.select("trace_id", "step", "ord", "start", "end", "nxt")
     e = events.alias("e")
     inside = (F.col("e.ts") >= F.col("s.start")) & (F.col("s.nxt").isNull() | (F.col("e.ts") < F.col("s.nxt"))) & (F.col("e.ts") <= F.col("s.end"))
     same = F.col("e.trace_id") == F.col("s.trace_id")
     if own.limit(broadcast_steps + 1).count() <= broadcast_steps:
         return e.join(F.broadcast(own).alias("s"), same & inside).select("e.*", "s.step")
-    # a bucket is as long as a trace's mean step, so that steps cover two or three on average
-    last = F.least("end", F.coalesce("nxt", "end"))
-    width = own.groupBy("trace_id").agg(F.greatest((F.max(last) - F.min("start")) / F.count("*"), F.lit(1.0)).alias("width"), F.min("start").alias("zero"))
-    cells = own.filter(F.col("end") >= F.col("start")).join(width, "trace_id").withColumn("cell", F.explode(F.sequence(_cell("start"), _cell(last)))).alias("s")
-    placed = events.join(width, "trace_id").withColumn("cell", _cell("ts")).drop("width", "zero").alias("e")
-    return placed.join(cells, same & (F.col("e.cell") == F.col("s.cell")) & inside).select(*(F.col(f"e.`{c}`") for c in events.columns), "s.step")
+    return swept(events, own)
+
 
+def swept(events: DataFrame, steps: DataFrame) -> DataFrame:
+    """What ``assigned`` gives, for any number of steps and however they and the events cluster in time.
 
-def _cell(time: str | Column) -> Column:
-    time = F.col(time) if isinstance(time, str) else time
-    return F.floor((time - F.col("zero")) / F.col("width"))
+    Events and steps go together into ranges of trace, time and place, a task each, of about equal numbers of rows. In
+    its range every event takes the last step before it; where there is none, the last step of an earlier range.
+    """
+    columns = [F.col(f"e.`{c}`") for c in events.columns]
+    e = events.select("trace_id", F.col("ts").alias("at"), F.lit(1).alias("turn"), F.col("ord").alias("place"), F.struct(*(F.col(f"`{c}`") for c in events.columns)).alias("e"), F.lit(None).cast("struct<step:int,end:double,trace:string>").alias("s"))
+    # of steps of equal start the one of greatest place is the last; a step comes before events at its start
+    own = steps.select("trace_id", F.col("start").alias("at"), F.lit(0).alias("turn"), F.col("ord").alias("place"), F.lit(None).cast(e.schema["e"].dataType).alias("e"), F.struct("step", "end", F.col("trace_id").alias("trace")).alias("s"))
+    order = ["trace_id", "at", "turn", "place"]
+    ranged = stored(e.unionByName(own).repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "sweep")
+    # a row a range
+    lasts = ranged.filter("s IS NOT NULL").groupBy("range").agg(F.max_by("s", F.struct(*order)).alias("s"))
+    handed = ranged.select("range").distinct().join(lasts, "range", "left")
+    before = handed.select("range", F.last("s", ignorenulls=True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    within = F.last("s", ignorenulls=True).over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = ranged.withColumn("last", within).filter("turn = 1").join(F.broadcast(before), "range").withColumn("last", F.coalesce("last", "before"))
+    return found.filter("last.trace = trace_id AND at <= last.end").select(*columns, F.col("last.step").alias("step"))

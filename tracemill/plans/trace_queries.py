@@ -6,8 +6,9 @@ in none. Days 0 to 14 are trace A, later ones B.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -157,7 +158,7 @@ def step_assign(spark, sf_dir):
 
 @query("step_assign_buckets", with_events("SELECT trace_id, ord, kind, step FROM placed"))
 def step_assign_buckets(spark, sf_dir):
-    """The same by the way that many steps take."""
+    """The same by the way that many steps take: swept in order of time."""
     events = trace_events(spark, sf_dir)
     return S.assigned(S.routed(events).filter("kind <> 'step'"), S.steps(events), broadcast_steps=0).select("trace_id", "ord", "kind", "step")
 
@@ -361,8 +362,8 @@ def measure_join(spark, sf_dir):
 
 @query("measure_join_large", _MEASURE_SQL)
 def measure_join_large(spark, sf_dir):
-    """The same by the way that many measurements take."""
-    return R.join_measured(_measured_names(spark, sf_dir), R.measured(_measurements(spark, sf_dir)), broadcast_rows=0)
+    """The same by the way that very many names take."""
+    return R.join_measured(_measured_names(spark, sf_dir), R.measured(_measurements(spark, sf_dir)), matcher_bytes=0)
 
 
 @query("grid_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(CAST(p_partkey AS VARCHAR)), 're') OR contains(lower(p_name), 're')")
@@ -517,9 +518,12 @@ def order_by_duration(spark, sf_dir):
 
 
 def numbered(rows: DataFrame, *by: str) -> DataFrame:
-    """Rows of a small table with their place in the order in which they come, apart for each ``by``."""
-    one = rows.coalesce(1).withColumn("__come", F.monotonically_increasing_id())
-    return one.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("__come")).cast("long")).drop("__come")
+    """Rows of a sorted frame with their place, apart for each ``by``, by which they are sorted first."""
+    found = G.placed(rows)
+    if not by:
+        return found
+    first = found.groupBy(*by).agg(F.min("place").alias("__first"))
+    return found.join(first, [*by]).withColumn("place", F.col("place") - F.col("__first") + 1).drop("__first")
 
 
 _ATEN_SQL = "(SELECT * FROM avgs WHERE kind = 'aten')"
@@ -631,22 +635,25 @@ def projects_newest_first(spark, sf_dir):
     return numbered(M.newest_first(dated)).select("id", "place")
 
 
-@query("job_groups", f"WITH {JOBS_SQL} SELECT j.id, coalesce(p.name, '{M.UNGROUPED}') AS group_label, row_number() OVER (ORDER BY p.name IS NULL, p.name, created_at DESC, j.id) AS place FROM j LEFT JOIN p ON j.project_id = p.id WHERE CAST(j.id AS BIGINT) % 10 = 0")
+@query("job_groups", f"WITH {JOBS_SQL} SELECT j.id, coalesce(p.name, '{M.UNGROUPED}') AS group_label, row_number() OVER (ORDER BY p.name IS NULL, p.name, created_at DESC, j.id) AS place FROM j LEFT JOIN p ON j.project_id = p.id")
 def job_groups(spark, sf_dir):
-    """Every tenth job by group, those of none last."""
-    return numbered(M.grouped(jobs(spark, sf_dir).filter("cast(id AS long) % 10 = 0"), projects(spark, sf_dir))).select("id", "group_label", "place")
+    """All jobs by group, those of none last."""
+    return numbered(M.grouped(jobs(spark, sf_dir), projects(spark, sf_dir))).select("id", "group_label", "place")
 
 
-@query("first_tabs", "SELECT name FROM (SELECT 'step_' || n || '_triton_kernels.csv' AS name FROM range(1, 20) AS t(n)) ORDER BY name LIMIT 3")
+@query("first_tabs", with_events("SELECT DISTINCT 'step_' || step || '_triton_kernels.csv' AS name FROM calls WHERE code IS NOT NULL AND trace_id = 'A' ORDER BY name LIMIT 3"))
 def first_tabs(spark, sf_dir):
-    names = spark.range(1, 20).select(F.concat(F.lit("step_"), "id", F.lit("_triton_kernels.csv")).alias("name"))
-    return G.first_steps(names.unionByName(spark.range(1).select(F.lit("aten_ops_avg.csv").alias("name"))))
+    """The first of the step files that a trace's calls give, among its other results."""
+    rows = R.step_rows(X.triton_calls(parts(spark, sf_dir)[2]).filter("trace_id = 'A'"))
+    names = rows.select(F.concat(F.lit("step_"), "step", F.lit("_triton_kernels.csv")).alias("name")).distinct()
+    return G.first_steps(names.unionByName(spark.createDataFrame([(f,) for f in B.RESULTS], "name string")))
 
 
-@query("page_offsets", "SELECT total, CASE WHEN 100 < total THEN 100 ELSE 50 END AS next_offset, 0 AS previous_offset FROM (SELECT count(*) AS total FROM orders)")
+@query("page_offsets", f"""WITH {JOBS_SQL}, q AS (SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS place, count(*) OVER () AS total FROM j)
+SELECT id, place, (place - 1) // 50 * 50 AS "offset", CASE WHEN (place - 1) // 50 * 50 + 50 < total THEN (place - 1) // 50 * 50 + 50 ELSE (place - 1) // 50 * 50 END AS next_offset, greatest((place - 1) // 50 * 50 - 50, 0) AS previous_offset FROM q""")
 def page_offsets(spark, sf_dir):
-    total = M.job_total(jobs(spark, sf_dir)).first()["total"]
-    return spark.createDataFrame([(total, M.next_offset(50, 50, total), M.previous_offset(30, 50))], "total long, next_offset int, previous_offset int")
+    """All jobs, newest first, with their page's place and its neighbours'."""
+    return M.paged(M.newest_first(jobs(spark, sf_dir))).select("id", "place", "offset", "next_offset", "previous_offset")
 
 
 @query("jobs_by_id", f"WITH {JOBS_SQL} SELECT id, mode, status FROM j WHERE id IN ('1', '7')")
@@ -673,18 +680,51 @@ def type_bars(spark, sf_dir):
 
 @query("json_traces", with_events(f"SELECT trace_id, kind, count(*) AS n, CAST(sum((ts - {FIRST_DAY_US}) // 1000000) AS BIGINT) AS seconds, round(sum(value), 6) AS dur_ms FROM ev GROUP BY ALL"))
 def json_traces(spark, sf_dir):
-    """Written as a JSON document a trace, one of them gzipped, and read back."""
+    """Written as a JSON document a trace, one of them gzipped, with events of several phases, and read back."""
+    return _read_back(J.read_traces(spark, write_documents(spark, sf_dir)))
+
+
+def _one_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of a trace document from those of its events."""
+    head = '{"schemaVersion": 1, "traceEvents": ['
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"value": [(head if k == 0 else ",") + x for k, x in enumerate(batch.column(0).to_pylist())]})
+        head = ","
+    yield pa.RecordBatch.from_pydict({"value": [("" if head == "," else head) + '], "other": {"traceEvents": []}}']})
+
+
+def write_documents(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the traces A and B as JSON documents, B gzipped. Each is one file, so one task writes it, an event at a time."""
     folder = fresh_path(spark, "json")
     own = trace_events(spark, sf_dir)
+    phase = F.element_at(F.array(*map(F.lit, "XCi")), (F.pmod("ord", F.lit(3)) + 1).cast("int"))
+
     for name, packed in (("A", False), ("B", True)):
-        text = own.filter(F.col("trace_id") == name).groupBy("trace_id").agg(F.collect_list(F.struct("name", "cat", "ts", "dur", "args", F.lit("X").alias("ph"))).alias("traceEvents"))
-        text.select(F.to_json(F.struct("traceEvents")).alias("value")).coalesce(1).write.option("compression", "gzip" if packed else "none").text(f"{folder}/{name}")
-        written = B.part_files(spark, f"{folder}/{name}")
-        B.moved(spark, written[-1], f"{folder}/traces/{name}.json{'.gz' if packed else ''}")
-    read = J.read_traces(spark, f"{folder}/traces")
+        events = own.filter(F.col("trace_id") == name).select(F.to_json(F.struct("name", "cat", "ts", "dur", "args", phase.alias("ph"))).alias("value"))
+        events.coalesce(1).mapInArrow(_one_document, "value string").write.option("compression", "gzip" if packed else "none").text(f"{folder}/{name}")
+        B.moved(spark, B.part_files(spark, f"{folder}/{name}")[-1], f"{folder}/traces/{name}.json{'.gz' if packed else ''}")
+    return f"{folder}/traces"
+
+
+def _read_back(read: DataFrame) -> DataFrame:
     return S.routed(read).filter("kind <> 'step'").groupBy("trace_id", "kind").agg(F.count("*").alias("n"), F.sum(((F.col("ts") - FIRST_DAY_US) / 1e6).cast("long")).alias("seconds"), F.round(F.sum(F.col("dur") / 1000), 6).alias("dur_ms"))
 
 
+@query("json_split", with_events("SELECT trace_id, ord, name, kind, CAST(ts AS DOUBLE) AS ts, round(value, 6) AS dur_ms, row_number() OVER (PARTITION BY trace_id ORDER BY ord) AS nth FROM ev"))
+def json_split(spark, sf_dir):
+    """The same documents read by byte ranges: every event with its place among the events of its trace; events are written in the order of their ids."""
+    folder = fresh_path(spark, "json")
+    own = trace_events(spark, sf_dir)
+    for name in "AB":
+        tagged = own.filter(F.col("trace_id") == name).orderBy("ord").select(F.to_json(F.struct("name", "cat", "ts", "dur", F.struct(F.col("ord").cast("string").alias(IO_GB), F.lit("}{\\\"][").alias(CODE)).alias("args"))).alias("value"))
+        whole = tagged.coalesce(1).mapInArrow(_one_document, "value string")
+        whole.write.text(f"{folder}/{name}")
+        B.moved(spark, B.part_files(spark, f"{folder}/{name}")[-1], f"{folder}/traces/{name}.json")
+    read = S.routed(J.read_large_traces(spark, f"{folder}/traces/A.json", f"{folder}/traces/B.json")).filter("kind <> 'step'")
+    nth = F.row_number().over(Window.partitionBy("trace_id").orderBy("ord")).cast("long")
+    return read.select("trace_id", X.arg(IO_GB).cast("long").alias("ord"), "name", "kind", "ts", F.round(F.col("dur") / 1000, 6).alias("dur_ms"), nth.alias("nth"))
+
+
 def _three_sql(column: str) -> str:
     return f"CASE WHEN abs({column}) >= 1000 THEN format('{{:.0f}}', CAST(format('{{:.3g}}', {column}) AS DOUBLE)) ELSE format('{{:.3g}}', {column}) END"
 
@@ -699,19 +739,143 @@ def ops_csv(spark, sf_dir):
 
 
 @query("step_csv", with_events(f"""SELECT 'step_' || step || '_triton_kernels.csv' AS file, name AS kernel_name, {_three_sql('dur_ms')} AS dur, coalesce({_three_sql('io_gb')}, '') AS io, 'M=' || k || '\\nN=1' AS tiling,
-  'step_' || step || '_triton_codes/kernel_' || (row_number() OVER (PARTITION BY step ORDER BY ord) - 1) || '_' || name || '.py' AS code_file FROM calls WHERE code IS NOT NULL AND trace_id = 'A' AND step < 3"""))
+  'step_' || step || '_triton_codes/kernel_' || (row_number() OVER (PARTITION BY step ORDER BY ord) - 1) || '_' || name || '.py' AS code_file FROM calls WHERE code IS NOT NULL AND trace_id = 'A'"""))
 def step_csv(spark, sf_dir):
-    """Tables of three steps' Triton calls, written a file a step and read back."""
+    """Tables of all steps' Triton calls, written a file a step and read back."""
     folder = fresh_path(spark, "steps")
-    rows = R.step_rows(X.triton_calls(parts(spark, sf_dir)[2]).filter("trace_id = 'A' AND step < 3"))
-    B.write_step_tables(P.step_table(rows, True), folder)
-    found = [B.read_table(spark, r["path"]).withColumn("file", F.lit(r["name"])) for r in B.result_files(spark, folder).collect()]
-    every = found[0]
-    for other in found[1:]:
-        every = every.unionByName(other)
+    B.write_step_tables(P.step_table(R.step_rows(X.triton_calls(parts(spark, sf_dir)[2]).filter("trace_id = 'A'")), True), folder)
+    every = B.read_table(spark, f"{folder}/step_*_triton_kernels.csv").withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
     return every.select("file", "kernel_name", F.col("`dur(ms)`").alias("dur"), F.col("`total io(GB)`").alias("io"), F.col("`tiling config`").alias("tiling"), F.col("triton_code_file").alias("code_file"))
 
 
+@query("code_files", with_events("""SELECT 'step_' || step || '_triton_codes/kernel_' || (row_number() OVER (PARTITION BY step ORDER BY ord) - 1) || '_' || name || '.py' AS file, code || chr(10) AS code FROM calls WHERE code IS NOT NULL AND trace_id = 'A'"""))
+def code_files(spark, sf_dir):
+    """Every coded call's file, written and read back."""
+    folder = fresh_path(spark, "codes")
+    B.write_code_files(R.step_rows(X.triton_calls(parts(spark, sf_dir)[2]).filter("trace_id = 'A'")), folder)
+    read = spark.read.text(f"{folder}/*/*.py", wholetext=True)
+    return read.select(F.array_join(F.slice(F.split(F.input_file_name(), "/"), -2, 2), "/").alias("file"), F.col("value").alias("code"))
+
+
+def _sql_percent(column: str) -> str:
+    return f"format('{{:.1f}}%', {column})"
+
+
+def _sql_change(column: str) -> str:
+    return f"coalesce(format('{{:+.1f}}%', {column}), '')"
+
+
+def _csv_query(name: str, sql: str, rows: Callable[[SparkSession, str], DataFrame]) -> None:
+    """A result table written as users have it and read back, all cells as text."""
+
+    @query(name, sql)
+    def run(spark, sf_dir):
+        path = f"{fresh_path(spark, name)}/{name}.csv"
+        B.write_table(rows(spark, sf_dir), path)
+        return B.read_table(spark, path)
+
+
+def _of_a(df: DataFrame) -> DataFrame:
+    return df.filter("trace_id = 'A'")
+
+
+_csv_query(
+    "kernels_csv",
+    with_events(f"""SELECT name AS kernel_name, family, {_three_sql('avg_count')} AS avg_count, {_sql_percent('avg_count / c * 100')} AS count_pct, {_three_sql('avg_dur_ms')} AS avg_dur_ms, {_sql_percent('avg_dur_ms / d * 100')} AS dur_pct,
+  {_three_sql('avg_dur_ms / avg_count * 1000')} AS avg_us_per_call FROM (
+  SELECT *, CASE WHEN family = 'collective' THEN sum(avg_count) OVER () ELSE sum(CASE WHEN family <> 'collective' THEN avg_count ELSE 0 END) OVER () END AS c,
+    CASE WHEN family = 'collective' THEN sum(avg_dur_ms) OVER () ELSE sum(CASE WHEN family <> 'collective' THEN avg_dur_ms ELSE 0 END) OVER () END AS d FROM kern WHERE trace_id = 'A')"""),
+    lambda spark, sf_dir: P.all_kernels_table(A.kernel_share(_of_a(kind_avg(spark, sf_dir, S.KERNEL)[0]))),
+)
+_csv_query(
+    "triton_csv",
+    f"""WITH {EVENTS_SQL}, {TRITON_SQL} SELECT name AS kernel_name, {_three_sql('avg_count')} AS avg_count, {_three_sql('avg_dur_ms')} AS avg_dur_ms, {_sql_percent('avg_dur_ms / total * 100')} AS dur_pct,
+  {_three_sql('avg_dur_ms / avg_count * 1000')} AS avg_us_per_call, {_three_sql('avg_io_gb')} AS avg_io_gb, {_three_sql('avg_io_eff')} AS avg_io_efficiency FROM (SELECT *, sum(avg_dur_ms) OVER () AS total FROM tri WHERE trace_id = 'A')""",
+    lambda spark, sf_dir: P.triton_table(A.triton_share(_triton(spark, sf_dir).filter("trace_id = 'A'"))),
+)
+_csv_query(
+    "types_csv",
+    with_events(f"""SELECT family AS type, {_three_sql('avg_count')} AS avg_count, {_sql_percent('avg_count / sum(avg_count) OVER () * 100')} AS count_pct, {_three_sql('avg_dur_ms')} AS avg_dur_ms, {_sql_percent('avg_dur_ms / sum(avg_dur_ms) OVER () * 100')} AS dur_pct
+  FROM fam WHERE family <> 'collective' AND trace_id = 'A'"""),
+    lambda spark, sf_dir: P.kernel_types_table(_of_a(A.family_breakdown(_families(spark, sf_dir)))),
+)
+_CHANGE_CSV = f"{_three_sql('avg_dur_ms_A')} AS avg_dur_ms_A, {_three_sql('avg_dur_ms_B')} AS avg_dur_ms_B, {_three_sql('delta_dur_ms')} AS delta_dur_ms, {_sql_change('pct_change')} AS pct_change, {_three_sql('avg_count_A')} AS avg_count_A, {_three_sql('avg_count_B')} AS avg_count_B"
+
+
+def _cmp_csv_query(name: str, kind: str, field: str) -> None:
+    _csv_query(
+        name,
+        with_events(f"SELECT name AS {field}, {_CHANGE_CSV} FROM {sql_compare(f'(SELECT * FROM avgs WHERE kind = {kind!r})', 'name')}"),
+        lambda spark, sf_dir: P.names_cmp_table(C.compare_names(kind_avg(spark, sf_dir, kind)[0], "A", "B"), field),
+    )
+
+
+_cmp_csv_query("kernels_cmp_csv", S.KERNEL, "kernel_name")
+_cmp_csv_query("aten_cmp_csv", S.ATEN, "op_name")
+_cmp_csv_query("cncl_cmp_csv", S.COMM, "op_name")
+_csv_query(
+    "triton_cmp_csv",
+    f"WITH {EVENTS_SQL}, {TRITON_SQL} SELECT name AS kernel_name, {_CHANGE_CSV}, {_three_sql('avg_io_gb_A')} AS avg_io_gb_A, {_three_sql('avg_io_gb_B')} AS avg_io_gb_B FROM {sql_compare('tri', 'name', ('avg_io_gb',))}",
+    lambda spark, sf_dir: P.triton_cmp_table(C.compare_triton(_triton(spark, sf_dir), "A", "B")),
+)
+_FAMILY_CMP = sql_compare("(SELECT * FROM fam WHERE family <> 'collective')", "family")
+_csv_query(
+    "types_cmp_csv",
+    with_events(f"SELECT family AS type, {_CHANGE_CSV}, {_sql_percent('avg_dur_ms_A / sum(avg_dur_ms_A) OVER () * 100')} AS dur_pct_A, {_sql_percent('avg_dur_ms_B / sum(avg_dur_ms_B) OVER () * 100')} AS dur_pct_B FROM {_FAMILY_CMP}"),
+    lambda spark, sf_dir: P.kernel_types_cmp_table(C.compare_families(_families(spark, sf_dir), "A", "B")),
+)
+
+
+def _triton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, steps, placed = parts(spark, sf_dir)
+    return A.triton_avg(X.triton_calls(placed), steps)
+
+
+def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    averages, steps = kind_avg(spark, sf_dir, S.KERNEL)
+    return A.family_avg(averages, steps)
+
+
+@query(
+    "efficiency_csv",
+    f"""WITH {EVENTS_SQL}, {TRITON_SQL}, m AS (SELECT 'step_' || step || '/kernel_' || name || '.py' AS code_key, ord, CAST(format('{{:.2f}}', k + 0.126::DOUBLE) AS DOUBLE) AS eff FROM calls WHERE code IS NOT NULL AND trace_id = 'A')
+SELECT name AS kernel_name, {_three_sql('avg_count')} AS avg_count, coalesce(CAST((SELECT arg_min(eff, ord) FROM m WHERE contains(code_key, name)) AS VARCHAR), '') AS efficiency FROM tri WHERE trace_id = 'A'""",
+)
+def efficiency_csv(spark, sf_dir):
+    """Measured throughput written into a result file that is there already, twice, with the same result."""
+    folder = fresh_path(spark, "efficiency")
+    _, steps, placed = parts(spark, sf_dir)
+    calls = _of_a(X.triton_calls(placed))
+    B.write_table(P.triton_table(A.triton_share(A.triton_avg(calls, steps))), f"{folder}/triton_kernels_avg.csv")
+    number = F.substring("kernel_name", len("triton_poi_fused_") + 1, 9)
+    outputs = calls.filter("code IS NOT NULL").select(F.concat(F.lit("step_"), "step", F.lit("/kernel_"), "kernel_name", F.lit(".py")).alias("code_key"), F.col("ord").alias("pos"), F.concat(F.lit("ran in 3 ms "), number, F.lit(".126GB/s")).alias("stdout"))
+    for _ in range(2):
+        B.add_efficiency(spark, folder, R.measured(outputs))
+    return B.read_table(spark, f"{folder}/triton_kernels_avg.csv").select("kernel_name", "avg_count", F.col(f"`{B.EFFICIENCY}`").alias("efficiency"))
+
+
+@query("export_csv", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, CAST(p_size AS VARCHAR) AS p_size FROM part WHERE contains(lower(p_name), 're') AND p_size >= 10")
+def export_csv(spark, sf_dir):
+    """What a search and a filter leave of a table, as a file."""
+    path = f"{fresh_path(spark, 'export')}/view.csv"
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    B.export_view(rows, [("p_size", ">=", "10")], "RE", path)
+    # the search looks at all columns; numbers have no letters
+    return B.read_table(spark, path)
+
+
+@query("step_sweep", """WITH s AS (SELECT o_orderkey AS step, 1000000 + o_orderkey * 2 AS start FROM orders),
+e AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN l_partkey * 1000000000 ELSE 1000000 + l_orderkey * 2 + l_linenumber // 2 END AS ts FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(step AS INT) AS step FROM e ASOF JOIN s ON e.ts >= s.start WHERE ts <= start + 1""")
+def step_sweep(spark, sf_dir):
+    """A trace with a step for each order, all at its beginning, and events of which some come long after."""
+    o, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    steps = o.select(F.lit("t").alias("trace_id"), F.col("o_orderkey").cast("int").alias("step"), F.col("o_orderkey").cast("long").alias("ord"), (F.col("o_orderkey") * 2 + 1000000).cast("double").alias("start")).withColumn("end", F.col("start") + 1)
+    ts = F.when(F.col("l_linenumber") == 7, F.col("l_partkey") * 1000000000).otherwise(F.col("l_orderkey") * 2 + 1000000 + F.floor(F.col("l_linenumber") / 2))
+    events = line.select(F.lit("t").alias("trace_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("ord"), ts.cast("double").alias("ts"), "l_orderkey", "l_linenumber")
+    return S.swept(events, steps).select("l_orderkey", "l_linenumber", "step")
+
+
 def _sql_line(*cells: tuple[str, int, str]) -> str:
     """SQL for a report's line of (expression, width, number format), cells on the left of their columns."""
     shown = [f"format('{{:{spec}}}', {e})" if spec else f"CAST({e} AS VARCHAR)" for e, _, spec in cells]
@@ -768,3 +932,32 @@ UNION ALL SELECT rpad(CAST(rank AS VARCHAR), 4, ' ') || ' ' || rpad(family, w, '
 def top_lines(spark, sf_dir):
     found = A.top_kernels(kind_avg(spark, sf_dir, S.KERNEL)[0], 5).filter("trace_id = 'A'")
     return report_lines(spark, P.top_report(found, 5))
+
+
+_METRIC_HEADS = [c[0] for c in P.SUMMARY[1:]]
+
+
+def _sql_summary(trace: str) -> str:
+    return f"""{_sql_head(f"'=== Per-Step Summary (' || (SELECT count(*) FROM steps WHERE trace_id = '{trace}') || ' steps) — {trace} ==='", P.SUMMARY)}
+UNION ALL SELECT {_sql_line(('step', P.SUMMARY[0][1], ''), *_STEP_CELLS)} FROM stats WHERE trace_id = '{trace}'
+UNION ALL SELECT '{'-' * len(' '.join(f'{c[0]:<{c[1]}}' for c in P.SUMMARY))}' UNION ALL SELECT {_sql_line(("'avg'", P.SUMMARY[0][1], ''), *_MEAN_CELLS)} FROM stats WHERE trace_id = '{trace}'"""
+
+
+_METRICS_SQL = " UNION ALL ".join(f"SELECT '{h}' AS metric, avg({m}) FILTER (WHERE trace_id = 'A') AS a, avg({m}) FILTER (WHERE trace_id = 'B') AS b FROM stats" for h, m in zip(_METRIC_HEADS, A.METRICS))
+
+
+@query(
+    "comparison_lines",
+    with_stats(f"""{_sql_summary('A')} UNION ALL {_sql_summary('B')}
+UNION ALL {_sql_head("'=== Avg Comparison (A vs B) ==='", P.METRIC)}
+UNION ALL SELECT {_sql_line(('metric', 26, ''), ('a', 18, '.3f'), ('b', 18, '.3f'), ('b - a', 14, '+.3f'), (_sql_change('CASE WHEN a <> 0 THEN (b - a) / a * 100 END'), 12, ''))} FROM ({_METRICS_SQL})
+UNION ALL {_sql_head("'=== Kernel Type Comparison (A vs B) ==='", P.TYPES)}
+UNION ALL SELECT {_sql_line(('family', 16, ''), ('avg_count_A', 10, '.1f'), ('avg_count_B', 10, '.1f'), ('avg_dur_ms_A', 12, '.3f'), ('avg_dur_ms_B', 12, '.3f'), ('delta_dur_ms', 12, '+.3f'), (_sql_change('pct_change'), 10, ''))} FROM {_FAMILY_CMP}"""),
+)
+def comparison_lines(spark, sf_dir):
+    """The report that compares two traces, line by line."""
+    averages, steps = kind_avg(spark, sf_dir, S.KERNEL)
+    stats = _stats(spark, sf_dir)
+    families = C.compare_families(A.family_avg(averages, steps), "A", "B")
+    of = {t: stats.filter(F.col("trace_id") == t) for t in "AB"}
+    return report_lines(spark, P.comparison_report(of["A"], of["B"], C.compare_metrics(A.step_mean(stats), "A", "B"), families, "A", "B"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from urllib.parse import unquote
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..operators.triton import join_measured
 from ..schema import METADATA
-from ..store import file_system, fresh_path
+from ..store import file_system
+from .files import write_files
 
 END = "\r\n"
 
@@ -46,12 +47,21 @@ def csv_head(columns: list[str]) -> str:
 
 
 def moved(spark: SparkSession, source: str, path: str) -> None:
-    """Puts a file in the place of ``path``, whatever is there."""
+    """Puts a file in the place of ``path``. A file there is set aside until that is done; a folder there is an error."""
     fs, to = file_system(spark, path)
     fs.mkdirs(to.getParent())
-    fs.delete(to, True)
+    aside = None
+    if fs.exists(to):
+        if fs.getFileStatus(to).isDirectory():
+            raise IsADirectoryError(path)
+        aside = file_system(spark, f"{path}.before-{uuid4().hex}")[1]
+        fs.rename(to, aside)
     if not fs.rename(file_system(spark, source)[1], to):
+        if aside:
+            fs.rename(aside, to)
         raise OSError(f"can't write {path}")
+    if aside:
+        fs.delete(aside, False)
 
 
 def part_files(spark: SparkSession, folder: str) -> list[str]:
@@ -74,7 +84,7 @@ def write_table(rows: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays(batch.columns, names=["line"])
 
     # beside the result, so that the file only has to be renamed
-    aside = f"{path}.{fresh_path(spark, 'new').rpartition('/')[2]}"
+    aside = f"{path}.new-{uuid4().hex}"
     lines.coalesce(1).mapInArrow(headed, "line string").write.option("lineSep", END).text(aside)
     moved(spark, part_files(spark, aside)[0], path)
     fs, at = file_system(spark, aside)
@@ -98,40 +108,17 @@ def result_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_step_tables(rows: DataFrame, path: str) -> None:
-    """step_N_triton_kernels.csv in ``path`` for each step of ``rows``; their other columns but idx, in the order of idx.
-
-    All steps are written at once, a task a step; then their files, a few thousand at most, get their names.
-    """
-    spark = rows.sparkSession
+    """step_N_triton_kernels.csv in ``path`` for each step of ``rows``; their other columns but idx, in the order of idx. All at once, or none (``files``)."""
     columns = [c for c in rows.columns if c not in ("step", "idx")]
     lines = rows.select("step", "idx", csv_line(columns).alias("line"))
     heads = rows.select("step").distinct().select("step", F.lit(-1).alias("idx"), F.lit(csv_head(columns)).alias("line"))
-    aside = f"{path}/{fresh_path(spark, '_new').rpartition('/')[2]}"
-    every = lines.unionByName(heads).repartition("step").sortWithinPartitions("step", "idx").select("step", "line")
-    every.write.partitionBy("step").option("lineSep", END).text(aside)
-    fs, at = file_system(spark, aside)
-    for folder in fs.listStatus(at):
-        if (name := folder.getPath().getName()).startswith("step="):
-            moved(spark, part_files(spark, folder.getPath().toString())[0], f"{path}/step_{name[5:]}_triton_kernels.csv")
-    fs.delete(at, True)
+    named = F.concat(F.lit("step_"), "step", F.lit("_triton_kernels.csv"))
+    write_files(lines.unionByName(heads).select(named.alias("file"), F.concat("line", F.lit(END)).alias("text"), "idx"), path, "idx")
 
 
 def write_code_files(rows: DataFrame, path: str) -> None:
-    """The code of each call in a file of its own, ``path``/step_N_triton_codes/kernel_....py; it ends in a line feed.
-
-    Tasks write all files at once; then they get their names, one after the other: meant for the calls of one trace.
-    """
-    spark = rows.sparkSession
-    aside = f"{path}/{fresh_path(spark, '_new').rpartition('/')[2]}"
-    named = rows.select(F.element_at(F.split("code_file", "/"), -2).alias("folder"), F.element_at(F.split("code_file", "/"), -1).alias("file"), F.regexp_replace("code", "\n$", "").alias("value"))
-    named.write.partitionBy("folder", "file").text(aside)
-    fs, at = file_system(spark, aside)
-    for folder in fs.listStatus(at):
-        if "=" in (name := folder.getPath().getName()):
-            for file in fs.listStatus(folder.getPath()):
-                own = unquote(file.getPath().getName().partition("=")[2])
-                moved(spark, part_files(spark, file.getPath().toString())[0], f"{path}/{name.partition('=')[2]}/{own}")
-    fs.delete(at, True)
+    """The code of each call in a file of its own, ``path``/step_N_triton_codes/kernel_....py; it ends in a line feed. All at once, or none (``files``): a step's files are written by one task and put in place together."""
+    write_files(rows.select(F.col("code_file").alias("file"), F.concat(F.regexp_replace("code", "\n$", ""), F.lit("\n")).alias("text")), path)
 
 
 EFFICIENCY = "local efficiency"

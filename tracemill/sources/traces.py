@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import EVENTS, RAW_EVENT, TRACE
+from .split_json import split_elements
 
 
 class InvalidTrace(ValueError):
@@ -87,12 +88,29 @@ def read_traces(spark: SparkSession, *paths: str) -> DataFrame:
     """EVENTS of JSON trace files, plain or gzipped by extension, a file a trace, with ``trace_ids`` of all files. A path given twice counts once.
 
     A file is one document and so one task; its text is limited to 2 GB. Ingest once (``ingest_traces``) and read
-    Parquet from then on; for larger sources use ``read_event_lines``, which splits.
+    Parquet from then on; larger files are for ``read_large_traces``, which splits them.
     """
     texts = spark.read.text([*dict.fromkeys(paths)], wholetext=True).select(F.input_file_name().alias("path"), "value")
     return documents_to_events(with_ids(texts, trace_files(spark, *paths)))
 
 
+def read_large_traces(spark: SparkSession, *paths: str) -> DataFrame:
+    """What read_traces gives, of files of any size: a plain file is read by as many tasks as it has byte ranges.
+
+    Two passes over the files run at once; a file that isn't a whole trace document raises InvalidTrace then. An element
+    that isn't JSON fails the query when it is read.
+    """
+    try:
+        rows = split_elements(spark, [*dict.fromkeys(paths)])
+    except ValueError as e:
+        raise InvalidTrace(str(e)) from None
+    named = with_ids(rows, trace_files(spark, *paths))
+    right = F.json_object_keys("value").isNotNull() | F.col("value").rlike(r"^\s*null\s*$")
+    checked = F.when(right, F.col("value")).otherwise(F.raise_error(F.concat(F.lit(_MARK), "path")))
+    parsed = named.select("trace_id", "ord", F.from_json(checked, RAW_EVENT).alias("e"))
+    return normalized(parsed.select("trace_id", "ord", "e.*"))
+
+
 def read_event_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """EVENTS of files with a JSON event a line, which Spark splits at will; ord follows the lines within a partition, partitions follow each other."""
     lines = spark.read.schema(RAW_EVENT).json([*dict.fromkeys(paths)])
