@@ -26,6 +26,8 @@ from ..operators import triton as R
 from ..schema import CODE, COLLECTIVE, IO_EFF, IO_GB, KWARGS
 from ..sources import tables as B
 from ..sources import traces as J
+from ..sources.archives import local_path
+from ..sources.files import write_files
 from ..store import fresh_path
 
 DAY_US, STEP_US, FIRST_DAY_US, SPLIT = 86_400_000_000, 72_000_000_000, 1_704_067_200_000_000, 15
@@ -725,6 +727,78 @@ def json_split(spark, sf_dir):
     return read.select("trace_id", X.arg(IO_GB).cast("long").alias("ord"), "name", "kind", "ts", F.round(F.col("dur") / 1000, 6).alias("dur_ms"), nth.alias("nth"))
 
 
+@query("archive_events", with_events(f"SELECT trace_id, kind, count(*) AS n, CAST(sum((ts - {FIRST_DAY_US}) // 1000000) AS BIGINT) AS seconds, round(sum(value), 6) AS dur_ms FROM ev GROUP BY ALL"))
+def archive_events(spark, sf_dir):
+    """The same documents, each within an archive beside a smaller one, and read back."""
+    folder = fresh_path(spark, "archives")
+
+    def archived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+        import tarfile
+
+        for batch in batches:
+            for path, text in zip(*(c.to_pylist() for c in batch.columns)):
+                name = path.rpartition("/")[2].partition(".")[0]
+                out = io.BytesIO()
+                with tarfile.open(fileobj=out, mode="w" if name == "A" else "w:gz") as archive:
+                    for member, data in (("first.json", b"{}"), ("run/trace.json", text.encode())):
+                        info = tarfile.TarInfo(member)
+                        info.size = len(data)
+                        archive.addfile(info, io.BytesIO(data))
+                yield pa.RecordBatch.from_pydict({"file": [f"{name}.tar" if name == "A" else f"{name}.tar.gz"], "text": [out.getvalue()]})
+
+    texts = spark.read.text(write_documents(spark, sf_dir), wholetext=True).select(F.input_file_name().alias("path"), "value")
+    write_files(texts.mapInArrow(archived, "file string, text binary"), folder)
+    return _read_back(J.read_trace_archives(spark, folder))
+
+
+def as_database(rows: DataFrame, path: str, name: str) -> None:
+    """A table of a SQLite file, written by one task, as such a file has one writer."""
+    columns = rows.columns
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pathlib
+        import sqlite3
+
+        pathlib.Path(path).parent.mkdir(parents=True, exist_ok=True)
+        db, n = sqlite3.connect(path), 0
+        db.execute(f"CREATE TABLE {name} ({', '.join(columns)})")
+        for batch in batches:
+            db.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(columns))})", zip(*(c.to_pylist() for c in batch.columns)))
+            n += batch.num_rows
+        db.commit()
+        db.close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    rows.coalesce(1).mapInArrow(write, "n long").collect()
+
+
+@query("database_jobs", f"""WITH {JOBS_SQL} SELECT j.id, coalesce(j.path, s.path) AS path_a, coalesce(p.name, '{M.UNGROUPED}') AS group_label, coalesce(p.is_public AND NOT p.is_locked, false) AS is_open, j.created_at::TIMESTAMP AS created_at
+FROM j LEFT JOIN j s ON j.src = s.id LEFT JOIN p ON j.project_id = p.id WHERE j.mode = 'single' AND j.status = 'done'""")
+def database_jobs(spark, sf_dir):
+    """Jobs and projects in the service's database, read by ranges of rows, the finished ones chosen where they are read."""
+    path = local_path(fresh_path(spark, "service")) + "/service.db"
+    timed = jobs(spark, sf_dir).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"))
+    as_database(timed, path, "jobs")
+    as_database(projects(spark, sf_dir).withColumn("is_public", F.col("is_public").cast("int")), path, "projects")
+    found, groups = (B.read_database(spark, path, name, rows=10_000) for name in ("jobs", "projects"))
+    paths = M.with_paths(found).select("id", "path_a")
+    finished = M.with_projects(M.finished_single(found), groups).join(paths, "id")
+    is_open = F.coalesce(F.col("is_public") & ~F.col("is_locked"), F.lit(False))
+    return finished.select("id", "path_a", F.coalesce("project_name", F.lit(M.UNGROUPED)).alias("group_label"), is_open.alias("is_open"), "created_at")
+
+
+@query("metadata_files", f"WITH {JOBS_SQL} SELECT j.id, j.user_id, j.mode, p.name, coalesce(p.is_public, false) AS is_public, CAST(NULL AS VARCHAR) AS error FROM j LEFT JOIN p ON j.project_id = p.id")
+def metadata_files(spark, sf_dir):
+    """Jobs from CSV, projects from Parquet; columns that a file lacks are null."""
+    folder = fresh_path(spark, "metadata")
+    jobs(spark, sf_dir).write.option("header", True).option("escape", '"').csv(f"{folder}/jobs.csv")
+    projects(spark, sf_dir).write.parquet(f"{folder}/projects.parquet")
+    found, groups = (B.read_metadata(spark, folder, name) for name in ("jobs", "projects"))
+    named = found.join(groups.select(F.col("id").alias("project_id"), "name", "is_public"), "project_id", "left")
+    return named.select("id", "user_id", "mode", "name", F.coalesce("is_public", F.lit(False)).alias("is_public"), "error")
+
+
 def _three_sql(column: str) -> str:
     return f"CASE WHEN abs({column}) >= 1000 THEN format('{{:.0f}}', CAST(format('{{:.3g}}', {column}) AS DOUBLE)) ELSE format('{{:.3g}}', {column}) END"
 
@@ -765,6 +839,18 @@ def _sql_change(column: str) -> str:
     return f"coalesce(format('{{:+.1f}}%', {column}), '')"
 
 
+def to_nine(df: DataFrame) -> DataFrame:
+    """Means to nine decimals, so that engines agree on which side of a half the third figure is."""
+    return df.withColumns({c: F.round(c, 9) for c in df.columns if c.startswith("avg_")})
+
+
+def _sql_nine(source: str, *columns: str) -> str:
+    return f"(SELECT * REPLACE ({', '.join(f'round({c}, 9) AS {c}' for c in columns)}) FROM {source})"
+
+
+_MEANS = ("avg_count", "avg_dur_ms")
+
+
 def _csv_query(name: str, sql: str, rows: Callable[[SparkSession, str], DataFrame]) -> None:
     """A result table written as users have it and read back, all cells as text."""
 
@@ -784,19 +870,19 @@ _csv_query(
     with_events(f"""SELECT name AS kernel_name, family, {_three_sql('avg_count')} AS avg_count, {_sql_percent('avg_count / c * 100')} AS count_pct, {_three_sql('avg_dur_ms')} AS avg_dur_ms, {_sql_percent('avg_dur_ms / d * 100')} AS dur_pct,
   {_three_sql('avg_dur_ms / avg_count * 1000')} AS avg_us_per_call FROM (
   SELECT *, CASE WHEN family = 'collective' THEN sum(avg_count) OVER () ELSE sum(CASE WHEN family <> 'collective' THEN avg_count ELSE 0 END) OVER () END AS c,
-    CASE WHEN family = 'collective' THEN sum(avg_dur_ms) OVER () ELSE sum(CASE WHEN family <> 'collective' THEN avg_dur_ms ELSE 0 END) OVER () END AS d FROM kern WHERE trace_id = 'A')"""),
-    lambda spark, sf_dir: P.all_kernels_table(A.kernel_share(_of_a(kind_avg(spark, sf_dir, S.KERNEL)[0]))),
+    CASE WHEN family = 'collective' THEN sum(avg_dur_ms) OVER () ELSE sum(CASE WHEN family <> 'collective' THEN avg_dur_ms ELSE 0 END) OVER () END AS d FROM {_sql_nine('kern', *_MEANS)} WHERE trace_id = 'A')"""),
+    lambda spark, sf_dir: P.all_kernels_table(A.kernel_share(_of_a(to_nine(kind_avg(spark, sf_dir, S.KERNEL)[0])))),
 )
 _csv_query(
     "triton_csv",
     f"""WITH {EVENTS_SQL}, {TRITON_SQL} SELECT name AS kernel_name, {_three_sql('avg_count')} AS avg_count, {_three_sql('avg_dur_ms')} AS avg_dur_ms, {_sql_percent('avg_dur_ms / total * 100')} AS dur_pct,
-  {_three_sql('avg_dur_ms / avg_count * 1000')} AS avg_us_per_call, {_three_sql('avg_io_gb')} AS avg_io_gb, {_three_sql('avg_io_eff')} AS avg_io_efficiency FROM (SELECT *, sum(avg_dur_ms) OVER () AS total FROM tri WHERE trace_id = 'A')""",
+  {_three_sql('avg_dur_ms / avg_count * 1000')} AS avg_us_per_call, {_three_sql('avg_io_gb')} AS avg_io_gb, {_three_sql('avg_io_eff')} AS avg_io_efficiency FROM (SELECT *, sum(avg_dur_ms) OVER () AS total FROM {_sql_nine('tri', *_MEANS, 'avg_io_gb', 'avg_io_eff')} WHERE trace_id = 'A')""",
     lambda spark, sf_dir: P.triton_table(A.triton_share(_triton(spark, sf_dir).filter("trace_id = 'A'"))),
 )
 _csv_query(
     "types_csv",
     with_events(f"""SELECT family AS type, {_three_sql('avg_count')} AS avg_count, {_sql_percent('avg_count / sum(avg_count) OVER () * 100')} AS count_pct, {_three_sql('avg_dur_ms')} AS avg_dur_ms, {_sql_percent('avg_dur_ms / sum(avg_dur_ms) OVER () * 100')} AS dur_pct
-  FROM fam WHERE family <> 'collective' AND trace_id = 'A'"""),
+  FROM {_sql_nine('fam', *_MEANS)} WHERE family <> 'collective' AND trace_id = 'A'"""),
     lambda spark, sf_dir: P.kernel_types_table(_of_a(A.family_breakdown(_families(spark, sf_dir)))),
 )
 _CHANGE_CSV = f"{_three_sql('avg_dur_ms_A')} AS avg_dur_ms_A, {_three_sql('avg_dur_ms_B')} AS avg_dur_ms_B, {_three_sql('delta_dur_ms')} AS delta_dur_ms, {_sql_change('pct_change')} AS pct_change, {_three_sql('avg_count_A')} AS avg_count_A, {_three_sql('avg_count_B')} AS avg_count_B"
@@ -805,8 +891,8 @@ _CHANGE_CSV = f"{_three_sql('avg_dur_ms_A')} AS avg_dur_ms_A, {_three_sql('avg_d
 def _cmp_csv_query(name: str, kind: str, field: str) -> None:
     _csv_query(
         name,
-        with_events(f"SELECT name AS {field}, {_CHANGE_CSV} FROM {sql_compare(f'(SELECT * FROM avgs WHERE kind = {kind!r})', 'name')}"),
-        lambda spark, sf_dir: P.names_cmp_table(C.compare_names(kind_avg(spark, sf_dir, kind)[0], "A", "B"), field),
+        with_events(f"SELECT name AS {field}, {_CHANGE_CSV} FROM {sql_compare(f"(SELECT * FROM {_sql_nine('avgs', *_MEANS)} WHERE kind = {kind!r})", 'name')}"),
+        lambda spark, sf_dir: P.names_cmp_table(C.compare_names(to_nine(kind_avg(spark, sf_dir, kind)[0]), "A", "B"), field),
     )
 
 
@@ -815,10 +901,10 @@ _cmp_csv_query("aten_cmp_csv", S.ATEN, "op_name")
 _cmp_csv_query("cncl_cmp_csv", S.COMM, "op_name")
 _csv_query(
     "triton_cmp_csv",
-    f"WITH {EVENTS_SQL}, {TRITON_SQL} SELECT name AS kernel_name, {_CHANGE_CSV}, {_three_sql('avg_io_gb_A')} AS avg_io_gb_A, {_three_sql('avg_io_gb_B')} AS avg_io_gb_B FROM {sql_compare('tri', 'name', ('avg_io_gb',))}",
+    f"WITH {EVENTS_SQL}, {TRITON_SQL} SELECT name AS kernel_name, {_CHANGE_CSV}, {_three_sql('avg_io_gb_A')} AS avg_io_gb_A, {_three_sql('avg_io_gb_B')} AS avg_io_gb_B FROM {sql_compare(_sql_nine('tri', *_MEANS, 'avg_io_gb'), 'name', ('avg_io_gb',))}",
     lambda spark, sf_dir: P.triton_cmp_table(C.compare_triton(_triton(spark, sf_dir), "A", "B")),
 )
-_FAMILY_CMP = sql_compare("(SELECT * FROM fam WHERE family <> 'collective')", "family")
+_FAMILY_CMP = sql_compare(f"(SELECT * FROM {_sql_nine('fam', *_MEANS)} WHERE family <> 'collective')", "family")
 _csv_query(
     "types_cmp_csv",
     with_events(f"SELECT family AS type, {_CHANGE_CSV}, {_sql_percent('avg_dur_ms_A / sum(avg_dur_ms_A) OVER () * 100')} AS dur_pct_A, {_sql_percent('avg_dur_ms_B / sum(avg_dur_ms_B) OVER () * 100')} AS dur_pct_B FROM {_FAMILY_CMP}"),
@@ -828,12 +914,12 @@ _csv_query(
 
 def _triton(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, steps, placed = parts(spark, sf_dir)
-    return A.triton_avg(X.triton_calls(placed), steps)
+    return to_nine(A.triton_avg(X.triton_calls(placed), steps))
 
 
 def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
     averages, steps = kind_avg(spark, sf_dir, S.KERNEL)
-    return A.family_avg(averages, steps)
+    return to_nine(A.family_avg(averages, steps))
 
 
 @query(
@@ -958,6 +1044,6 @@ def comparison_lines(spark, sf_dir):
     """The report that compares two traces, line by line."""
     averages, steps = kind_avg(spark, sf_dir, S.KERNEL)
     stats = _stats(spark, sf_dir)
-    families = C.compare_families(A.family_avg(averages, steps), "A", "B")
+    families = C.compare_families(to_nine(A.family_avg(averages, steps)), "A", "B")
     of = {t: stats.filter(F.col("trace_id") == t) for t in "AB"}
     return report_lines(spark, P.comparison_report(of["A"], of["B"], C.compare_metrics(A.step_mean(stats), "A", "B"), families, "A", "B"))

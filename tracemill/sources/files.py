@@ -64,7 +64,7 @@ class NamedFilesWriter(DataSourceWriter):
                     if top not in entries or rest:
                         fs.create_dir(f"{folder}/{name}".rpartition("/")[0], recursive=True)
                     entries.add(top)
-                    out = fs.open_output_stream(f"{folder}/{name}")
+                    out = fs.open_output_stream(f"{folder}/{name}", compression=None)
                 out.write(bytes(row["text"]))
         finally:
             if out:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.triton import join_measured
 from ..schema import METADATA
 from ..store import file_system
+from .archives import ROWS, SQLITE, SqliteTable
 from .files import write_files
 
 END = "\r\n"
@@ -148,3 +149,10 @@ def read_metadata(spark: SparkSession, folder: str, name: str) -> DataFrame:
     else:
         found = spark.read.csv(f"{folder}/{name}.csv", header=True, quote='"', escape='"', multiLine=True)
     return found.select(*((F.col(f.name) if f.name in found.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.schema))
+
+
+def read_database(spark: SparkSession, path: str, name: str, rows: int = ROWS) -> DataFrame:
+    """One of the METADATA tables from a SQLite file, ``rows`` row ids a task; missing columns are null. Filters on text columns are applied where the rows are read."""
+    spark.dataSource.register(SqliteTable)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format(SQLITE).option("path", path).option("table", name).option("columns", METADATA[name]).option("rows", rows).load()

@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import re
-import tarfile
 from collections import Counter
-from collections.abc import Iterator
-from io import BytesIO
 from urllib.parse import unquote
 
-import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import EVENTS, RAW_EVENT, TRACE
+from .archives import ARCHIVES, TraceArchives
 from .split_json import split_elements
 
 
@@ -104,10 +101,14 @@ def read_large_traces(spark: SparkSession, *paths: str) -> DataFrame:
         rows = split_elements(spark, [*dict.fromkeys(paths)])
     except ValueError as e:
         raise InvalidTrace(str(e)) from None
-    named = with_ids(rows, trace_files(spark, *paths))
+    return elements_to_events(with_ids(rows, trace_files(spark, *paths)))
+
+
+def elements_to_events(rows: DataFrame) -> DataFrame:
+    """EVENTS of rows (trace_id, path, ord, value), an element of a document's array each."""
     right = F.json_object_keys("value").isNotNull() | F.col("value").rlike(r"^\s*null\s*$")
     checked = F.when(right, F.col("value")).otherwise(F.raise_error(F.concat(F.lit(_MARK), "path")))
-    parsed = named.select("trace_id", "ord", F.from_json(checked, RAW_EVENT).alias("e"))
+    parsed = rows.select("trace_id", "ord", F.from_json(checked, RAW_EVENT).alias("e"))
     return normalized(parsed.select("trace_id", "ord", "e.*"))
 
 
@@ -117,26 +118,12 @@ def read_event_lines(spark: SparkSession, *paths: str) -> DataFrame:
     return normalized(with_ids(lines.withColumn("path", F.input_file_name()), trace_files(spark, *paths)).withColumns({"ord": F.monotonically_increasing_id()}))
 
 
-def largest_json_member(data: bytes) -> tuple[str, str] | None:
-    """Name and text of a tar archive's largest member that ends in .json; None if there is none."""
-    with tarfile.open(fileobj=BytesIO(data), mode="r:*") as archive:
-        members = [m for m in archive.getmembers() if m.isfile() and m.name.endswith(".json")]
-        if not members:
-            return None
-        member = max(members, key=lambda m: m.size)
-        return member.name, archive.extractfile(member).read().decode("utf-8")
-
-
 def read_trace_archives(spark: SparkSession, *paths: str) -> DataFrame:
-    """EVENTS of tar or tar.gz files: of each the largest .json member. An archive without one fails the query."""
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [largest_json_member(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x and x[1] for x in found], pa.string())], names=["path", "value"])
-
-    files = spark.read.format("binaryFile").load([*dict.fromkeys(paths)]).select("path", "content")
-    return documents_to_events(with_ids(files.mapInArrow(take, "path string, value string"), trace_files(spark, *paths)))
+    """EVENTS of tar or tar.gz files: of each the largest .json member, streamed by one task however large it is. An archive without one, or whose member is no trace document, fails the query when it is read."""
+    files = trace_files(spark, *paths)
+    spark.dataSource.register(TraceArchives)
+    rows = spark.read.format(ARCHIVES).option("paths", "\n".join(files)).load()
+    return elements_to_events(with_ids(rows, files))
 
 
 def strict_problems(events: DataFrame) -> DataFrame:
