@@ -782,8 +782,8 @@ def database_jobs(spark, sf_dir):
     as_database(timed, path, "jobs")
     as_database(projects(spark, sf_dir).withColumn("is_public", F.col("is_public").cast("int")), path, "projects")
     found, groups = (B.read_database(spark, path, name, rows=10_000) for name in ("jobs", "projects"))
-    paths = M.with_paths(found).select("id", "path_a")
-    finished = M.with_projects(M.finished_single(found), groups).join(paths, "id")
+    done = B.read_database(spark, path, "jobs", rows=10_000, wanted={"mode": ["single"], "status": ["done"]})
+    finished = M.with_projects(done, groups).join(M.with_paths(found).select("id", "path_a"), "id")
     is_open = F.coalesce(F.col("is_public") & ~F.col("is_locked"), F.lit(False))
     return finished.select("id", "path_a", F.coalesce("project_name", F.lit(M.UNGROUPED)).alias("group_label"), is_open.alias("is_open"), "created_at")
 

@@ -2,12 +2,13 @@
 
 An archive is walked by its headers: where it isn't packed, members are skipped by seeking. The chosen member is streamed, some
 megabytes at a time, so neither it nor the archive is ever held whole. A SQLite table is read by ranges of its row ids, a task
-each, and what can be said in SQL of a filter on a text column is said there.
+each; which values of text columns are wanted is said in SQL there.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import sqlite3
 import tarfile
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BooleanType, StringType, StructType, TimestampType
 
 from .files import opened
@@ -124,35 +125,12 @@ class Rows(InputPartition):
     last: int
 
 
-_SIGNS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-_LIKE = {StringStartsWith: "substr({c}, 1, length(?)) = ?", StringEndsWith: "length({c}) >= length(?) AND substr({c}, -length(?)) = ?", StringContains: "instr({c}, ?) > 0"}
-
-
 class SqliteReader(DataSourceReader):
-    def __init__(self, path: str, table: str, schema: StructType, rows: int) -> None:
+    def __init__(self, path: str, table: str, schema: StructType, rows: int, wanted: dict[str, list[str]]) -> None:
         self.path, self.table, self.schema, self.rows = path, table, schema, rows
-        self.where: list[str] = []
-        self.values: list[object] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        texts = {f.name for f in self.schema if isinstance(f.dataType, StringType)}
-        for f in filters:
-            name = f.attribute[0] if hasattr(f, "attribute") else None
-            column = quoted(name) if name in texts else None
-            if column and isinstance(f, (IsNull, IsNotNull)):
-                self.where.append(f"{column} IS {'NOT ' * isinstance(f, IsNotNull)}NULL")
-            elif column and type(f) in _SIGNS and isinstance(f.value, str):
-                self.where.append(f"{column} {_SIGNS[type(f)]} ?")
-                self.values.append(f.value)
-            elif column and isinstance(f, In) and f.value and all(isinstance(v, str) for v in f.value):
-                self.where.append(f"{column} IN ({', '.join('?' * len(f.value))})")
-                self.values += f.value
-            elif column and type(f) in _LIKE and f.value:
-                said = _LIKE[type(f)].format(c=column)
-                self.where.append(said)
-                self.values += [f.value] * said.count("?")
-            else:
-                yield f
+        # Spark shares what a Python source's filters were between all uses of a frame in a query, so they can't be handed down by themselves
+        self.where = [f"{quoted(c)} IN ({', '.join('?' * len(v))})" for c, v in wanted.items()]
+        self.values = [x for v in wanted.values() for x in v]
 
     def opened(self) -> sqlite3.Connection:
         path = local_path(self.path)
@@ -204,4 +182,4 @@ class SqliteTable(DataSource):
         return self.options["columns"]
 
     def reader(self, schema: StructType) -> SqliteReader:
-        return SqliteReader(self.options["path"], self.options["table"], schema, int(self.options.get("rows", ROWS)))
+        return SqliteReader(self.options["path"], self.options["table"], schema, int(self.options.get("rows", ROWS)), json.loads(self.options.get("wanted", "{}")))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterator, Mapping, Sequence
 from uuid import uuid4
 
 import pyarrow as pa
@@ -151,8 +152,8 @@ def read_metadata(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return found.select(*((F.col(f.name) if f.name in found.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.schema))
 
 
-def read_database(spark: SparkSession, path: str, name: str, rows: int = ROWS) -> DataFrame:
-    """One of the METADATA tables from a SQLite file, ``rows`` row ids a task; missing columns are null. Filters on text columns are applied where the rows are read."""
+def read_database(spark: SparkSession, path: str, name: str, rows: int = ROWS, wanted: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """One of the METADATA tables from a SQLite file, ``rows`` row ids a task; missing columns are null. ``wanted``: text columns with the values to read, chosen in the database."""
     spark.dataSource.register(SqliteTable)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format(SQLITE).option("path", path).option("table", name).option("columns", METADATA[name]).option("rows", rows).load()
+    options = {"path": path, "table": name, "columns": METADATA[name], "rows": rows, "wanted": json.dumps({c: [*v] for c, v in (wanted or {}).items()})}
+    return spark.read.format(SQLITE).options(**options).load()
