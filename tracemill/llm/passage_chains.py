@@ -7,8 +7,8 @@
    5-grams occur besides.
 2. Seeds side by side in both documents are one segment. Segments of two documents are chained in order of both: a
    Fenwick tree over positions in the one gives the best predecessor while the other is swept, less a cost for gaps.
-3. Chains are aligned on the words themselves: gaps between segments are compared and ends extended. Chains whose aligned
-   words agree by ``IDENTITY`` count.
+3. Chains are aligned on the words themselves: gaps between segments are compared, and ends extended over words changed,
+   lost and added. Chains whose aligned words agree by ``IDENTITY`` count.
    Chains within words that others, sure to count, cover already are left out before that.
 4. A document's chains, whatever documents they match, unite to passages; those of ``LEAST_WORDS`` or more are returned.
 """
@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 from .shared import among, bounded_batches, by_slices, documents, stored, text_bytes
 from .shingles import ODD, WIDTH, by_range, mixed, ranged, word_hashes
 
-GAP_COST = 0.15
+GAP_COST = 0.06
 LEAST_CHAIN, LEAST_WORDS = 15, 50
 WINNOW = 16
+REACH = 20
 IDENTITY = 0.8
-PAD = 40
-MISMATCH, DROP = 2, 6
+#: How many words on a chain is extended at most, how far an extension may fall below its best, and from the diagonal.
+PAD, DROP, BAND = 100, 8, 16
+LOW = -(10**6)
 JOIN = 3  # words that may lie between chains of one passage
 HELD_SEEDS = 1_000_000
 
@@ -75,9 +77,22 @@ def seeds_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     m = max(0, n - LEAST_CHAIN + WIDTH)
     wide = mixed(sum((total[k : k + m] * ODD[k // WIDTH] for k in range(0, LEAST_CHAIN, WIDTH)), np.zeros(m, np.uint64)))
     at = winnowed(wide)
-    place = np.r_[2 * np.arange(n), 2 * at + 1]
+    first, paired = pairs_of(total)
+    place = np.r_[2 * np.arange(n), 2 * first, 2 * at + 1]
     order = np.argsort(place, kind="stable")
-    return np.r_[total, wide[at]][order], place[order]
+    return np.r_[total, paired, wide[at]][order], place[order]
+
+
+def pairs_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a third of the 5-grams (by hash) the place, and a hash of it with the least of those that begin up to REACH words after it ends."""
+    n = len(h) - WIDTH - REACH
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    low = np.uint64(2**16 - 1)
+    least = sliding(h[WIDTH:] & ~low | np.arange(WIDTH, len(h), dtype=np.uint64) & low, REACH + 1, np.minimum)[:n]
+    at = np.flatnonzero(h[:n] % np.uint64(3) == 0)
+    other = at + ((least[at] & low).astype(np.int64) - at) % 2**16
+    return at, mixed(h[at] * ODD[2] + h[other] * ODD[3])
 
 
 def to_leaders(token: np.ndarray) -> np.ndarray:
@@ -388,37 +403,56 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
     return head + tail + int(row[-1])
 
 
-def extended(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """How far two sequences go on alike from their beginnings, and how many words agree there."""
-    n = min(len(a), len(b))
-    same = a[:n] == b[:n]
-    score = np.cumsum(np.where(same, 1, -MISMATCH))
-    if not n:
-        return 0, 0
-    fallen = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > DROP)
-    stop = int(fallen[0]) if len(fallen) else n
-    if not stop or score[:stop].max() <= 0:
-        return 0, 0
-    far = int(score[:stop].argmax()) + 1
-    return far, int(same[:far].sum())
-
-
-def aligned(words: np.ndarray, found: np.ndarray, stretch: np.ndarray) -> tuple[int, int, int, float]:
-    """Begin and end in the document, begin in the stretch, and the share of aligned words that agree. Segments count in the stretch."""
-    equal = 0
-    a = b = None
+def extended(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """How far two sequences go on alike from their beginnings, in either, and how many words agree there.
+
+    The best alignment of beginnings: a word for each that agrees, less one for each that is changed, lost or added. It
+    goes on until it has fallen DROP below its best, or is BAND words off the diagonal.
+    """
+    n, m = min(len(a), PAD), min(len(b), PAD)
+    # words that agree one by one are taken at once
+    head = int((np.r_[a[: min(n, m)] != b[: min(n, m)], True]).argmax())
+    a, b, n, m = a[head:n], b[head:m], n - head, m - head
+    far = (0, 0)
+    if n and m:
+        top, j = 0, np.arange(m + 1)
+        row = np.where(j <= BAND, -j, LOW)
+        for i in range(1, n + 1):
+            step = row - 1
+            step[1:] = np.maximum(step[1:], row[:-1] + np.where(b == a[i - 1], 1, -1))
+            step[np.abs(j - i) > BAND] = LOW
+            row = np.maximum.accumulate(step + j) - j
+            best = int(row.argmax())
+            if row[best] > top:
+                top, far = row[best], (i, best)
+            elif row[best] < top - DROP:
+                break
+    return head + far[0], head + far[1], head + common_words(a[: far[0]], b[: far[1]])
+
+
+def aligned(words: np.ndarray, found: np.ndarray, stretch: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    """Begin and end in the document, begin in the stretch, and the share of aligned words that agree. Segments count in the stretch.
+
+    A chain is cut at gaps that cost more than DROP, by the measure of ``extended``: what lies on either side may be alike
+    where the whole isn't.
+    """
+    parts: list[list] = []
     for x, y, n in found.tolist():
-        if a is not None:
+        equal = n + WIDTH
+        if parts:
+            *_, a, b, before = parts[-1]
             over = max(0, a - x, b - y)
-            equal += common_words(words[a:x], stretch[b:y]) - over if not over else -over
-        a, b = x + n + WIDTH, y + n + WIDTH
-        equal += n + WIDTH
-    x0, y0 = found[0, :2].tolist()
-    before, left = extended(words[:x0][::-1], stretch[:y0][::-1])
-    after, right = extended(words[a:], stretch[b:])
-    begin, end = x0 - before, a + after
-    longest = max(end - begin, b - y0 + before + after)
-    return begin, end, y0 - before, min(1.0, (equal + left + right) / longest)
+            common = -over if over else common_words(words[a:x], stretch[b:y])
+            if over or 2 * common - max(x - a, y - b) >= -DROP:
+                parts[-1][2:] = x + n + WIDTH, y + n + WIDTH, before + common + equal
+                continue
+        parts.append([x, y, x + n + WIDTH, y + n + WIDTH, equal])
+    for x0, y0, a, b, equal in parts:
+        before, before_y, left = extended(words[:x0][::-1], stretch[:y0][::-1])
+        after, after_y, right = extended(words[a:], stretch[b:])
+        begin, end = x0 - before, a + after
+        longest = max(end - begin, b - y0 + before_y + after_y)
+        yield begin, end, y0 - before_y, min(1.0, (equal + left + right) / longest)
 
 
 PASSAGE = "doc_id long, start_word long, end_word long, n_words long, identity double, source_id long, source_start long, n_chains long"
@@ -461,9 +495,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
                 spans = []
                 for c in found:
                     own = np.frombuffer(c["segments"], "<u4").astype(np.int64).reshape(-1, 3) - [0, c["first"], 0]
-                    begin, end, at, identity = aligned(words, own, np.frombuffer(c["stretch"], "<u4"))
-                    if identity >= IDENTITY:
-                        spans.append((begin, end, identity, c["leader"], at + c["first"]))
+                    for begin, end, at, identity in aligned(words, own, np.frombuffer(c["stretch"], "<u4")):
+                        if identity >= IDENTITY and end - begin >= LEAST_CHAIN:
+                            spans.append((begin, end, identity, c["leader"], at + c["first"]))
                 rows += [(doc, *p) for p in united(spans)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
