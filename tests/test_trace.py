@@ -233,6 +233,7 @@ def test_traces_of_equal_names(spark, trace_file, tmp_path):
     both = analyse(events)
     assert {r["avg_dur_ms_A"] * 1000 for r in C.compare_names(both.kernels, "before/my run", "after run/my run").collect()} == {10}
     main([*files, "-o", str(tmp_path / "out")])
+    assert not [p for p in (tmp_path / "out").iterdir() if "facts" in p.name]
     assert csv_of(tmp_path / "out/all_kernels_cmp.csv").decode().split("\r\n")[1] == "k,0.01,0.02,0.01,+100.0%,1,1"
     assert traces.trace_ids(["a/x.json", "a/x.json.gz", "b/y.json"]) == {"a/x.json": "a/x.json", "a/x.json.gz": "a/x.json.gz", "b/y.json": "y"}
 
@@ -293,3 +294,13 @@ def test_result_files(spark, tmp_path):
     for name in ("step_10_triton_kernels.csv", "step_2_triton_kernels.csv", "cncl_ops_avg.csv", "all_kernels_avg.csv", "notes.txt"):
         (tmp_path / name).write_text("a\n1\n")
     assert [r["name"] for r in tables.result_files(spark, str(tmp_path)).collect()] == ["all_kernels_avg.csv", "cncl_ops_avg.csv", "step_10_triton_kernels.csv", "step_2_triton_kernels.csv"]
+
+
+def test_command_calls_files_by_their_names(spark, trace_file, tmp_path, capsys):
+    (tmp_path / "other.json").write_text(open(trace_file).read())
+    main([trace_file, str(tmp_path / "other.json"), "-o", str(tmp_path / "out")])
+    shown = capsys.readouterr().out
+    assert "— basic.json ===" in shown and "=== Avg Comparison (basic.json vs other.json) ===" in shown
+    main([trace_file, "-o", str(tmp_path / "out"), "-s", "-c"])
+    assert "=== Top 10 Compute Hotspot Kernels ===" in capsys.readouterr().out and (tmp_path / "out/step_7_triton_codes").is_dir()
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith(".facts") or p.name.startswith(".staged")]

@@ -94,9 +94,11 @@ def single_report(one: Analysis, top: int = 10, label: str = "") -> str:
     return "\n".join(p for p in parts if p)
 
 
-def comparison_report(both: Analysis, a: str, b: str, top: int = 10) -> str:
+def comparison_report(both: Analysis, a: str, b: str, top: int = 10, labels: Sequence[str] | None = None) -> str:
+    """Traces are called by their ids, or by ``labels``."""
+    names = labels or (a, b)
     one, other = both.trace(a), both.trace(b)
     metrics = C.compare_metrics(A.step_mean(both.step_stats), a, b)
-    parts = [present.comparison_report(one.step_stats, other.step_stats, metrics, C.compare_families(both.families, a, b), a, b)]
-    parts += [present.top_report(A.top_kernels(x.kernels, top), top, name) for x, name in ((one, a), (other, b))]
+    parts = [present.comparison_report(one.step_stats, other.step_stats, metrics, C.compare_families(both.families, a, b), *names)]
+    parts += [present.top_report(A.top_kernels(x.kernels, top), top, name) for x, name in ((one, names[0]), (other, names[1]))]
     return "\n".join(p for p in parts if p)
