@@ -92,8 +92,12 @@ def by_document(uid: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[bytes,
 
 
 def repeated_seeds(found: DataFrame, buckets: int) -> DataFrame:
-    """uid, keys: a document's minimizers that another one has, as numbers of bucket and low hash half."""
-    schema = pa.schema([("uid", pa.int64()), ("keys", pa.binary())])
+    """uid, keys: a document's minimizers that another one has, as numbers of bucket and low hash half; a row a document.
+
+    What a task finds travels by groups of documents, a row a group.
+    """
+    schema = pa.schema([("part", pa.int32()), ("uids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
+    result = pa.schema([("uid", pa.int64()), ("keys", pa.binary())])
 
     def settle(held: list) -> Iterator[pa.RecordBatch]:
         bucket = held[0][0]
@@ -110,11 +114,30 @@ def repeated_seeds(found: DataFrame, buckets: int) -> DataFrame:
             last = np.r_[np.flatnonzero(head)[1:] - 1, len(h) - 1]
             again = (uid[head] != uid[last])[group]
             uid, keys = uid[again], np.uint64(bucket) << np.uint64(32) | h[again].astype(np.uint64)
-        if len(uid):
-            order = np.argsort(uid, kind="stable")
-            uid, keys = uid[order], keys[order]
-            edges = np.flatnonzero(np.r_[True, uid[1:] != uid[:-1], True])
-            yield pa.RecordBatch.from_arrays([pa.array(uid[edges[:-1]]), pa.array([keys[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], schema=schema)
+        rows = []
+        for part, own in by_range(ranged(mixed(uid.view(np.uint64)), buckets)):
+            rows.append((part, *by_document(*np.unique(uid[own], return_inverse=True), keys[own])))
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
+
+    def gathered(held: list) -> Iterator[pa.RecordBatch]:
+        uid = np.concatenate([np.repeat(np.frombuffer(u, np.int64), np.frombuffer(c, "<u4")) for _, u, c, _ in held])
+        order = np.argsort(uid, kind="stable")
+        uid, keys = uid[order], np.concatenate([np.frombuffer(k, np.uint64) for *_, k in held])[order]
+        edges = np.flatnonzero(np.r_[True, uid[1:] != uid[:-1], True])
+        for k in range(0, len(edges) - 1, 10_000):
+            some = edges[k : k + 10_001]
+            yield pa.RecordBatch.from_arrays([pa.array(uid[some[:-1]]), pa.array([keys[a:b].tobytes() for a, b in zip(some[:-1], some[1:])], pa.binary())], schema=result)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][0] != row[0]:
+                    yield from gathered(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from gathered(held)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -129,7 +152,8 @@ def repeated_seeds(found: DataFrame, buckets: int) -> DataFrame:
             yield from settle(held)
 
     place = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("uids"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
-    return found.repartitionById(buckets, place).sortWithinPartitions("bucket").mapInArrow(match, "uid long, keys binary")
+    matched = found.repartitionById(buckets, place).sortWithinPartitions("bucket").mapInArrow(match, "part int, uids binary, counts binary, keys binary")
+    return matched.repartitionById(buckets, F.col("part")).sortWithinPartitions("part").mapInArrow(gather, "uid long, keys binary")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -170,7 +194,7 @@ def window_runs(joined: DataFrame, buckets: int, length: int) -> DataFrame:
                     continue
                 change = np.r_[True, whole[1:] != whole[:-1]]
                 heads = mixed(whole[change])
-                known = np.frombuffer(b"".join(keys), np.uint64)
+                known = np.frombuffer(keys, np.uint64)
                 may = np.isin(ranged(heads, buckets).astype(np.uint64) << np.uint64(32) | heads & np.uint64(2**32 - 1), known)
                 edges = np.r_[np.flatnonzero(change), len(whole)]
                 begin, end = edges[:-1][may], edges[1:][may] + (length - 1)
@@ -329,7 +353,7 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     buckets = int(bounded_batches(docs).sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
-    keys = stored(repeated_seeds(seeds(named, buckets, length), buckets).groupBy("uid").agg(F.collect_list("keys").alias("keys")), "seeds")
+    keys = stored(repeated_seeds(seeds(named, buckets, length), buckets), "seeds")
     packed = packed_texts(docs)
     found = window_runs(packed.filter("doc_id IS NOT NULL").join(keys, "uid"), buckets, length)
     gone = repeated_windows(found, buckets, length)
