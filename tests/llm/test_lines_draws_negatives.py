@@ -210,3 +210,69 @@ def test_large_products_are_exact():
     q = np.array([[2**27, 3, 1]], "<i4")
     x = np.array([[2**27, 5, 7], [-(2**27), 1, 1]], "<i4")
     assert hard_negatives.products(q, x).tolist() == [[2**54 + 22, -(2**54) + 4]]
+
+
+def mostly_good(n=1400):
+    """Texts of good and bad quality (one in seven), sources that say nothing, sizes that say nothing."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice(["ba", "co", "du", "el", "fi"]) for _ in range(rng.randrange(1, 4))) for _ in range(300)]
+    rows = []
+    for i in range(n):
+        own = [rng.choice(words) for _ in range(rng.randrange(30, 90))]
+        if i % 7 == 0:
+            own = [w if rng.random() < 0.6 else rng.choice(["$$$", "||", "CLICK", "!!1", w.upper()]) for w in own]
+        rows.append((i, " ".join(own), rng.choice(["en", "de"]), rng.choice("abcd"), rng.randrange(100, 900)))
+    return rows
+
+
+@pytest.mark.parametrize("known", [87, 300, 1000])
+def test_the_exchange_does_no_harm(spark, known):
+    """Documents that weren't learned, with rounds and without, whatever the number of labels: an uninformed view teaches nothing."""
+    from tracemill.llm import quality_classifier
+
+    rows = mostly_good()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 7 > 0), 0) for i in range(known)], "doc_id long, quality int, toxic int")
+    wrong = []
+    for rounds in (0, 4):
+        model = quality_classifier.fitted(docs, labels, rounds)
+        scored = docs.select("doc_id", quality_classifier.scorer(spark, model)(*quality_classifier.inputs(docs)).alias("s")).collect()
+        unseen = [r for r in scored if r["doc_id"] >= known]
+        wrong.append(sum((r["s"]["both"] >= 0.5) != (r["doc_id"] % 7 > 0) for r in unseen))
+    assert wrong[1] <= wrong[0] <= 0.02 * len(rows)
+
+
+def test_certain_only_where_right():
+    from tracemill.llm import quality_classifier
+
+    rng = np.random.default_rng(3)
+    y = (np.arange(400) % 7 > 0).astype(np.int64)
+    low, high = quality_classifier.certain(np.where(y, 3.0, -3.0) + rng.normal(size=400), y)
+    assert low < high
+    assert quality_classifier.certain(rng.normal(size=400), y) is None
+    assert quality_classifier.certain(np.where(y, -3.0, 3.0), y) is None
+    assert quality_classifier.certain(np.zeros(400), y) is None
+
+
+def test_pipeline_names_its_odd_rows(spark, tmp_path):
+    """Which odd rows are left after each stage: a null doc_id, a null text, repeated rows, a long text, ties."""
+    import corpus_pipeline
+
+    rows = [(i, t, lang, source, n) for i, t, lang, source, n in mostly_good(300)]
+    long = " ".join(r[1] for r in rows[1:300] if r[0] % 7)
+    rows += [(None, rows[1][1] + " and more of it", "en", "a", 5), (900, None, None, None, None), (901, long, "en", "a", 7), (902, rows[2][1], "en", "a", 5), (903, rows[3][1], "en", "a", 5), (903, rows[3][1], "en", "a", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.createDataFrame([(i, int(i % 7 > 0), 0) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    own = {None, 900, 901, 902, 903, 2, 3}
+    left = []
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        found = docs.collect()
+        left.append(sorted(str(r["doc_id"]) for r in found if r["doc_id"] in own))
+    good = sorted(map(str, [None, 901, 902, 903, 903, 2, 3]))
+    assert [x for x in left[0] if x != "900"] == good
+    # of equal texts the largest doc_id stays; of repeated rows one
+    assert [x for x in left[1] if x != "900"] == sorted(map(str, [None, 901, 902, 903]))
+    assert left[2] == left[1] == left[3] and {r["text"] is None for r in found if r["doc_id"] == 900} <= {True}
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in found} and sum(r["length"] for r in packed if r["doc_id"] == 900) in (0, 1)
