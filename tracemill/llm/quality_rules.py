@@ -88,36 +88,59 @@ class Field:
         return np.array(out[::-1], bool)
 
 
+Group = tuple[np.ndarray, ...]
+
+
+def by_length(segments: list[np.ndarray], labels: list[np.ndarray]) -> tuple[list[Group], float]:
+    """Features, mask, labels, weights and label pairs of segments of about equal length each, so that little is padding; and the number of lines."""
+    counts = np.bincount(np.concatenate(labels).astype(int), minlength=2)
+    own = 0.5 * counts.sum() / np.maximum(1, counts)  # both labels count alike
+    wanted: dict[int, list[int]] = {}
+    for k, s in enumerate(segments):
+        wanted.setdefault((len(s) - 1).bit_length(), []).append(k)
+    groups = []
+    for some in wanted.values():
+        n, longest = len(some), max(len(segments[k]) for k in some)
+        x, mask, gold = np.zeros((n, longest, FEATURES)), np.zeros((n, longest)), np.zeros((n, longest, 2))
+        for i, k in enumerate(some):
+            size = len(segments[k])
+            x[i, :size], mask[i, :size] = segments[k], 1
+            gold[i, np.arange(size), labels[k].astype(int)] = 1
+        groups.append((x, mask, gold, gold @ own, np.einsum("ntl,ntm->ntlm", gold[:, :-1], gold[:, 1:])))
+    return groups, float(counts.sum())
+
+
+def gradient(group: Group, emit: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Of the weighted log-likelihood of a group's labels, by the forward-backward recursion over all its segments at once."""
+    x, mask, gold, weight, seen = group
+    n, longest = mask.shape
+    score = x @ emit
+    forward, backward = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
+    forward[:, 0] = score[:, 0]
+    for t in range(1, longest):
+        forward[:, t] = np.logaddexp(forward[:, t - 1, :1] + move[0], forward[:, t - 1, 1:] + move[1]) + score[:, t]
+    for t in range(longest - 2, -1, -1):
+        ahead = backward[:, t + 1] + score[:, t + 1]
+        onward = np.logaddexp(ahead[:, :1] + move[:, 0], ahead[:, 1:] + move[:, 1])
+        backward[:, t] = np.where(mask[:, t + 1, None] > 0, onward, 0)
+    total = forward + backward
+    total -= np.logaddexp(total[..., :1], total[..., 1:])
+    of_emit = np.tensordot(x, (gold - np.exp(total)) * weight[..., None], axes=((0, 1), (0, 1)))
+    pair = forward[:, :-1, :, None] + move + (score + backward)[:, 1:, None, :]
+    pair = np.exp(pair - pair.max(axis=(2, 3), keepdims=True))
+    pair /= pair.sum(axis=(2, 3), keepdims=True)
+    of_move = ((seen - pair) * weight[:, 1:, None, None]).sum(axis=(0, 1))
+    return np.r_[of_emit.ravel(), of_move.ravel()]
+
+
 def fit_field(segments: list[np.ndarray], labels: list[np.ndarray]) -> Field:
-    """Maximum likelihood of the labels (1: content) with a ridge, by Adam; expectations by the forward-backward recursion over all segments at once."""
-    n, longest = len(segments), max(map(len, segments))
-    x, mask, gold = np.zeros((n, longest, FEATURES)), np.zeros((n, longest)), np.zeros((n, longest, 2))
-    for k, (s, y) in enumerate(zip(segments, labels)):
-        x[k, : len(s)], mask[k, : len(s)] = s, 1
-        gold[k, np.arange(len(s)), y.astype(int)] = 1
+    """Maximum likelihood of the labels (1: content) with a ridge, by Adam."""
+    groups, lines = by_length(segments, labels)
     theta = np.zeros(2 * FEATURES + 4)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    weight = gold @ (0.5 * mask.sum() / np.maximum(1, gold.sum(axis=(0, 1))))  # both labels count alike
-    seen = np.einsum("ntl,ntm->ntlm", gold[:, :-1], gold[:, 1:])
     for step in range(1, STEPS + 1):
         emit, move = theta[: 2 * FEATURES].reshape(FEATURES, 2), theta[2 * FEATURES :].reshape(2, 2)
-        score = x @ emit
-        forward, backward = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        forward[:, 0] = score[:, 0]
-        for t in range(1, longest):
-            forward[:, t] = np.logaddexp(forward[:, t - 1, :1] + move[0], forward[:, t - 1, 1:] + move[1]) + score[:, t]
-        for t in range(longest - 2, -1, -1):
-            ahead = backward[:, t + 1] + score[:, t + 1]
-            onward = np.logaddexp(ahead[:, :1] + move[:, 0], ahead[:, 1:] + move[:, 1])
-            backward[:, t] = np.where(mask[:, t + 1, None] > 0, onward, 0)
-        total = forward + backward
-        total -= np.logaddexp(total[..., :1], total[..., 1:])
-        grad_emit = np.einsum("ntf,ntl,nt->fl", x, gold - np.exp(total), weight, optimize=True)
-        pair = forward[:, :-1, :, None] + move + (score + backward)[:, 1:, None, :]
-        pair = np.exp(pair - pair.max(axis=(2, 3), keepdims=True))
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
-        grad_move = ((seen - pair) * weight[:, 1:, None, None]).sum(axis=(0, 1))
-        grad = np.r_[grad_emit.ravel(), grad_move.ravel()] / mask.sum() - RIDGE * theta
+        grad = sum(gradient(g, emit, move) for g in groups) / lines - RIDGE * theta
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta += RATE * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return Field(theta[: 2 * FEATURES].reshape(FEATURES, 2), theta[2 * FEATURES :].reshape(2, 2))
