@@ -39,6 +39,7 @@ CELL_SHIFT = np.uint64(44)
 FREQUENT = 1000
 HELD_ENTRIES = 1_000_000
 LEADERS = 2
+TILE = 256
 TURNS = 3
 MET = 3
 PERCENT = 80
@@ -250,26 +251,38 @@ ANSWER = "a long, b long, na long, nb long, common long"
 
 
 def answers(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """ANSWER of each pair a, b: the sizes and the overlap of the two sets."""
+    """ANSWER of each pair a, b: the sizes and the overlap of the two sets.
+
+    Pairs are dealt to tiles by groups of sets on either side; a set is sent to each tile that has a pair with it, once, however many
+    pairs those are, and taken apart there once.
+    """
     schema = pa.schema([(c.split()[0], pa.int64()) for c in ANSWER.split(", ")])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdDecompressor()
-        last, x = None, np.zeros(0, np.uint64)
+        at, held = None, {}
         for batch in batches:
             out = []
-            for a, b, pa_, pb in zip(*(c.to_pylist() for c in batch.columns)):
-                if b != last:
-                    last, x = b, shingle_set(coder.decompress(pb))
-                y = shingle_set(coder.decompress(pa_))
-                out.append((a, b, len(y), len(x), np.intersect1d(x, y, assume_unique=True).size))
+            for tile, a, b, packed in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                if tile != at:
+                    at, held = tile, {}
+                if packed is not None:
+                    held[a] = shingle_set(coder.decompress(packed))
+                elif a in held and b in held:
+                    x, y = held[a], held[b]
+                    out.append((a, b, len(x), len(y), np.intersect1d(x, y, assume_unique=True).size))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 5, schema=schema)
 
+    nodes = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    groups = max(1, nodes.count() // TILE)
+    own = lambda x: F.pmod(F.xxhash64(x), F.lit(groups))
+    tiled = pairs.select((own("a") * groups + own("b")).alias("tile"), "a", "b")
+    needed = tiled.select("tile", F.col("a").alias("node")).unionByName(tiled.select("tile", F.col("b").alias("node"))).distinct()
     # sets that no pair has aren't shuffled
-    sets = among(sets.withColumnRenamed("node", "doc"), pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()).withColumnRenamed("doc", "node")
-    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a")
-    both = first.join(sets.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b")
-    return both.select("a", "b", "pa", "pb").mapInArrow(compare, ANSWER)
+    sets = among(sets.withColumnRenamed("node", "doc"), nodes).withColumnRenamed("doc", "node")
+    sent = needed.join(sets, "node").select("tile", F.lit(0).alias("turn"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "packed")
+    asked = tiled.select("tile", F.lit(1).alias("turn"), "a", "b", F.lit(None).cast("binary").alias("packed"))
+    return sent.unionByName(asked).repartition("tile").sortWithinPartitions("tile", "turn").mapInArrow(compare, ANSWER)
 
 
 NEEDED = f"({PERCENT} * (na + nb) + {99 + PERCENT}) div {100 + PERCENT}"
