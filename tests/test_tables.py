@@ -102,3 +102,23 @@ def test_places_of_all_rows(spark):
         wanted = [r["id"] for r in G.sorted_rows(rows, "v", ascending, ["id"]).collect()]
         got = sorted(G.placed_rows(rows, "v", ascending, ["id"]).collect(), key=lambda r: r["place"])
         assert [r["place"] for r in got] == list(range(1, len(values) + 1)) and [r["id"] for r in got] == wanted
+
+
+def test_rows_without_a_key_are_dealt(spark):
+    """Jobs of no project find nothing, and no task gets them all."""
+    jobs = spark.range(4000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 10 == 0, F.col("id") % 20).cast("string").alias("project_id"))
+    groups = spark.createDataFrame([("0", "u", "P", True, None), (None, "u", "none", True, None), ("1", "u", "false", True, None)], "id string, user_id string, name string, is_public boolean, password_hash string")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = M.with_projects(jobs, groups)
+        assert found.columns[:2] == ["project_id", "id"]
+        named = found.groupBy("project_id", "project_name").count().collect()
+        assert sorted((r["project_id"] or "", r["project_name"] or "", r["count"]) for r in named) == [("", "", 3600), ("0", "P", 200), ("10", "", 200)]
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 2000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -70,10 +70,19 @@ def labelled(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("label", F.coalesce(F.nullif("label", F.lit("")), F.nullif("file_a_name", F.lit("")), "id"))
 
 
+def looked_up(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """``rows`` joined with ``found`` by ``key``, nulls where nothing is found. Rows without a key, often the most, find nothing; they are dealt by their id, or one task would get them all."""
+    name = lambda value, missing: F.struct(value.alias("value"), missing.alias("missing")).alias("__key")
+    others = [c for c in found.columns if c != key]
+    dealt = rows.select(*rows.columns, name(F.coalesce(key, "id"), F.col(key).isNull()))
+    joined = dealt.join(found.select(name(F.col(key), F.lit(False)), *others), "__key", "left")
+    return joined.select(key, *(c for c in rows.columns if c != key), *others)
+
+
 def with_projects(jobs: DataFrame, projects: DataFrame) -> DataFrame:
     """Jobs with their project's owner, publicity, lock and name; nulls without a project. Spark picks the strategy by size."""
     own = projects.select(F.col("id").alias("project_id"), F.col("user_id").alias("project_owner"), "is_public", (F.coalesce("password_hash", F.lit("")) != "").alias("is_locked"), F.col("name").alias("project_name"))
-    return jobs.join(own, "project_id", "left")
+    return looked_up(jobs, "project_id", own)
 
 
 def accessible(jobs: DataFrame, projects: DataFrame, user: str) -> DataFrame:
@@ -102,7 +111,7 @@ def with_paths(jobs: DataFrame) -> DataFrame:
     source = jobs.select(F.col("id").alias("source_id"), F.coalesce("gzip_a_path", "file_a_path").alias("source_path"))
     for side in "ab":
         of_side = source.select(F.col("source_id").alias(f"source_job_{side}_id"), F.col("source_path").alias(f"source_path_{side}"))
-        own = own.join(of_side, f"source_job_{side}_id", "left").withColumn(f"path_{side}", F.coalesce(f"path_{side}", f"source_path_{side}")).drop(f"source_path_{side}")
+        own = looked_up(own, f"source_job_{side}_id", of_side).withColumn(f"path_{side}", F.coalesce(f"path_{side}", f"source_path_{side}")).drop(f"source_path_{side}")
     return own.withColumn("file_a_exists", F.col("path_a").isNotNull())
 
 
