@@ -257,3 +257,20 @@ def test_pages_of_all_rows(spark):
     assert (first["offset"], first["next_offset"], first["previous_offset"]) == (0, 50, 0)
     assert (last["offset"], last["next_offset"], last["previous_offset"]) == (200, M.next_offset(200, 50, 237), M.previous_offset(200, 50))
     assert G.placed(rows.limit(0)).count() == 0
+
+
+def test_database_in_several_files(spark, tmp_path):
+    """Each task writes a file of its own; all are read, and only the columns that are named."""
+    from tracemill.plans.trace_queries import as_database
+
+    written = as_database(spark.range(1000).repartition(4).select(F.col("id").cast("string").alias("id"), F.lit("n").alias("name")), str(tmp_path / "db"), "projects")
+    assert len(set(written)) == 4
+    found = tables.read_database(spark, written, "projects", 100, columns=["id", "name"])
+    assert found.columns == ["id", "name"] and found.rdd.getNumPartitions() >= 12
+    assert sorted(int(r["id"]) for r in found.collect()) == list(range(1000))
+
+
+def test_paths_among_all_jobs(spark):
+    jobs = spark.createDataFrame([("1", "/a", None, None), ("2", None, None, "1"), ("3", None, "/g", None), ("4", None, None, None)], "id string, file_a_path string, gzip_a_path string, source_job_a_id string")
+    some = M.with_paths(jobs.filter("id > '1'"), jobs, "a")
+    assert {r["id"]: r["path_a"] for r in some.collect()} == {"2": "/a", "3": "/g", "4": None}

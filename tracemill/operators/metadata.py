@@ -105,11 +105,14 @@ def finished_single(jobs: DataFrame) -> DataFrame:
     return jobs.filter((F.col("mode") == "single") & (F.col("status") == "done"))
 
 
-def with_paths(jobs: DataFrame) -> DataFrame:
-    """A job's trace paths, gzipped before plain; where it has neither, those of its source jobs' first files. file_a_exists says whether there is one."""
-    own = jobs.withColumns({"path_a": F.coalesce("gzip_a_path", "file_a_path"), "path_b": F.coalesce("gzip_b_path", "file_b_path")})
-    source = jobs.select(F.col("id").alias("source_id"), F.coalesce("gzip_a_path", "file_a_path").alias("source_path"))
-    for side in "ab":
+def with_paths(jobs: DataFrame, among: DataFrame | None = None, sides: str = "ab") -> DataFrame:
+    """A job's trace paths, gzipped before plain; where it has neither, those of its source jobs' first files. file_a_exists says whether there is one.
+
+    ``among``: all jobs, where ``jobs`` are only some. ``sides``: the traces whose paths are wanted, a at least.
+    """
+    own = jobs.withColumns({f"path_{s}": F.coalesce(f"gzip_{s}_path", f"file_{s}_path") for s in sides})
+    source = (jobs if among is None else among).select(F.col("id").alias("source_id"), F.coalesce("gzip_a_path", "file_a_path").alias("source_path"))
+    for side in sides:
         of_side = source.select(F.col("source_id").alias(f"source_job_{side}_id"), F.col("source_path").alias(f"source_path_{side}"))
         own = looked_up(own, f"source_job_{side}_id", of_side).withColumn(f"path_{side}", F.coalesce(f"path_{side}", f"source_path_{side}")).drop(f"source_path_{side}")
     return own.withColumn("file_a_exists", F.col("path_a").isNotNull())

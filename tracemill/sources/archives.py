@@ -1,7 +1,7 @@
 """Trace documents within tar archives, and tables of SQLite files, as data sources.
 
 An archive is walked by its headers: where it isn't packed, members are skipped by seeking. The chosen member is streamed, some
-megabytes at a time, so neither it nor the archive is ever held whole. A SQLite table is read by ranges of its row ids, a task
+megabytes at a time, so neither it nor the archive is ever held whole. A table of SQLite files is read by ranges of row ids, a task
 each; which values of text columns are wanted is said in SQL there.
 """
 
@@ -121,31 +121,35 @@ class TraceArchives(DataSource):
 
 @dataclass
 class Rows(InputPartition):
+    path: str
     first: int
     last: int
 
 
 class SqliteReader(DataSourceReader):
-    def __init__(self, path: str, table: str, schema: StructType, rows: int, wanted: dict[str, list[str]]) -> None:
-        self.path, self.table, self.schema, self.rows = path, table, schema, rows
+    def __init__(self, paths: list[str], table: str, schema: StructType, rows: int, wanted: dict[str, list[str]]) -> None:
+        self.paths, self.table, self.schema, self.rows = paths, table, schema, rows
         # Spark shares what a Python source's filters were between all uses of a frame in a query, so they can't be handed down by themselves
         self.where = [f"{quoted(c)} IN ({', '.join('?' * len(v))})" for c, v in wanted.items()]
         self.values = [x for v in wanted.values() for x in v]
 
-    def opened(self) -> sqlite3.Connection:
-        path = local_path(self.path)
+    def opened(self, uri: str) -> sqlite3.Connection:
+        path = local_path(uri)
         if path is None:
-            raise ValueError(f"{self.path}: SQLite files must lie in a folder that all executors have")
+            raise ValueError(f"{uri}: SQLite files must lie in a folder that all executors have")
         return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
 
     def partitions(self) -> list[Rows]:
-        db = self.opened()
-        low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.table)}").fetchone()
-        db.close()
-        return [Rows(a, min(a + self.rows - 1, high)) for a in range(low, high + 1, self.rows)] if low is not None else [Rows(1, 0)]
+        found = []
+        for path in self.paths:
+            db = self.opened(path)
+            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.table)}").fetchone()
+            db.close()
+            found += [Rows(path, a, min(a + self.rows - 1, high)) for a in range(low, high + 1, self.rows)] if low is not None else []
+        return found or [Rows(self.paths[0], 1, 0)]
 
     def read(self, partition: Rows) -> Iterator[tuple]:
-        db = self.opened()
+        db = self.opened(partition.path)
         there = {r[1] for r in db.execute(f"PRAGMA table_info({quoted(self.table)})")}
         shown = ", ".join(quoted(f.name) if f.name in there else "NULL" for f in self.schema)
         where = " AND ".join(["rowid BETWEEN ? AND ?", *self.where])
@@ -182,4 +186,4 @@ class SqliteTable(DataSource):
         return self.options["columns"]
 
     def reader(self, schema: StructType) -> SqliteReader:
-        return SqliteReader(self.options["path"], self.options["table"], schema, int(self.options.get("rows", ROWS)), json.loads(self.options.get("wanted", "{}")))
+        return SqliteReader(json.loads(self.options["paths"]), self.options["table"], schema, int(self.options.get("rows", ROWS)), json.loads(self.options.get("wanted", "{}")))

@@ -152,8 +152,9 @@ def read_metadata(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return found.select(*((F.col(f.name) if f.name in found.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.schema))
 
 
-def read_database(spark: SparkSession, path: str, name: str, rows: int = ROWS, wanted: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """One of the METADATA tables from a SQLite file, ``rows`` row ids a task; missing columns are null. ``wanted``: text columns with the values to read, chosen in the database."""
+def read_database(spark: SparkSession, path: str | Sequence[str], name: str, rows: int = ROWS, wanted: Mapping[str, Sequence[str]] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """One of the METADATA tables from a SQLite file or several, ``rows`` row ids a task; missing columns are null. ``wanted``: text columns with the values to read, chosen in the database. ``columns``: those to read, if not all."""
     spark.dataSource.register(SqliteTable)
-    options = {"path": path, "table": name, "columns": METADATA[name], "rows": rows, "wanted": json.dumps({c: [*v] for c, v in (wanted or {}).items()})}
+    shown = [f for f in METADATA[name].split(", ") if columns is None or f.split(" ")[0] in columns]
+    options = {"paths": json.dumps([path] if isinstance(path, str) else [*path]), "table": name, "columns": ", ".join(shown), "rows": rows, "wanted": json.dumps({c: [*v] for c, v in (wanted or {}).items()})}
     return spark.read.format(SQLITE).options(**options).load()
