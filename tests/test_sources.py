@@ -274,3 +274,25 @@ def test_paths_among_all_jobs(spark):
     jobs = spark.createDataFrame([("1", "/a", None, None), ("2", None, None, "1"), ("3", None, "/g", None), ("4", None, None, None)], "id string, file_a_path string, gzip_a_path string, source_job_a_id string")
     some = M.with_paths(jobs.filter("id > '1'"), jobs, "a")
     assert {r["id"]: r["path_a"] for r in some.collect()} == {"2": "/a", "3": "/g", "4": None}
+
+
+def test_documents_are_bounded(spark, tmp_path):
+    """Documents of at most so many events, whole, each written and read by one task; archives of them are streamed."""
+    from tracemill.plans import trace_queries as Q
+
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("no tables here")
+    n = Q.trace_events(spark, folder).count()
+    for documents in (Q.write_documents(spark, folder, 70), Q.write_ordered_documents(spark, folder, 70)):
+        sizes = [r["count"] for r in traces.read_traces(spark, documents).groupBy("trace_id").count().collect()]
+        assert sum(sizes) == n and max(sizes) <= 140 and len(sizes) >= n // 140
+    paths = traces.trace_files(spark, Q.write_documents(spark, folder, 70))
+    packed = next(p for p in paths if p.endswith(".gz"))
+    import pyarrow as pa
+
+    pieces = [b for b in Q._archived(iter([pa.RecordBatch.from_pydict({"path": [packed]})]))]
+    data = b"".join(x for b in pieces for x in b.column("text").to_pylist())
+    with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as archive:
+        assert archive.getnames() == ["first.json", "run/trace.json"]
+        assert len(json.load(archive.extractfile("run/trace.json"))["traceEvents"]) <= 70

@@ -121,7 +121,10 @@ class NamedFiles(DataSource):
 
 def write_files(rows: DataFrame, path: str, *order: str) -> None:
     """Writes rows (file, text; text or bytes) below ``path``; pieces of a file in ``order``. All files below one folder are one task's, of which it holds a row at a time."""
-    spark = rows.sparkSession
-    spark.dataSource.register(NamedFiles)
-    together = rows.repartition(F.split("file", "/")[0]).sortWithinPartitions("file", *order)
-    together.select("file", F.col("text").cast("binary").alias("text")).write.format(FORMAT).mode("append").save(path)
+    write_pieces(rows.repartition(F.split("file", "/")[0]).sortWithinPartitions("file", *order), path)
+
+
+def write_pieces(rows: DataFrame, path: str) -> None:
+    """Writes rows (file, text; text or bytes) whose pieces of a file follow each other within a partition, as they come."""
+    rows.sparkSession.dataSource.register(NamedFiles)
+    rows.select("file", F.col("text").cast("binary").alias("text")).write.format(FORMAT).mode("append").save(path)
