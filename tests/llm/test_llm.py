@@ -173,6 +173,75 @@ def test_bounds_from_leaders_decide_as_comparing_does(spark):
     assert got == wanted and 0 < len(wanted) < len(others)
 
 
+def scattered_group(n, linking=4):
+    """Copies of one text with five words changed each, so that hardly two link, and a few with two words changed that link with each other."""
+    rng = random.Random(n)
+    out = []
+    for i in range(n + linking):
+        own = [f"w{k}" for k in range(240)]
+        for at in rng.sample(range(5, 235), 5 if i < n else 2):
+            own[at] = f"z{i}x{at}"
+        out.append((i, " ".join(own)))
+    return out
+
+
+def most_rows(spark, since):
+    """The most rows that a join or a Python step made in queries from number ``since`` on."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    most, runs = 0, store.executionsList()
+    for k in range(runs.size()):
+        if (run := runs.apply(k).executionId()) < since:
+            continue
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for j in range(nodes.size()):
+            node = nodes.apply(j)
+            if "Join" in node.name() or "InArrow" in node.name():
+                own = [node.metrics().apply(m) for m in range(node.metrics().size())]
+                found = [values.get(m.accumulatorId()) for m in own if m.name() == "number of output rows"]
+                most = max([most, *(int(v.get().replace(",", "")) for v in found if v.isDefined())])
+    return most
+
+
+def test_pairs_across_classes_make_no_rows(spark):
+    """Twice the copies of a text that meet everywhere and hardly link: twice the rows, not four times."""
+    rows = {}
+    for n in (60, 120):
+        own = scattered_group(n)
+        last = spark._jsparkSession.sharedState().statusStore().executionsList()
+        since = max([0, *(last.apply(k).executionId() + 1 for k in range(last.size()))])
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(frame(spark, own)).collect()}
+        assert got == classes_by_hand(shingle_sets_by_hand(own)) and n / 2 < len(set(got.values())) < len(got)
+        rows[n] = most_rows(spark, since)
+    assert 0 < rows[120] < 2.5 * rows[60]
+
+
+@pytest.mark.parametrize("hosts", [0, 2, 16])
+def test_jaccard_join_in_small_tiles(spark, monkeypatch, hosts):
+    """Homes cut to tiles of a few sets, with overlaps counted from scratch or derived: the same classes."""
+    own = near_group(6, 50) + [(1000 + i, t) for i, t in scattered_group(30)]
+    monkeypatch.setattr(jaccard_join, "TILE", 7)
+    sets = shingle_sets_by_hand(own)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(frame(spark, own)).collect()}
+    assert got == classes_by_hand(sets)
+    # one tile by itself, no set having a class: links join what all links join
+    monkeypatch.setattr(jaccard_join, "HOSTS", hosts)
+    arrays = [shingles.shingle_set(t.encode()) for _, t in own]
+    n = np.array([len(x) for x in arrays])
+    links = jaccard_join.joining_links(np.arange(len(own)), n, arrays, ~np.eye(len(own), dtype=bool))
+    parent = {i: i for i in range(len(own))}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        assert find(a) != find(b) and 100 * len(sets[own[a][0]] & sets[own[b][0]]) >= 80 * len(sets[own[a][0]] | sets[own[b][0]])
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert {own[i][0]: own[find(i)][0] for i in parent} == classes_by_hand(sets)
+
+
 def test_jaccard_join_null_ids_and_repeats(spark, docs, rows):
     got = jaccard_join.near_duplicates(docs.unionByName(docs.limit(30))).collect()
     assert len(got) == len(rows) + 31 and all(r["component_id"] is None for r in got if r["doc_id"] is None)

@@ -7,10 +7,10 @@
    skipped for good, which leaves a few hundredths of them. Equal sets are one node and enter once.
 3. Each list has a leader. A set is compared in full with the leaders of most of its lists; sets that link with one
    leader are a class, which answers all pairs among them: no such pair is made. Lists in one class are done with.
-   Further turns with other leaders unite classes.
-4. Pairs across classes get their answers from those of very similar sets: a leader's overlap with another leader, and
-   each set's own with its leader, bound the overlap of two sets. Only what the bounds leave open is compared in full.
-   Nothing is capped: every link is within a class, or derived, or compared.
+4. Lists that still hold several classes are gathered by one of their sets, which lists of nearly the same sets have in
+   common, in tiles of bounded size. A task makes a tile's pairs as places of a matrix. A set's overlaps with all others are
+   derived from those of a similar set, by the shingles in which the two differ. Only links that join classes become rows.
+   Nothing is capped: every link is within a class, or its pair is answered in a tile.
 5. Classes are joined to components.
 
 Lists of shingles far more frequent than others aren't gathered in one task: their entries stay rows, so grouping and
@@ -39,8 +39,7 @@ CELL_SHIFT = np.uint64(44)
 FREQUENT = 1000
 HELD_ENTRIES = 1_000_000
 LEADERS = 2
-TILE = 256
-TURNS = 3
+TILE, TILE_SHINGLES, HOSTS = 256, 500_000, 16
 MET = 3
 PERCENT = 80
 
@@ -290,10 +289,10 @@ LINKED = f"100 * common >= {PERCENT} * (na + nb - common)"
 
 
 def with_labels(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entries with their class, of the lists that have several."""
+    """Entries with their class, of the lists that have several, and the list's home: one of its sets, mostly the same for lists of nearly the same sets."""
     labelled = entries.select("token", "node", "n", "top").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-    return labelled.join(several, "token", "left_semi")
+    lists = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("node"), "node")).alias("h"))
+    return labelled.join(lists.filter("low < high").select("token", F.col("h.node").alias("home")), "token")
 
 
 def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -310,28 +309,115 @@ def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(old.unionByName(new), "labels")
 
 
-def further_leaders(crossing: DataFrame, turn: int) -> DataFrame:
-    """a, b: each set with the sets of other classes that lead most of its lists, another hash choosing the leaders each turn."""
-    lead = crossing.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("leader"), F.col("label").alias("ll"), F.col("n").alias("ln"), F.col("top").alias("lt"))).alias("l")).select("token", "l.*")
-    return most_led(crossing.join(lead, "token").filter("label <> ll AND n <= lt AND ln <= top").select("node", "leader", "n"))
+def tiled(crossing: DataFrame) -> DataFrame:
+    """tile, part, node, label, n, tokens, tops: what a set's entries are in the lists of one home, once for each tile of pairs it is in.
 
+    A home with few sets is one tile, one with many is cut: its sets are dealt to parts, and each two parts are a tile.
+    """
+    homes = stored(crossing.groupBy("home", "node", "label", "n").agg(F.collect_list(F.struct("token", "top")).alias("met")), "homes")
+    parts = homes.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("long").alias("parts"))
+    dealt = homes.join(parts, "home").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64(F.lit("part"), "node"), "parts")).otherwise(F.lit(0)))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    tile = F.struct("home", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    return dealt.select(tile.alias("tile"), "part", "node", "label", "n", F.col("met.token").alias("tokens"), F.col("met.top").alias("tops"))
+
+
+def within(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after the other."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + length, length)
+
+
+def possible(part: np.ndarray, label: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], tops: list[np.ndarray], apart: bool) -> np.ndarray:
+    """For each two sets whether they are of different classes (and parts, if ``apart``) and meet in a list at places that leave the needed overlap possible."""
+    lengths = np.array([len(t) for t in tokens])
+    token, top, row = np.concatenate(tokens), np.concatenate(tops), np.repeat(np.arange(len(n)), lengths)
+    order = np.argsort(token, kind="stable")
+    token, top, row = token[order], top[order], row[order]
+    begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    length = np.diff(np.r_[begin, len(token)])
+    after = np.repeat(begin + length, length) - np.arange(len(token)) - 1
+    may = np.zeros((len(n), len(n)), bool)
+    # at most a list's length more than HELD_ENTRIES pairs at once
+    for some in np.split(np.arange(len(token)), np.flatnonzero(np.diff(np.cumsum(after) // HELD_ENTRIES)) + 1):
+        p, q = np.repeat(some, after[some]), within(some + 1, after[some])
+        a, b = row[p], row[q]
+        fit = (n[a] <= top[q]) & (n[b] <= top[p]) & (label[a] != label[b])
+        if apart:
+            fit &= part[a] != part[b]
+        may[a[fit], b[fit]] = True
+    return may | may.T
+
+
+def joining_links(label: np.ndarray, n: np.ndarray, sets: list[np.ndarray], may: np.ndarray) -> list[tuple[int, int]]:
+    """Links between places among ``may`` that join all classes that these join.
+
+    A set's overlaps with all others are derived from those of a similar set answered before: less where the others have what
+    it lacks, more where they have what it has beyond. Only sets unlike all answered ones are counted from scratch.
+    """
+    lengths = np.array([len(x) for x in sets])
+    _, ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), lengths)
+    several = times[ids] > 1  # what only one set has is in no overlap
+    ids, row = ids[several], row[several]
+    own = np.split(ids, np.cumsum(np.bincount(row, minlength=len(sets)))[:-1])
+    holders = row[np.argsort(ids, kind="stable")]
+    number = np.where(times > 1, times, 0)
+    first = np.cumsum(number) - number
+
+    def having(shingles: np.ndarray) -> np.ndarray:
+        return np.bincount(holders[within(first[shingles], number[shingles])], minlength=len(sets))
+
+    label, out, answered = label.copy(), [], []
+    for x in np.flatnonzero(may.any(axis=1)).tolist():
+        asked = may[x] & (label != label[x])
+        if not asked.any():
+            continue
+        near = min(answered, key=lambda a: len(own[a[0]]) - 2 * a[1][x], default=None)
+        if near and len(own[near[0]]) - 2 * near[1][x] < 0:
+            host, common = near
+            common = common + having(np.setdiff1d(own[x], own[host], assume_unique=True)) - having(np.setdiff1d(own[host], own[x], assume_unique=True))
+        else:
+            common = having(own[x])
+            if len(answered) < HOSTS:
+                answered.append((x, common))
+        for y in np.flatnonzero(asked & (100 * common >= PERCENT * (n + n[x] - common))).tolist():
+            if label[y] != label[x]:
+                out.append((x, y))
+                label[label == label[y]] = label[x]
+    return out
 
-def crossing_pairs(crossing: DataFrame) -> DataFrame:
-    """a, b, na, nb: all pairs of sets of different classes that meet in as many lists as links must, at places that leave the needed overlap possible.
 
-    Classes of a list are compared first, by their range of sizes, then by the number of lists in which they meet, then the entries of those that are left.
-    """
-    classes = crossing.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("top").alias("high"))
-    other = classes.select("token", F.col("label").alias("lb"), F.col("low").alias("ob"), F.col("high").alias("hb"))
-    both = classes.join(other, "token").filter("label < lb AND low <= hb AND ob <= high").select("token", "label", "lb", F.least("low", "ob").alias("least"))
-    # two sets that link meet in MET lists, or are smaller than that; so do their classes
-    met = both.groupBy("label", "lb").agg(F.count("*").alias("lists"), F.min("least").alias("least")).filter((F.col("lists") >= MET) | (F.col("least") <= MET))
-    both = both.join(met.select("label", "lb"), ["label", "lb"], "left_semi").select("token", "label", "lb")
-    x = both.join(crossing.select("token", "label", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("top").alias("tx")), ["token", "label"])
-    y = x.join(crossing.select("token", F.col("label").alias("lb"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("top").alias("ty")), ["token", "lb"])
-    in_order = F.col("x") < F.col("y")
-    named = [F.when(in_order, F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in (("a", "x", "y"), ("b", "y", "x"), ("na", "nx", "ny"), ("nb", "ny", "nx"))]
-    return y.filter("nx <= ty AND ny <= tx").select(*named).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("lists")).filter(F.col("lists") >= F.least(F.lit(MET), F.expr(NEEDED))).drop("lists")
+def crossing_links(crossing: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
+    """a, b: links that join all classes which links join. Pairs are made in the tasks of their tiles only, and no rows."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(held: list[tuple], apart: bool) -> Iterator[pa.RecordBatch]:
+        part, node, label, n = (np.array(c, np.int64) for c in list(zip(*held))[:4])
+        may = possible(part, label, n, [r[4] for r in held], [r[5] for r in held], apart)
+        some = np.flatnonzero(may.any(axis=1))
+        if len(some):
+            coder = zstandard.ZstdDecompressor()
+            found = joining_links(label[some], n[some], [shingle_set(coder.decompress(held[k][6])) for k in some.tolist()], may[np.ix_(some, some)])
+            if found:
+                x, y = node[some][np.array(found)].T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            tokens, tops, packed = (batch.column(k) for k in (7, 8, 9))
+            for k, row in enumerate(zip(*(batch.column(k).to_pylist() for k in range(7)))):
+                if row[:3] != at:
+                    if len(held) > 1:
+                        yield from links(held, at[1] != at[2])
+                    at, held = row[:3], []
+                held.append((*row[3:], tokens[k].values.to_numpy(zero_copy_only=False), tops[k].values.to_numpy(zero_copy_only=False), packed[k].as_py()))
+        if len(held) > 1:
+            yield from links(held, at[1] != at[2])
+
+    dealt = tiled(crossing).join(sets, "node").select("tile.*", "part", "node", "label", "n", "tokens", "tops", "packed")
+    return dealt.repartition(buckets, "home", "i", "j").sortWithinPartitions("home", "i", "j").mapInArrow(gather, "a long, b long")
 
 
 def derived(pairs: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
@@ -370,18 +456,7 @@ def joined_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sets = stored(packed_sets(docs, profiled, entries.select("node").distinct()), "sets")
     known = stored(answers(most_led(entries), sets), "answers")
     labels = relabelled(None, known.filter(LINKED))
-    crossing = stored(with_labels(entries, labels), "crossing")
-    for turn in range(TURNS):
-        # leaders unite most classes that belong together; then what is left between classes is derived or compared
-        found = stored(answers(further_leaders(crossing, turn).join(known, ["a", "b"], "left_anti"), sets), "answers")
-        links = found.filter(LINKED)
-        known = known.unionByName(found)
-        if links.isEmpty():
-            break
-        labels = relabelled(labels, links)
-        crossing = stored(with_labels(crossing, labels), "crossing")
-    pairs = crossing_pairs(crossing).join(known, ["a", "b"], "left_anti")
-    last = stored(derived(pairs, known, sets), "links")
+    last = stored(crossing_links(stored(with_labels(entries, labels), "crossing"), sets, buckets), "links")
     if not last.isEmpty():
         labels = relabelled(labels, last)
     return profiled, labels, known.filter(LINKED).select("a", "b").unionByName(last)
