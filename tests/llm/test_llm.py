@@ -242,6 +242,49 @@ def test_jaccard_join_in_small_tiles(spark, monkeypatch, hosts):
     assert {own[i][0]: own[find(i)][0] for i in parent} == classes_by_hand(sets)
 
 
+def test_texts_are_sent_only_for_sets_that_may_link(spark, monkeypatch):
+    """Of sets that meet everywhere and don't link no texts are taken, neither to compare with leaders nor across classes."""
+    rng = random.Random(8)
+    own = []
+    for i in range(64):
+        text = [f"{'w' if i < 60 else 'v'}{k}" for k in range(524)]
+        for at in rng.sample(range(5, 519), 10 if i < 60 else 2):
+            text[at] = f"z{i}x{at}"
+        own.append((i, " ".join(text)))
+    asked, take = [], jaccard_join.packed_sets
+
+    def counted(docs, profiled, nodes):
+        asked.append(nodes.count())
+        return take(docs, profiled, nodes)
+
+    monkeypatch.setattr(jaccard_join, "packed_sets", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(frame(spark, own)).collect()}
+    assert got == classes_by_hand(shingle_sets_by_hand(own)) and len(set(got.values())) < len(got)
+    assert 0 < sum(asked) < 10
+
+
+def test_folded_bits_rule_out_no_link():
+    """Sets of all sizes with overlaps around the limit, some folded to fewer bits than others."""
+    rng = np.random.default_rng(3)
+    ruled_out = 0
+    for n in (1, 2, 3, 9, 120, 255, 256, 257, 1000, 40_000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        sets = [np.unique(base)]
+        for share in (0.0, 0.04, 0.1, 0.12, 0.2, 0.25, 0.6):
+            k = int(share * n)
+            sets += [sets[0][k:], np.unique(np.r_[sets[0], rng.integers(0, 2**63, k).astype(np.uint64)]), np.unique(np.r_[sets[0][k:], rng.integers(0, 2**63, k).astype(np.uint64)])]
+        size = np.array([len(x) for x in sets])
+        may = ~np.eye(len(sets), dtype=bool)
+        jaccard_join.drop_far(may, size, [jaccard_join.folded_bits(x) for x in sets])
+        assert (may == may.T).all()
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                common = len(np.intersect1d(x, y))
+                assert i == j or may[i, j] or 100 * common < 80 * (len(x) + len(y) - common)
+        ruled_out += (~may).sum() - len(sets)
+    assert ruled_out > 500
+
+
 def test_jaccard_join_null_ids_and_repeats(spark, docs, rows):
     got = jaccard_join.near_duplicates(docs.unionByName(docs.limit(30))).collect()
     assert len(got) == len(rows) + 31 and all(r["component_id"] is None for r in got if r["doc_id"] is None)
@@ -802,3 +845,18 @@ def test_shingles_of_short_and_long_texts():
     sets = shingles.shingle_sets([b"", b" \n", b"A b", b"a B", b"a b c d e", b"a b c d e f a b c d e"])
     assert [len(s) for s in sets] == [0, 0, 1, 1, 1, 6]
     assert sets[2].tolist() == sets[3].tolist() and sets[4][0] in sets[5].tolist()
+
+
+def test_word_hashes_of_many_texts_at_once():
+    """Words of any bytes and lengths, wherever they stand: equal ones have equal hashes, others don't."""
+    rng = random.Random(5)
+    parts = [b"a", b"B", b"\x00", b"\xc3\x84", b"\x85", b"\x1c", b"12345678", b"y" * 63, b"q" * 64, b" ", b" ", b"\n", b"\x0b", b"\t\r\x0c"]
+    texts = [b"".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(300)] + [b"", b"  ", b"x", b"x" * 5000, b"x" * 4999 + b"y"]
+    hashes, places = shingles.hashed_words(texts)
+    words = [t.lower().split() for t in texts]
+    assert places.tolist() == np.cumsum([0, *map(len, words)]).tolist() and len(hashes) == sum(map(len, words))
+    known = {}
+    for word, number in zip((w for own in words for w in own), hashes.tolist()):
+        assert known.setdefault(word, number) == number
+    assert len(set(known.values())) == len(known) > 300
+    assert [len(x) for x in shingles.hashed_words([])] == [0, 1]

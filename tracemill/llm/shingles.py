@@ -9,6 +9,8 @@ import xxhash
 
 WIDTH = 5
 REMEMBERED = 200_000
+LONGEST = 64
+ALL_BITS = np.uint64(2**64 - 1)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 _HASHES: dict[bytes, int] = {}
@@ -44,22 +46,51 @@ def by_range(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[order[a]]), order[a:b]
 
 
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of the texts, A-Z lower-cased, one text after the other; and where each text's words begin, and the last one's end.
+
+    Words are read eight bytes at a time from all texts at once: two words of at most eight bytes and of equal length have different hashes.
+    """
+    joined = b" ".join([b"", *texts, b" " * 8]).lower()
+    data = np.frombuffer(joined, np.uint8)
+    space = (data == 32) | (data - np.uint8(9) < 5)
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    begin, length = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray(len(data) - 7, "<u8", joined, strides=(1,))
+    out = length.astype(np.uint64) * ODD[2]
+    some = np.arange(len(begin))
+    for k in range(0, LONGEST, 8):
+        rest = np.minimum(length[some] - k, 8).astype(np.uint64)
+        out[some] = mixed(out[some] ^ eight[begin[some] + k] & ALL_BITS >> (np.uint64(64) - np.uint64(8) * rest))
+        some = some[length[some] > k + 8]
+        if not len(some):
+            break
+    for i in some.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(joined[begin[i] : begin[i] + length[i]])
+    starts = np.cumsum(np.array([1, *(len(t) + 1 for t in texts)]))
+    return out, np.searchsorted(begin, starts)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in rising order; for many small arrays much faster than ``np.unique``."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]][: len(values)]]
+
+
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     """Each text's distinct shingles in rising order: A-Z lower-cased, words between ASCII white space. Fewer words than ``width`` make one shingle; none make none."""
-    split = [t.lower().split() for t in texts]
-    own = word_hashes([w for words in split for w in words])
+    own, places = hashed_words(texts)
     n = max(0, len(own) - width + 1)
     total = own[:n] * ODD[0]
     for k in range(1, width):
         total += own[k : k + n] * ODD[k]
     total = mixed(total)
-    out, at = [], 0
-    for words in split:
-        if len(words) >= width:
-            out.append(np.unique(total[at : at + len(words) - width + 1]))
+    out, places = [], places.tolist()
+    for text, begin, end in zip(texts, places, places[1:]):
+        if end - begin >= width:
+            out.append(distinct(total[begin : end - width + 1]))
         else:
-            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)] if words else [], np.uint64))
-        at += len(words)
+            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(text.lower().split()), seed=1)] if end > begin else [], np.uint64))
     return out
 
 
